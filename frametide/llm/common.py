@@ -54,6 +54,8 @@ _inverse = np.empty(0, np.uint64)
 _byte_hash = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _is_space = np.zeros(256, bool)
 _is_space[[0x20, *range(0x09, 0x0E)]] = True
+_no_letter = np.array([not (c >= 0x80 or chr(c).isalnum()) for c in range(256)])
+_lower = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,9 +97,12 @@ class Slab:
     def __len__(self) -> int:
         return len(self.bounds) - 1
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and end of each word, and the index of each text's first word (one more entry: the number of words)."""
-        inside = ~_is_space[self.data]
+    def words(self, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of each word, and the index of each text's first word (one more entry: the number of words).
+
+        Words are parted by white space; with plain=True, by whatever is no ASCII letter or digit and not beyond ASCII.
+        """
+        inside = ~(_no_letter if plain else _is_space)[self.data]
         starts, ends = np.zeros(len(inside) + 1, bool), np.zeros(len(inside) + 1, bool)
         starts[1:-1] = inside[1:] & ~inside[:-1]
         ends[1:-1] = inside[:-1] & ~inside[1:]
@@ -109,10 +114,10 @@ class Slab:
         start = np.flatnonzero(starts)
         return start, np.flatnonzero(ends), np.searchsorted(start, self.bounds)
 
-    def word_hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """A 64-bit hash of each word and the index of each text's first word."""
-        start, end, first = self.words()
-        return substring_hash(prefix_hash(self.data), start, end), first
+    def word_hashes(self, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """A 64-bit hash of each word and the index of each text's first word. With plain=True, A to Z count as a to z."""
+        start, end, first = self.words(plain)
+        return substring_hash(prefix_hash(_lower[self.data] if plain else self.data), start, end), first
 
 
 def slabs(column: pa.Array, limit: int = 1 << 19) -> Iterator[Slab]:

@@ -1,8 +1,8 @@
 """A quality classifier by compression.
 
-One zstandard dictionary is built from labelled good text and one from bad text. A text is compressed in blocks with each; the
-difference of the two sizes, divided by the text's size, says which kind it resembles, and a logistic curve fitted on labelled
-texts that the dictionaries have not seen turns it into a probability of label 1.
+Zstandard dictionaries are built from labelled good text and from bad text, a few pairs of them from different texts. A text is
+compressed in blocks with each; the difference of the two kinds' sizes, divided by the text's size, says which kind it resembles,
+and a logistic curve fitted on labelled texts that the dictionaries have not seen turns it into a probability of label 1.
 """
 
 from __future__ import annotations
@@ -18,15 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What the fit reads: so many labelled texts of each class, and so many leading bytes of each.
-SAMPLE_TEXTS, SAMPLE_BYTES = 600, 1 << 15
-DICTIONARY_BYTES, BLOCK, LEVEL = 1 << 16, 1 << 11, 3
+SAMPLE_TEXTS, SAMPLE_BYTES = 2400, 1 << 15
+PAIRS, DICTIONARY_BYTES, BLOCK, LEVEL = 3, 112640, 1 << 11, 3
 THRESHOLD = 0.7
 
 
 @dataclass
 class Model:
-    good: bytes
-    bad: bytes
+    pairs: list[tuple[bytes, bytes]]
     slope: float
     intercept: float
 
@@ -37,7 +36,7 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.by = [self._compressor(x) for x in (model.good, model.bad)] if model.good and model.bad else None
+        self.by = [tuple(self._compressor(x) for x in pair) for pair in model.pairs]
 
     @staticmethod
     def _compressor(data: bytes) -> zstandard.ZstdCompressor:
@@ -46,12 +45,11 @@ class Scorer:
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def difference(self, text: bytes) -> float:
-        """(size with the bad dictionary - size with the good one) / size; 0 for an empty text."""
-        if not text or self.by is None:
+        """(size with a bad dictionary - size with a good one) / size, the mean over the pairs; 0 for an empty text."""
+        if not text or not self.by:
             return 0.0
-        view = memoryview(text)
-        good, bad = (sum(len(c.compress(view[k : k + BLOCK])) for k in range(0, len(text), BLOCK)) for c in self.by)
-        return (bad - good) / len(text)
+        blocks = [memoryview(text)[k : k + BLOCK] for k in range(0, len(text), BLOCK)]
+        return sum(len(bad.compress(x)) - len(good.compress(x)) for good, bad in self.by for x in blocks) / len(text) / len(self.by)
 
     def score(self, text: bytes) -> float:
         z = self.model.slope * self.difference(text) + self.model.intercept
@@ -66,27 +64,33 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(blocks)[-DICTIONARY_BYTES:]
 
 
-def train(good: list[bytes], bad: list[bytes]) -> Model:
-    """Even texts of each class go into its dictionary, odd ones fit the curve. With a class missing the score is the smoothed share."""
-    n, m = len(good), len(bad)
+def train(good: list[bytes], bad: list[bytes], share: tuple[int, int] | None = None) -> Model:
+    """Of PAIRS + 1 texts of a class one fits the curve and each other goes into one of the dictionaries.
+
+    share: how many texts of each class there are outside the sample, which sets the curve's height. With a class missing, the
+    score is the smoothed share for every text.
+    """
+    n, m = share or (len(good), len(bad))
     prior = math.log((n + 1) / (m + 1))
-    if min(n, m) < 2:
-        return Model(b"", b"", 0.0, prior)
-    model = Model(_dictionary(good[::2]), _dictionary(bad[::2]), 0.0, prior)
+    if min(len(good), len(bad)) <= PAIRS:
+        return Model([], 0.0, prior)
+    model = Model([(_dictionary(good[k :: PAIRS + 1]), _dictionary(bad[k :: PAIRS + 1])) for k in range(PAIRS)], 0.0, prior)
     scorer = model.scorer()
-    held = [(scorer.difference(t), 1.0) for t in good[1::2]] + [(scorer.difference(t), 0.0) for t in bad[1::2]]
+    held = [(scorer.difference(t), y) for y, texts in ((1.0, good), (0.0, bad)) for t in texts[PAIRS :: PAIRS + 1]]
     x, y = np.array(held).T
+    here = math.log((y.sum() + 1) / ((1 - y).sum() + 1))
     # Platt's targets, then Newton's steps on the logistic loss with a slight ridge.
     y = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    a = np.stack([x / (x.std() + 1e-9), np.ones_like(x)], 1)
+    scale, ridge = x.std() + 1e-9, np.array([1e-3, 1e-6])
+    a = np.stack([x / scale, np.ones_like(x)], 1)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-(a @ w)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag([1e-3, 1e-6]), a.T @ (p - y) + np.array([1e-3, 1e-6]) * w)
-        w -= step
+        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(ridge), a.T @ (p - y) + ridge * w)
+        w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    model.slope, model.intercept = float(w[0] / (x.std() + 1e-9)), float(w[1])
+    model.slope, model.intercept = float(w[0] / scale), float(w[1]) + prior - here
     return model
 
 
@@ -103,6 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "
     known = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull()).select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_label"))
     if held_out:
         known = known.where(fold("_id", held_out[0]) != held_out[1])
+    count = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
     order = F.md5(F.col("_id").cast("string"))
     chosen = [r for k in (0, 1) for r in known.where(F.col("_label") == k).select("_id", "_label").distinct().orderBy(order, "_id").limit(SAMPLE_TEXTS).collect()]
     if not chosen:
@@ -111,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "
     cut = F.substring(F.col(text).cast("binary"), 1, SAMPLE_BYTES)
     found = docs.select(F.col(id).alias("_id"), cut.alias("_text")).where(F.col("_text").isNotNull()).join(F.broadcast(ids), "_id").groupBy("_id", "_label").agg(F.min("_text")).collect()
     found = sorted(found, key=lambda r: (str(r[0]), r[1]))
-    return train([bytes(r[2]) for r in found if r[1] == 1], [bytes(r[2]) for r in found if r[1] == 0])
+    return train([bytes(r[2]) for r in found if r[1] == 1], [bytes(r[2]) for r in found if r[1] == 0], (count.get(1, 0), count.get(0, 0)))
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", as_: str = "score") -> DataFrame:

@@ -173,6 +173,36 @@ def run_hashes(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.nd
     return mix(out[keep]), np.concatenate([[0], np.cumsum(counts)])
 
 
+# ---------------------------------------------------------------- groups of a sorted partition
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The runs of rows alike in the first `keys` columns of a partition that is sorted by them. One run is in memory at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def key(batch, row):
+        return [batch.column(k)[row].as_py() for k in range(keys)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        changed = np.zeros(batch.num_rows - 1, bool)
+        for k in range(keys):
+            column = batch.column(k).to_numpy(zero_copy_only=False)
+            changed |= column[1:] != column[:-1]
+        cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
+        if held and key(held[-1], held[-1].num_rows - 1) != key(batch, 0):
+            yield pa.Table.from_batches(held)
+            held = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            held.append(batch.slice(lo, hi - lo))
+            if hi < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 # ---------------------------------------------------------------- connected components
 
 

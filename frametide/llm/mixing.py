@@ -55,9 +55,10 @@ def mix(
     max_epochs: int = MAX_EPOCHS,
     whole: bool = False,
     seed: int = 17,
-    keep: tuple[str, ...] = (),
+    keep: bool = False,
 ) -> DataFrame:
-    """Per row: doc_id, size, source, source_size, target, taken, and the columns of `keep`.
+    """Per row: doc_id, size, source, source_size, target, taken, and with keep=True `row`, a struct
+    of all columns of docs.
 
     taken counts the words that the mix takes, repeats included: all epochs that end before the budget, and the leading words
     of the document at the cut, so that a source's sum is its target rounded to whole words. With whole=True the document at
@@ -74,7 +75,7 @@ def mix(
         words(F.col(text)).alias("size"),
         F.col(source).alias("source"),
         hashed.alias("_key"),
-        *[F.col(c) for c in keep],
+        *([F.struct(*docs.columns).alias("row")] if keep else []),
     ).withColumn("_range", F.shiftright(F.shiftright("_key", 30) * F.lit(ranges), 30).cast("int"))
     sums = base.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     goal = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, max_epochs)
@@ -95,4 +96,11 @@ def mix(
         left = budget - (start + F.lit(epoch) * F.col("source_size"))
         part = F.when(left * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0)) if whole else F.least(left, F.col("size"))
         taken = taken + F.greatest(part, F.lit(0))
-    return placed.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), *keep)
+    return placed.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), *(["row"] if keep else []))
+
+
+def repeated(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 17) -> DataFrame:
+    """The mix itself: rows of docs, as often as the mix takes them whole. Documents without words have nothing to give and go."""
+    mixed = mix(docs, id=id, text=text, source=source, weights=weights, max_epochs=max_epochs, whole=True, seed=seed, keep=True)
+    copies = mixed.where("taken > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("taken div size"))).alias("_copy"))
+    return copies.select("row.*")

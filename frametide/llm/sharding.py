@@ -16,8 +16,9 @@ SHARDS = 24
 OVERHEAD = 8
 
 
-def shard(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shards: int = SHARDS, overhead: int = OVERHEAD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: doc_id, size, text_crc32, shard (0 to shards - 1), slot (gapless from 0 in each shard), and the columns of `keep`.
+def shard(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shards: int = SHARDS, overhead: int = OVERHEAD, keep: bool = False) -> DataFrame:
+    """Per row: doc_id, size, text_crc32, shard (0 to shards - 1), slot (gapless from 0 in each shard), and with keep=True
+    `row`, a struct of all columns of docs.
 
     A row's size is its text's UTF-8 bytes (null: none) plus `overhead`. Rows are in order of id, null first; rows with one id
     follow by checksum and size, and rows alike in all three are interchangeable. A row goes where its middle byte falls, so a
@@ -30,7 +31,7 @@ def shard(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shards: in
         (F.octet_length(raw) + F.lit(overhead)).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.monotonically_increasing_id().alias("_tie"),  # parts equal rows, so that no range holds them all
-        *[F.col(c) for c in keep],
+        *([F.struct(*docs.columns).alias("row")] if keep else []),
     )
     order = ["doc_id", "text_crc32", "size", "_tie"]
     ranges = max(16, partitions(docs.sparkSession))
@@ -50,4 +51,4 @@ def shard(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shards: in
     rows = rows.withColumn("_middle", middle).withColumn("shard", F.expr(f"cast(least({shards} - 1, (_middle * {shards}) div (2 * _total)) as int)"))
     rows = rows.withColumn("_nth", F.col("_rows_before") + F.col("_nth"))
     first = rows.groupBy("shard").agg(F.min("_nth").alias("_first"))  # as many rows as shards
-    return rows.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", F.col("shard"), (F.col("_nth") - F.col("_first")).cast("long").alias("slot"), *keep)
+    return rows.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", F.col("shard"), (F.col("_nth") - F.col("_first")).cast("long").alias("slot"), *(["row"] if keep else []))

@@ -119,6 +119,10 @@ class Slab:
         start, end, first = self.words(plain)
         return substring_hash(prefix_hash(_lower[self.data] if plain else self.data), start, end), first
 
+    def lower(self) -> Slab:
+        """The same texts with A to Z as a to z."""
+        return Slab(self.lo, _lower[self.data], self.bounds)
+
 
 def slabs(column: pa.Array, limit: int = 1 << 19) -> Iterator[Slab]:
     """A binary or string column in slabs of about `limit` bytes; a longer text is a slab of its own. Nulls are empty."""

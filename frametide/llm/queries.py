@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lattice, minhash, mixing, quality, sharding, suffixes, warc
+from . import bilinear, decontaminate, lattice, minhash, mixing, quality, sharding, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (quality.fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bilinear.score(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_minhash": op2_minhash,
         "op3_decontamination": op3_decontamination,
         "op4_quality": op4_quality,
+        "op5_bilinear": op5_bilinear,
         "op6_sharding": op6_sharding,
         "op7_lattice": op7_lattice,
         "op8_mixing": op8_mixing,

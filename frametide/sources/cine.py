@@ -1,4 +1,4 @@
-"""CINE high-speed video as a Spark data source: `spark.read.format("cine").load(path)` gives frames, with option kind=videos the headers.
+"""CINE high-speed video as a Spark data source: after register(spark), `spark.read.format("cine").load(path)` gives frames, with option kind=videos the headers.
 
 A partition is a range of frames of one file, read by seeking; no file is read whole. Filters on frame_num skip partitions.
 """
@@ -79,7 +79,9 @@ class CineReader(DataSourceReader):
             out += [FrameRange(p, k, min(k + self.per_task, stop)) for k in range(self.low, stop, self.per_task)]
         return out
 
-    def read(self, partition: FrameRange) -> Iterator[tuple]:
+    def read(self, partition: FrameRange | None) -> Iterator[tuple]:
+        if partition is None:  # no recording has the frames asked for
+            return
         head = header(partition.path)
         if self.videos:
             yield partition.path, head["image_count"], head["width"], head["height"], head["image_size"], head["framerate"]
@@ -100,6 +102,12 @@ class CineSource(DataSource):
         return CineReader(self.options)
 
 
+def register(spark) -> None:
+    """Makes the format known to a session and lets filters reach it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(CineSource)
+
+
 def frame_at(df, i: int):
     """The rows of frame i; an index that a recording lacks gives no row for it."""
     from pyspark.sql import functions as F

@@ -2,8 +2,9 @@
 
 A document's shingles, weighted by how often they occur, are Poisson processes whose arrivals land in registers; a register keeps
 the shingle that arrived first, and a shingle stops once it can come first nowhere. Two documents agree in a register with their
-probability Jaccard. Registers are banded into buckets, candidates are verified on whole texts, and the verified links give
-classes. Equal texts are one node throughout.
+probability Jaccard. Registers are banded into buckets; members of a bucket that agree in enough registers are suspects, and each
+group of suspects is verified on whole texts. Large buckets and groups are compared in blocks of bounded size, which give spanning
+links, never pairs. Equal texts are one node throughout.
 """
 
 from __future__ import annotations
@@ -13,15 +14,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, Slab, components, mix, shingles, slabs, written
+from .common import _BASE, Slab, components, groups, mix, partitions, shingles, slabs, written
 
 SIMILARITY, WIDTH = 0.8, 5
 REGISTERS, BANDS = 64, 16
-#: Pairs whose registers agree less than this are not verified; at a similarity of 0.8 that is four deviations away.
+#: Pairs whose registers agree less than this are no suspects; at a similarity of 0.8 that is four deviations away.
 LEAST_AGREEMENT = 0.6
+BLOCK = 256
 
 
 def weighted(slab: Slab, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -37,11 +39,11 @@ def weighted(slab: Slab, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np
 
 
 def signatures(elements: np.ndarray, weights: np.ndarray, first: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
-    """The registers of each text, as 32-bit values; zeros for a text without shingles."""
+    """The registers of each text, as 16-bit values; zeros for a text without shingles."""
     n = len(first) - 1
     text = np.repeat(np.arange(n), np.diff(first))
     least = np.full(n * registers, np.inf)
-    winner = np.zeros(n * registers, np.uint32)
+    winner = np.zeros(n * registers, np.uint16)
     arrival, active, turn = np.zeros(len(elements)), np.arange(len(elements)), 0
     while len(active):
         turn += 1
@@ -52,7 +54,7 @@ def signatures(elements: np.ndarray, weights: np.ndarray, first: np.ndarray, reg
         better = np.flatnonzero(x < least[slot])
         better = better[np.argsort(-x[better], kind="stable")]  # of several, the earliest is written last
         least[slot[better]] = x[better]
-        winner[slot[better]] = mix(elements[active][better]).astype(np.uint32)
+        winner[slot[better]] = mix(elements[active][better]).astype(np.uint16)
         active = active[x < least.reshape(n, registers).max(1)[text[active]]]
     return winner.reshape(n, registers)
 
@@ -90,64 +92,124 @@ def signed(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "doc_id long, h1 long, h2 long, words boolean, sig binary")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those pairs (a, b) whose whole texts in texts (id, text) reach the similarity. Each pair moves its own two texts."""
+def in_blocks(members: DataFrame, key: str, size: Column, *columns: str) -> DataFrame:
+    """members as (key, lo, hi, side, id, *columns): a group of `size` rows is dealt into blocks by the id's hash, and every pair of
+    blocks is a task's work. side: 0 in the lower block, 1 in the higher, 2 where both are one."""
+    out = members.withColumn("_blocks", F.ceil(size / F.lit(float(BLOCK))).cast("int")).withColumn("_mine", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    side = F.when(F.col("_mine") == F.col("_other"), 2).when(F.col("_mine") < F.col("_other"), 0).otherwise(1)
+    out = out.select(key, F.least("_mine", "_other").alias("lo"), F.greatest("_mine", "_other").alias("hi"), side.alias("side"), "id", *columns)
+    return out.repartition(partitions(members.sparkSession), key, "lo", "hi").sortWithinPartitions(key, "lo", "hi", "id")
+
+
+class Forest:
+    """Joins members of a block; its trees give the links that the block sends on."""
+
+    def __init__(self, n: int):
+        self.above = list(range(n))
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, k: int) -> int:
+        while self.above[k] != k:
+            self.above[k] = self.above[self.above[k]]
+            k = self.above[k]
+        return k
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.above[max(x, y)] = min(x, y)
+            self.links.append((a, b))
+
+    def join_all(self, a: int, others: np.ndarray) -> None:
+        for b in others.tolist():
+            self.join(a, b)
+
+
+def _spanning(blocks: DataFrame, solve) -> DataFrame:
+    """(a, b): the links that solve(block) finds, of one pair of blocks at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple] = {}
-        for batch in batches:
-            a, b = (batch.column(k).to_pylist() for k in (0, 1))
-            keep = np.zeros(batch.num_rows, bool)
-            for k in range(batch.num_rows):
-                sets = []
-                for id, column in ((a[k], 2), (b[k], 3)):
-                    if id not in known:
-                        if len(known) > 64:
-                            known.clear()
-                        slab = next(slabs(batch.column(column).slice(k, 1)))
-                        known[id] = weighted(slab)[:2]
-                    sets += known[id]
-                keep[k] = probability_jaccard(*sets) >= similarity - 1e-12
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-    left = texts.select(F.col("id").alias("a"), F.col("text").cast("binary").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").cast("binary").alias("tb"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+        held: list[tuple[int, int]] = []
+        for block in groups(batches, 3):
+            ids = block.column("id").to_numpy()
+            side = block.column("side").to_numpy()
+            held += [(int(ids[a]), int(ids[b])) for a, b in solve(block, np.flatnonzero(side != 1), np.flatnonzero(side != 0))]
+            if len(held) > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*held, strict=True)], ["a", "b"])
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*held, strict=True)], ["a", "b"])
+
+    return blocks.mapInArrow(run, "a long, b long")
+
+
+def _suspects(block: pa.Table, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    sigs = np.stack([np.frombuffer(x.as_py(), np.uint16) for x in block.column("sig")])
+    forest = Forest(len(sigs))
+    for a in left.tolist():
+        forest.join_all(a, right[(sigs[right] == sigs[a]).mean(1) >= LEAST_AGREEMENT])
+    return forest.links
+
+
+def _verified(similarity: float):
+    def solve(block: pa.Table, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        parts, plain, sigs = [], [], []
+        for slab in slabs(block.column("text")):
+            elements, counts, first = weighted(slab)
+            for k in range(len(slab)):
+                e, c = elements[first[k] : first[k + 1]], counts[first[k] : first[k + 1]]
+                parts.append((e, c))
+                plain.append(bool((c == 1).all()))
+            sigs.append(signatures(elements, counts, first))
+        sigs = np.concatenate(sigs)
+        sizes, plain = np.array([len(e) for e, _ in parts]), np.array(plain)
+        forest = Forest(len(parts))
+        right = right[sizes[right] > 0]
+        if not len(right):
+            return []
+        known, at = np.unique(np.concatenate([e for e, _ in parts]), return_inverse=True)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        there = np.concatenate([at[bounds[b] : bounds[b + 1]] for b in right])
+        starts = np.concatenate([[0], np.cumsum(sizes[right])[:-1]])
+        mine = np.zeros(len(known), np.int64)
+        for a in left.tolist():
+            own = at[bounds[a] : bounds[a + 1]]
+            mine[own] = 1
+            common = np.add.reduceat(mine[there], starts)
+            mine[own] = 0
+            both = plain[right] & plain[a]  # all counts 1: the probability Jaccard is the Jaccard
+            forest.join_all(a, right[both & (common >= (similarity - 1e-12) * (sizes[a] + sizes[right] - common))])
+            for b in right[~both & (common > 0) & ((sigs[right] == sigs[a]).mean(1) >= LEAST_AGREEMENT)].tolist():
+                if forest.root(a) != forest.root(b) and probability_jaccard(*parts[a], *parts[b]) >= similarity - 1e-12:
+                    forest.join(a, b)
+        return forest.links
+
+    return solve
 
 
 def classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Per row of docs: doc_id, component_id (the smallest id its links reach) and kept (it has that id).
 
     Links join texts whose probability Jaccard of five-word shingles, weighted by count, is at least `similarity`, and equal texts.
-    A bucket first links its members to its smallest; these links are verified and give classes. Only buckets that still hold
-    several classes are then searched for pairs between classes, so a large group of copies never becomes all its pairs.
     A null text is an empty one. Texts without words link to equal texts only, shorter ones than a shingle have one shingle.
     Rows with one id are one document, reached through any of its texts. A row with a null id is kept and has no component.
     """
     rows = written(signed(docs, id, text), "signatures")
-    agreement = F.expr(f"aggregate(sequence(1, {REGISTERS}), 0, (n, k) -> n + if(substring(sa, 4 * k - 3, 4) = substring(sb, 4 * k - 3, 4), 1, 0))") / F.lit(float(REGISTERS))
     texts = rows.where("doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sig", "words")).alias("x"))
     nodes = written(texts.select(F.col("x.doc_id").alias("id"), F.col("x.sig").alias("sig"), "x.words", "h1", "h2"), "nodes")
 
-    size = 4 * REGISTERS // BANDS
+    size = 2 * REGISTERS // BANDS
     buckets = nodes.where("words").select("id", F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * size + 1, size)) for k in range(BANDS)])).alias("bucket"))
-    centres = buckets.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("other")).where("centre <> other").drop("other")
-    shared = written(buckets.join(centres, "bucket"), "buckets")
-
-    sig = lambda n: nodes.select(F.col("id").alias(n), F.col("sig").alias(f"s{n}"))
-    whole = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    stars = shared.where("id <> centre").select(F.col("id").alias("b"), F.col("centre").alias("a")).distinct()
-    stars = stars.join(sig("a"), "a").join(sig("b"), "b").where(agreement >= LEAST_AGREEMENT).select("a", "b")
-    links = written(verify(stars, whole, similarity), "links").distinct()
-    found = components(links)
-
-    placed = shared.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    left = written(placed.join(mixed, "bucket").join(nodes.select("id", "sig"), "id"), "mixed")
-    side = lambda n: left.select("bucket", F.col("id").alias(n), F.col("component").alias(f"c{n}"), F.col("sig").alias(f"s{n}"))
-    across = side("a").join(side("b"), "bucket").where((F.col("ca") < F.col("cb")) & (agreement >= LEAST_AGREEMENT)).select("a", "b").distinct()
-    links = links.unionByName(written(verify(across, whole, similarity), "more-links")).distinct()
-    found = components(links)
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("bucket", "size")
+    met = in_blocks(buckets.join(shared, "bucket").join(nodes.select("id", "sig"), "id"), "bucket", F.col("size"), "sig")
+    suspected = written(components(written(_spanning(met, _suspects), "suspects").distinct()), "groups")
+
+    sizes = suspected.groupBy("component").agg(F.count("*").alias("size"))
+    whole = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    whole = whole.join(suspected.join(sizes, "component"), "id").dropDuplicates(["id", "text"])
+    blocks = in_blocks(whole, "component", F.col("size"), "text")
+    found = components(written(_spanning(blocks, _verified(similarity)), "links").distinct())
 
     by_text = nodes.select("h1", "h2", F.col("id").alias("node"))
     out = rows.select("doc_id", "h1", "h2").join(by_text, ["h1", "h2"], "left").join(found.withColumnRenamed("id", "node"), "node", "left")

@@ -159,7 +159,7 @@ def run_hashes(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.nd
         out = hashes.copy()
         for k in range(1, width):
             out *= np.uint64(_BASE)
-            out[: n - k] += hashes[k:]
+            out[: max(0, n - k)] += hashes[k:]
     # A position starts a run unless fewer than `width` words are left in its text; a short text keeps its first position.
     keep = np.ones(n, bool)
     for k in range(1, width):

@@ -40,12 +40,22 @@ def factorize(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.join(names, value)
 
 
-def average_rank(df: DataFrame, value: str, out: str = "avg_rank") -> DataFrame:
-    """Ranks with the mean for ties, from counts of distinct values, so that rows are never sorted in one task."""
+def average_rank(df: DataFrame, value: str, out: str = "avg_rank", ranges: int = 200) -> DataFrame:
+    """Ranks with the mean for ties, of a numeric column; nulls have none and go.
+
+    Neither rows nor distinct values are sorted in one task: approximate quantiles, a fixed number of them, cut the values into
+    ranges; a range's rows before it and the running count inside it give the rank. Where the cuts lie does not change the result.
+    """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.withColumn(out, F.coalesce(before, F.lit(0)) + (F.col("_n") + 1) / 2.0)
-    return df.join(ranks.drop("_n"), value)
+    cuts = counts.agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)])).first()[0] or []
+    at = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(value))) if cuts else F.lit(0)
+    counts = counts.withColumn("_range", at)
+    sums = counts.groupBy("_range").agg(F.sum("_n").alias("_rows"))  # at most `ranges` rows
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    upto = F.sum("_n").over(Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranks = counts.withColumn("_upto", upto).join(sums, "_range")
+    ranks = ranks.select(value, (F.col("_before") + F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(out))
+    return df.join(ranks, value)
 
 
 def rolling_variance(df: DataFrame, key: list[str], order: str, value: str, before: int = 15, after: int = 14, out: str = "variance") -> DataFrame:

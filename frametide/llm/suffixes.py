@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,14 +63,20 @@ def anchors(data: np.ndarray, length: int = LENGTH, core: int = CORE) -> tuple[n
     return place[:, 0], place[:, 1], place[:, 2], cores, contexts
 
 
+#: A place is one number: an anchor's first window, how many more it owns, and how far the anchor is from the first.
+FIRST, LAST, AT = "place >> 24", "(place >> 24) + (place >> 12 & 4095)", "(place >> 24) + (place & 4095)"
+
+
 def _scan(docs: DataFrame, id: str, text: str, length: int, core: int) -> DataFrame:
-    names = ["doc_id", "n_bytes", "sha256", "h1", "h2", "at", "first", "last", "core", "context"]
+    """A row for each document, with a number of its own (doc), its anchors in lists."""
+    names = ["doc", "doc_id", "n_bytes", "sha256", "h1", "h2", "place", "core", "context"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def lists(parts, kind):
             sizes = [len(p) for p in parts]
             return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(parts).astype(kind)))
 
+        doc = TaskContext.get().partitionId() << 40
         for batch in batches:
             for slab in slabs(batch.column(1), 1 << 22):
                 found, heads = [], []
@@ -77,14 +84,16 @@ def _scan(docs: DataFrame, id: str, text: str, length: int, core: int) -> DataFr
                     data = slab.data[slab.bounds[k] : slab.bounds[k + 1]]
                     digest = hashlib.sha256(data).digest()
                     heads.append((len(data), digest.hex(), *(int.from_bytes(digest[x : x + 8], "big", signed=True) for x in (0, 8))))
-                    found.append(anchors(data, length, core))
-                at, first, last, cores, contexts = ([f[k] for f in found] for k in range(5))
+                    at, first, last, cores, contexts = anchors(data, length, core)
+                    found.append((first << 24 | (last - first) << 12 | (at - first), cores, contexts))
+                places, cores, contexts = ([f[k] for f in found] for k in range(3))
                 signed = lambda parts: [p.view(np.int64) for p in parts]
                 columns = [pa.array(c, t) for c, t in zip(zip(*heads, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(slab.lo, len(slab)), *columns, lists(at, np.int64), lists(first, np.int64), lists(last, np.int64), lists(signed(cores), np.int64), lists(signed(contexts), np.int64)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(doc + np.arange(len(slab))), batch.column(0).slice(slab.lo, len(slab)), *columns, lists(places, np.int64), lists(signed(cores), np.int64), lists(signed(contexts), np.int64)], names)
+                doc += len(slab)
 
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, sha256 string, h1 long, h2 long, at array<long>, first array<long>, last array<long>, core array<long>, context array<long>")
+    return rows.mapInArrow(run, "doc long, doc_id long, n_bytes long, sha256 string, h1 long, h2 long, place array<long>, core array<long>, context array<long>")
 
 
 # ---------------------------------------------------------------- runs and their merge
@@ -209,95 +218,94 @@ def repeated(rights: list[int], lefts: list[bytes], spans: list[tuple[int, int]]
     return out
 
 
-RUNS = "bucket int, shared array<int>, rest array<binary>, left array<binary>, h1 array<long>, h2 array<long>, at array<long>, lo array<long>, hi array<long>, need array<boolean>"
+RUNS = "bucket int, shared array<int>, rest array<binary>, left array<binary>, doc array<long>, at array<long>, lo array<long>, hi array<long>, need array<boolean>, window array<long>, core array<long>"
 
 
 def _runs(rows: DataFrame, length: int, buckets: int) -> DataFrame:
-    """rows (text, marks: array of (core, h1, h2, at, first, last, need)) as sorted front-coded runs, one for each bucket of cores."""
+    """rows (text, marks: array of (core, doc, at, first, last, times, hot)) as sorted front-coded runs, one for each bucket of cores.
+
+    Contexts of hot cores are not sorted: for them there are rows without a bucket with the hash of each window, `at` its start,
+    `need` whether its context occurs once.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("shared", pa.list_(pa.int32())), ("rest", pa.list_(pa.binary())), ("left", pa.list_(pa.binary())), *((x, pa.list_(pa.int64())) for x in ("doc", "at", "lo", "hi")), ("need", pa.list_(pa.bool_())), ("window", pa.list_(pa.int64())), ("core", pa.list_(pa.int64()))])
+
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema.names)
+
+    def sorted_runs(held):
+        for bucket, entries in held.items():
+            entries.sort(key=lambda e: e[0])
+            shared, rests = front_code([e[0] for e in entries])
+            yield (bucket, shared, rests, *([e[k] for e in entries] for k in range(1, 7)), None, None)
+
+    def windows(text, marks):
+        sums = prefix_hash(np.frombuffer(text, np.uint8))
+        start = np.concatenate([np.arange(m["first"], m["last"] + 1) for m in marks])
+        each = np.repeat(np.arange(len(marks)), [m["last"] + 1 - m["first"] for m in marks])
+        column = lambda f: np.array([f(m) for m in marks])[each].tolist()
+        return None, None, None, None, column(lambda m: m["doc"]), start.tolist(), None, None, column(lambda m: m["times"] == 1), substring_hash(sums, start, start + length).view(np.int64).tolist(), column(lambda m: m["core"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         n = 0
-
-        def flush():
-            out = []
-            for bucket, entries in held.items():
-                entries.sort(key=lambda e: e[0])
-                shared, rests = front_code([e[0] for e in entries])
-                out.append((bucket, shared, rests, *([e[k] for e in entries] for k in range(1, 8))))
-            schema = pa.schema([("bucket", pa.int32()), ("shared", pa.list_(pa.int32())), ("rest", pa.list_(pa.binary())), ("left", pa.list_(pa.binary())), *((x, pa.list_(pa.int64())) for x in ("h1", "h2", "at", "lo", "hi")), ("need", pa.list_(pa.bool_()))])
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema.names)
-
         for batch in batches:
             for text, marks in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 text = text.as_py()
+                hot = [m for m in marks if m["hot"]]
+                if hot:
+                    yield batch_of([windows(text, hot)])
                 for m in marks:
-                    at, first, last = m["at"], m["first"], m["last"]
-                    held.setdefault(m["core"] % buckets, []).append((text[at : last + length], text[first:at], m["h1"], m["h2"], at, at - last, at - first, m["need"]))
-                    n += 1
+                    if not m["hot"]:
+                        at, first, last = m["at"], m["first"], m["last"]
+                        held.setdefault(m["core"] % buckets, []).append((text[at : last + length], text[first:at], m["doc"], at, at - last, at - first, m["times"] == 1))
+                        n += 1
                 if n >= RUN:
-                    yield flush()
+                    yield batch_of(list(sorted_runs(held)))
                     held, n = {}, 0
         if n:
-            yield flush()
+            yield batch_of(list(sorted_runs(held)))
 
     return rows.select("text", "marks").mapInArrow(run, RUNS)
 
 
 def _merged(runs: DataFrame, length: int, core: int) -> DataFrame:
-    """(h1, h2, first, last): the ranges of windows that repeat, of the contexts that need them."""
-    names = ["h1", "h2", "first", "last"]
+    """(doc, first, last): the ranges of windows that repeat, of the contexts that need them."""
+    names = ["doc", "first", "last"]
 
     def solve(group: list) -> list[tuple]:
-        if len(group) < 2 or not any(e[2][5] for e in group):
+        if len(group) < 2 or not any(e[2][4] for e in group):
             return []
-        found = repeated([e[0] for e in group], [e[1] for e in group], [(e[2][3], e[2][4]) for e in group], length)
-        return [(e[2][0], e[2][1], e[2][2] - b, e[2][2] - a) for e, ranges in zip(group, found, strict=True) if e[2][5] for a, b in ranges]
+        found = repeated([e[0] for e in group], [e[1] for e in group], [(e[2][2], e[2][3]) for e in group], length)
+        return [(e[2][0], e[2][1] - b, e[2][1] - a) for e, ranges in zip(group, found, strict=True) if e[2][4] for a, b in ranges]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket in groups(batches, 1):
-            columns = {name: bucket.column(name).to_pylist() for name in bucket.column_names[1:]}
+            columns = {name: bucket.column(name).to_pylist() for name in bucket.column_names[1:9]}
             out: list[tuple] = []
             group: list = []
             for run_, i, _, shared in merge(list(zip(columns["shared"], columns["rest"], strict=True))):
                 if shared < core:
                     out += solve(group)
                     group = []
-                group.append((shared, columns["left"][run_][i], [columns[c][run_][i] for c in ("h1", "h2", "at", "lo", "hi", "need")]))
+                group.append((shared, columns["left"][run_][i], [columns[c][run_][i] for c in ("doc", "at", "lo", "hi", "need")]))
             out += solve(group)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
 
     dealt = runs.repartition(partitions(runs.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "h1 long, h2 long, first long, last long")
-
-
-def _windows(rows: DataFrame, length: int) -> DataFrame:
-    """The windows of contexts of hot cores, one by one: (core, window, h1, h2, start, times)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, marks in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                sums = prefix_hash(np.frombuffer(text.as_py(), np.uint8))
-                start = np.concatenate([np.arange(m["first"], m["last"] + 1) for m in marks])
-                each = np.repeat(np.arange(len(marks)), [m["last"] + 1 - m["first"] for m in marks])
-                column = lambda name: pa.array(np.array([m[name] for m in marks], np.int64)[each])  # noqa: E731, B023
-                window = substring_hash(sums, start, start + length).view(np.int64)
-                yield pa.RecordBatch.from_arrays([column("core"), pa.array(window), column("h1"), column("h2"), pa.array(start), column("times")], ["core", "window", "h1", "h2", "start", "times"])
-
-    return rows.select("text", "marks").mapInArrow(run, "core long, window long, h1 long, h2 long, start long, times long")
+    return dealt.mapInArrow(run, "doc long, first long, last long")
 
 
 # ---------------------------------------------------------------- the operator
 
 
 def _cut(rows: DataFrame, length: int, with_text: bool) -> DataFrame:
-    """rows (h1, h2, text, ranges of windows) as what is left of each text."""
+    """rows (doc, text, ranges of windows) as what is left of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, ranges in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+            for text, ranges in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = text.as_py()
                 kept, end, spans = [], 0, 0
                 for first, last in sorted((r["first"], r["last"] + length) for r in ranges or ()):
@@ -308,9 +316,9 @@ def _cut(rows: DataFrame, length: int, with_text: bool) -> DataFrame:
                 kept.append(text[end:])
                 left = b"".join(kept)
                 out.append((len(text) - len(left), spans, hashlib.sha256(left).hexdigest(), left if with_text else None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], ["h1", "h2", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], ["doc", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return rows.select("h1", "h2", "text", "ranges").mapInArrow(run, "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.select("doc", "text", "ranges").mapInArrow(run, "doc long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: int = LENGTH, core: int = CORE, hot: int = HOT, with_text: bool = False) -> DataFrame:
@@ -319,53 +327,54 @@ def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: in
     Texts are taken as UTF-8 bytes, a null as empty; a text shorter than `length` keeps all. Strings are judged on the input. Rows
     are documents whatever their ids: a text that occurs twice loses all its bytes, in both rows. An empty table gives no rows.
     """
+    if not core < length < 4096:
+        raise ValueError("core < length < 4096 is needed")
     spark = docs.sparkSession
     shared_dir(spark)
     key = ["h1", "h2"]
     scanned = written(_scan(docs, id, text, length, core), "anchors")
-    base = scanned.select("doc_id", "n_bytes", "sha256", *key)
-    marks = scanned.select(*key, F.explode(F.arrays_zip("at", "first", "last", "core", "context")).alias("m")).select(*key, "m.*")
+    base = scanned.select("doc", "doc_id", "n_bytes", "sha256", *key)
+    marks = scanned.select("doc", F.explode(F.arrays_zip("place", "core", "context")).alias("m")).select("doc", "m.*")
 
     # Cores that occur again, and whether always in the same context.
     again = marks.groupBy("core").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).where("n > 1").select("core", (F.col("a") != F.col("b")).alias("mixed"))
     marks = written(marks.join(again, "core"), "repeated-cores")
-    place = F.struct(*key, "at", "first", "last")
-    contexts = marks.where("mixed").groupBy("core", "context").agg(F.count("*").alias("times"), F.min(place).alias("place"))
-    contexts = written(contexts, "contexts")
+    contexts = marks.where("mixed").groupBy("core", "context").agg(F.count("*").alias("times"), F.min(F.struct("doc", "place")).alias("p"))
+    contexts = written(contexts.select("core", "context", "times", "p.*"), "contexts")
     crowd = contexts.groupBy("core").agg(F.count("*").alias("crowd"), F.min("times").alias("least")).where("least = 1").drop("least")
-    whole = marks.where("not mixed").select(*key, "first", "last").unionByName(marks.where("mixed").join(contexts.where("times > 1").select("core", "context"), ["core", "context"]).select(*key, "first", "last"))
+    whole = marks.where("not mixed").select("doc", "place").unionByName(marks.where("mixed").join(contexts.where("times > 1").select("core", "context"), ["core", "context"]).select("doc", "place"))
     whole = written(whole, "whole-contexts")
 
-    # Texts to look into: those with contexts to sort, and those that go in part. One row of each.
-    sort = written(contexts.join(crowd, "core").select("core", "times", "place.*", (F.col("crowd") > hot).alias("hot")), "to-sort")
-    texts = base.where(F.col("n_bytes") >= length).groupBy(*key).agg(F.count("*").alias("copies"), F.min("doc_id").alias("row"), F.first("n_bytes").alias("n_bytes"))
-    covered = whole.groupBy(*key).agg(F.sum(F.col("last") - F.col("first") + 1).alias("covered"))
-    state = texts.join(covered, key, "left").join(sort.select(*key).distinct().withColumn("sorted", F.lit(True)), key, "left")
-    all_goes = (F.col("copies") > 1) | (F.coalesce("covered", F.lit(0)) == F.col("n_bytes") - F.lit(length - 1))
-    state = written(state.where("copies > 1 or covered is not null or sorted").select(*key, "row", all_goes.alias("all"), F.coalesce("sorted", F.lit(False)).alias("sorted")), "state")
-    wanted = state.where("sorted or not all").select(*key, "row")
+    # Texts to look into: those with contexts to sort, and those that go in part. A text with a copy goes as a whole.
+    sort = written(contexts.join(crowd, "core").select("core", "times", "doc", "place", (F.col("crowd") > hot).alias("hot")), "to-sort")
+    copied = base.where(F.col("n_bytes") >= length).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.lit(True).alias("copied"))
+    covered = whole.groupBy("doc").agg(F.sum(F.expr("(place >> 12 & 4095) + 1")).alias("covered"))
+    state = base.where(F.col("n_bytes") >= length).join(copied, key, "left").join(covered, "doc", "left").join(sort.select("doc").distinct().withColumn("sorted", F.lit(True)), "doc", "left")
+    all_goes = F.coalesce("copied", F.lit(False)) | (F.coalesce("covered", F.lit(0)) == F.col("n_bytes") - F.lit(length - 1))
+    state = written(state.where("copied or covered is not null or sorted").select("doc", "doc_id", *key, all_goes.alias("all"), F.coalesce("sorted", F.lit(False)).alias("sorted")), "state")
+
+    # These texts are fetched in one shuffle. The joins with texts are merge joins at every size: both sides grow with the corpus.
+    wanted = state.where("sorted or not all").select("doc", *key, F.col("doc_id").alias("row"))
     sha = F.sha2(F.col("text"), 256)
     half = lambda k: F.conv(F.substring(sha, k, 16), 16, -10).cast("long")
     sources = docs.select(F.col(id).cast("long").alias("row"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text")).where(F.octet_length("text") >= length).withColumn("h1", half(1)).withColumn("h2", half(17)).alias("s")
     same = F.expr("s.h1 = w.h1 and s.h2 = w.h2 and s.row <=> w.row")
-    looked = written(sources.join(wanted.alias("w"), same, "left_semi").dropDuplicates(key).select(*key, "text"), "texts")
-
-    lists = sort.groupBy(*key, "hot").agg(F.collect_list(F.struct("core", *key, "at", "first", "last", (F.col("times") == 1).alias("need"), "times")).alias("marks"))
-    lists = lists.join(looked, key).select("hot", "text", "marks")
-    buckets = partitions(spark)
-    runs = written(_runs(lists.where("not hot"), length, buckets), "runs")
-    found = _merged(runs, length, core)
-    windows = written(_windows(lists.where("hot"), length), "windows")
-    twice = windows.groupBy("core", "window").agg(F.sum("times").alias("n")).where("n > 1").select("core", "window")
-    found = found.unionByName(windows.where("times = 1").join(twice, ["core", "window"]).select(*key, F.col("start").alias("first"), F.col("start").alias("last")))
+    looked = written(sources.join(wanted.hint("merge").alias("w"), same).select("doc", "text").dropDuplicates(["doc"]), "texts")
+
+    lists = sort.groupBy("doc").agg(F.collect_list(F.struct("core", "doc", F.expr(AT).alias("at"), F.expr(FIRST).alias("first"), F.expr(LAST).alias("last"), "times", "hot")).alias("marks"))
+    runs = written(_runs(lists.hint("merge").join(looked, "doc"), length, partitions(spark)), "runs")
+    found = _merged(runs.where("bucket is not null"), length, core)
+    windows = runs.where("bucket is null").select(F.explode(F.arrays_zip("core", "window", "doc", "at", "need")).alias("w")).select("w.*")
+    twice = windows.groupBy("core", "window").agg(F.count("*").alias("n"), F.min("need").alias("once")).where("n > 1 or not once").select("core", "window")
+    found = found.unionByName(windows.where("need").join(twice, ["core", "window"]).select("doc", F.col("at").alias("first"), F.col("at").alias("last")))
     found = written(found, "sorted-contexts")
 
-    partly = state.where("not all").select(*key)
-    ranges = whole.unionByName(found).join(partly, key, "left_semi").groupBy(*key).agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
-    cut = written(_cut(looked.join(ranges, key), length, with_text), "cut")
+    partly = state.where("not all").select("doc")
+    ranges = whole.select("doc", F.expr(FIRST).alias("first"), F.expr(LAST).alias("last")).unionByName(found).join(partly, "doc", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    cut = written(_cut(ranges.hint("merge").join(looked, "doc"), length, with_text), "cut")
 
-    results = cut.withColumn("all", F.lit(False)).unionByName(state.where("all").select(*key, F.lit(True).alias("all")), allowMissingColumns=True)
-    out = base.join(results, key, "left")
+    results = cut.withColumn("all", F.lit(False)).unionByName(state.where("all").select("doc", F.lit(True).alias("all")), allowMissingColumns=True)
+    out = base.join(results, "doc", "left")
     gone = F.coalesce("all", F.lit(False))
     columns = [
         "doc_id",

@@ -73,7 +73,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 
 def _named(nodes: DataFrame) -> DataFrame:
-    """nodes (id, n, label, dim, unit) with `codes`, the cells' names; label and dimension are part of a name."""
+    """nodes (id, n, label, dim, unit, uid) with `codes`, the cells' names; label and dimension are part of a name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,18 +87,18 @@ def _named(nodes: DataFrame) -> DataFrame:
             codes = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32)), pa.array(codes.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, codes], [*batch.schema.names, "codes"])
 
-    return nodes.mapInArrow(run, "id long, n long, label long, dim int, unit array<double>, codes array<long>")
+    return nodes.mapInArrow(run, "id long, n long, label long, dim int, unit array<double>, uid long, codes array<long>")
 
 
 def _meet(home: np.ndarray, codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For pairs (a, b) with the smaller id first: by table, whether a's own cell is among b's, and b's own among a's."""
+    """For pairs (a, b) with the smaller number first: by table, whether a's own cell is among b's, and b's own among a's."""
     return (codes[b] == home[a][:, :, None]).any(2), (codes[a] == home[b][:, :, None]).any(2)
 
 
 def _compare(block: pa.Table, cosine: float) -> list[tuple[int, int | None, int]]:
     """(id, None, links counted here) and (id, other, 0) for spanning edges, from one pair of blocks of one cell."""
     name, side = block.column(0)[0].as_py(), block.column("side").to_numpy()
-    ids, n = block.column("id").to_numpy(), block.column("n").to_numpy()
+    ids, n, order = (block.column(c).to_numpy() for c in ("id", "n", "uid"))
     unit = _matrix(block.column("unit"), block.column("dim")[0].as_py())
     codes = _matrix(block.column("codes"), TABLES * (1 + PROBES)).reshape(len(ids), TABLES, 1 + PROBES)
     left, right = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
@@ -109,9 +109,9 @@ def _compare(block: pa.Table, cosine: float) -> list[tuple[int, int | None, int]
         near[lo : lo + 256] = unit[part] @ unit[right].T >= cosine
     i, j = np.nonzero(near)
     a, b = left[i], right[j]
-    once = (ids[a] < ids[b]) if (side == 2).all() else (ids[a] != ids[b])
+    once = (order[a] < order[b]) if (side == 2).all() else (order[a] != order[b])
     a, b = a[once], b[once]
-    low = ids[a] < ids[b]
+    low = order[a] < order[b]
     a, b = np.where(low, a, b), np.where(low, b, a)
     home = codes[:, :, 0]
     count = np.zeros(len(ids), np.int64)
@@ -142,7 +142,7 @@ def classes(vectors: DataFrame, *, id: str = "vec_id", embedding: str = "embeddi
 
     Rows link when their labels are equal and not null and their cosine in double precision is at least `cosine`. Vectors that are
     null, empty, zero or hold null or non-finite components link with nothing, nor do rows without an id or vectors of unlike
-    length. Rows with equal vectors and labels link with each other; of rows with one id the graph has one node for each vector.
+    length. Rows with equal vectors and labels link with each other; rows with one id are one node, with the links of all its vectors.
     The cosine of every link is exact; a true link is missed if its ends never meet in a cell, with chance 0.001 at the threshold.
     """
     spark = vectors.sparkSession
@@ -157,16 +157,16 @@ def classes(vectors: DataFrame, *, id: str = "vec_id", embedding: str = "embeddi
     scaled = F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs)))
     norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda acc, x: acc + x * x))
     nodes = nodes.withColumn("s", scaled).withColumn("norm", norm)
-    nodes = nodes.select("id", "n", "label", F.size("v").alias("dim"), F.transform("s", lambda x: x / F.col("norm")).alias("unit"))
+    nodes = nodes.select("id", "n", "label", F.size("v").alias("dim"), F.transform("s", lambda x: x / F.col("norm")).alias("unit"), F.monotonically_increasing_id().alias("uid"))  # fixed when written
     nodes = written(_named(nodes), "nodes")
 
-    places = nodes.select("id", "label", F.posexplode("codes").alias("at", "cell")).select("id", "label", "cell", (F.col("at") % (1 + PROBES) == 0).cast("int").alias("home"))
+    places = nodes.select("uid", F.posexplode("codes").alias("at", "cell")).select("uid", "cell", (F.col("at") % (1 + PROBES) == 0).cast("int").alias("home"))
     live = places.groupBy("cell").agg(F.count("*").alias("m"), F.sum("home").alias("homes")).where("m > 1 and homes > 0")
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    places = places.join(live, "cell").select("cell", "id", "label", blocks.alias("blocks")).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    places = places.join(live, "cell").select("cell", "uid", blocks.alias("blocks")).withColumn("mine", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     places = places.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    places = places.select("cell", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"), "id", "label")
-    placed = places.join(nodes, ["id", "label"]).select("cell", "lo", "hi", "side", "id", "n", "dim", "unit", "codes")
+    places = places.select("cell", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"), "uid")
+    placed = places.join(nodes, "uid").select("cell", "lo", "hi", "side", "id", "uid", "n", "dim", "unit", "codes")
     placed = placed.repartition(partitions(spark), "cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ ORDER, DIM = 3, 16
 WORDS, CLASSES = 256, 64  # outputs
 INPUTS, ENDINGS = 8192, 1024  # input vectors: of words, and of the endings of all other words
 HEAD = 1 << 18  # so many counts at most go to every task; rarer words get theirs in a join
-NOISE, BATCH, RATE = 64, 1024, 0.08
+NOISE, BATCH, RATE = 32, 2048, 0.5
 SLICES, LEAST_VISITS, WORKER_TOKENS = 4, 3_000_000, 1_000_000
 END = np.uint64(0x454E44)  # stands for the end of a text among word hashes
 
@@ -180,17 +180,26 @@ class Model:
     def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """The natural logarithm of each target's probability after its context (nearest word first), in batches of products."""
         tables = [self.vectors @ m for m in self.matrices]
-        out = np.empty(len(targets))
-        for lo in range(0, len(targets), 4096):
-            c, t = contexts[lo : lo + 4096], targets[lo : lo + 4096]
-            hidden = sum(table[c[:, k]] for k, table in enumerate(tables))
-            scores = hidden @ self.outputs.T
-            scores += self.bias
-            own = scores[np.arange(len(t)), t].astype(float)
-            top = scores.max(1, keepdims=True)
-            scores -= top
-            np.exp(scores, out=scores)
-            out[lo : lo + 4096] = own - top[:, 0] - np.log(scores.sum(1, dtype=np.float64))
+        top = float(self.bias.max())  # taken off all scores, which then seldom are far from 0
+        weights = np.concatenate([self.outputs, (self.bias - top)[:, None]], 1).T.copy()
+        ones, out = np.ones(len(self.bias), np.float32), np.empty(len(targets))
+        hidden, scores = np.ones((1024, DIM + 1), np.float32), np.empty((1024, len(self.bias)), np.float32)
+        for lo in range(0, len(targets), 1024):
+            c, t = contexts[lo : lo + 1024], targets[lo : lo + 1024]
+            h, s = hidden[: len(t)], scores[: len(t)]
+            h[:, :DIM] = tables[0].take(c[:, 0], 0)
+            for k in range(1, ORDER):
+                h[:, :DIM] += tables[k].take(c[:, k], 0)
+            np.matmul(h, weights, out=s)
+            own = s[np.arange(len(t)), t].astype(float)
+            with np.errstate(over="ignore"):
+                np.exp(s, out=s)
+            total = s @ ones
+            far = ~((total > 1e-30) & (total < 1e30))
+            out[lo : lo + 1024] = own - np.log(np.where(far, 1, total).astype(float))
+            for k in np.flatnonzero(far):  # beyond single precision
+                z = h[k].astype(float) @ weights
+                out[lo + k] = z[t[k]] - z.max() - np.log(np.exp(z - z.max()).sum())
         return out
 
     def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], frequency: np.ndarray, seed: int) -> None:
@@ -207,23 +216,24 @@ class Model:
             parts[k][rows] -= RATE * gradient / np.sqrt(seen[k][rows])
 
         def by_row(rows, gradient):
-            order = np.argsort(rows, kind="stable")
+            order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort
             rows = rows[order]
             first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            return rows[first], np.add.reduceat(gradient[order], first, axis=0)
+            return rows[first], np.add.reduceat(gradient.take(order, 0), first, axis=0)
 
         for contexts, targets in batches:
             n = len(targets)
             noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), len(frequency) - 1)
-            inputs = self.vectors[contexts]
-            hidden = sum(inputs[:, k] @ self.matrices[k] for k in range(ORDER))
-            own = (hidden * self.outputs[targets]).sum(1) + self.bias[targets] - log_noise[targets]
+            inputs = [self.vectors.take(contexts[:, k], 0) for k in range(ORDER)]
+            hidden = sum(inputs[k] @ self.matrices[k] for k in range(ORDER))
+            to = self.outputs.take(targets, 0)
+            own = np.einsum("ij,ij->i", hidden, to) + self.bias[targets] - log_noise[targets]
             other = hidden @ self.outputs[noise].T + self.bias[noise] - log_noise[noise]
             d_own, d_other = ((sigmoid(own) - 1) / n).astype(np.float32), (sigmoid(other) / n).astype(np.float32)
-            d_hidden = d_own[:, None] * self.outputs[targets] + d_other @ self.outputs[noise]
+            d_hidden = d_own[:, None] * to + d_other @ self.outputs[noise]
             rows, g = by_row(np.concatenate([targets, noise]), np.concatenate([np.column_stack([d_own[:, None] * hidden, d_own]), np.column_stack([d_other.T @ hidden, d_other.sum(0)])]))
             d_vectors = np.concatenate([d_hidden @ self.matrices[k].T for k in range(ORDER)])
-            d_matrices = np.stack([inputs[:, k].T @ d_hidden for k in range(ORDER)])
+            d_matrices = np.stack([inputs[k].T @ d_hidden for k in range(ORDER)])
             step(2, rows, g[:, :-1])
             step(3, rows, g[:, -1])
             step(1, slice(None), d_matrices)

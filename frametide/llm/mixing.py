@@ -75,20 +75,17 @@ def mix(
         words(F.col(text)).alias("size"),
         F.col(source).alias("source"),
         hashed.alias("_key"),
+        F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("_source"),  # no nulls: windows and joins deal rows alike
         *([F.struct(*docs.columns).alias("row")] if keep else []),
     ).withColumn("_range", F.shiftright(F.shiftright("_key", 30) * F.lit(ranges), 30).cast("int"))
-    sums = base.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
-    goal = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, max_epochs)
-    earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
-        .alias("s")
-        .join(goal.alias("g"), F.expr("s.source <=> g.source"))
-        .select(F.col("s.source").alias("_source"), F.col("s._range").alias("_r"), "_offset", "source_size", "target")
-    )
-    inside = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size")
+    sums = base.groupBy("_source", "_range").agg(F.sum("size").alias("_sum"), F.first("source").alias("source"))
+    goal = targets(sums.groupBy("_source").agg(F.sum("_sum").alias("source_size"), F.first("source").alias("source")).drop("_source"), weights, max_epochs)
+    goal = goal.withColumn("_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
+    earlier = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum", "source").join(goal, "_source")
+    inside = Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", "size")
     placed = base.withColumn("_end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = placed.join(offsets, F.expr("source <=> _source and _range = _r"))
+    placed = placed.join(offsets, ["_source", "_range"])
     start = F.col("_offset") + F.col("_end") - F.col("size")
     budget = F.rint("target").cast("long")
     taken = F.lit(0).cast("long")

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import groups, mix, partitions, prefix_hash, shared_dir, slabs, substring_hash, written
 
 LENGTH, CORE = 400, 128
-#: Cores with more different contexts than this are not merged in one task; their windows are counted one by one.
-HOT = 2000
+#: Cores with more different contexts than this (30 MB of text) are not merged in one task; their windows are counted one by one.
+HOT = 50_000
 RUN = 20_000
 _CHUNK = 1 << 19
 
@@ -205,16 +205,20 @@ def repeated(rights: list[int], lefts: list[bytes], spans: list[tuple[int, int]]
     rank[order] = np.arange(g)
     low, high = min(s[0] for s in spans), max(s[1] for s in spans)
     cuts = np.unique(np.clip(np.concatenate([[low], length - right[1:], left[1:] + 1]), low, high + 1))
-    out: list[list[tuple[int, int]]] = [[] for _ in range(g)]
-    for lo, hi in zip(cuts, np.append(cuts[1:], high + 1), strict=True):
-        if lo >= hi:
-            continue
+    ends = np.append(cuts[1:], high + 1)
+    cuts, ends = cuts[cuts < ends], ends[cuts < ends]
+    again = np.zeros((len(cuts) + 2, g), bool)
+    for n, lo in enumerate(cuts):
         key = np.cumsum(right < length - lo) * (g + 1) + np.cumsum(left < lo)[rank]
         _, which, count = np.unique(key, return_inverse=True, return_counts=True)
-        for k in np.flatnonzero(count[which] > 1):
-            a, b = max(int(lo), spans[k][0]), min(int(hi) - 1, spans[k][1])
-            if a <= b:
-                out[k].append((a, b))
+        again[n + 1] = count[which] > 1
+    # a context's neighbouring ranges are one
+    out: list[list[tuple[int, int]]] = [[] for _ in range(g)]
+    starts, stops = (np.argwhere((again[1:] & ~again[:-1]).T), np.argwhere((again[:-1] & ~again[1:]).T))
+    for (k, first), (_, stop) in zip(starts.tolist(), stops.tolist(), strict=True):
+        lo, hi = max(int(cuts[first]), spans[k][0]), min(int(ends[stop - 1]) - 1, spans[k][1])
+        if lo <= hi:
+            out[k].append((lo, hi))
     return out
 
 

@@ -207,7 +207,8 @@ def classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", similari
 
     sizes = suspected.groupBy("component").agg(F.count("*").alias("size"))
     whole = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    whole = whole.join(suspected.join(sizes, "component"), "id").dropDuplicates(["id", "text"])
+    # A merge join at every size: the suspects grow with the corpus as the texts do.
+    whole = whole.join(suspected.join(sizes, "component").hint("merge"), "id").dropDuplicates(["id", "text"])
     blocks = in_blocks(whole, "component", F.col("size"), "text")
     found = components(written(_spanning(blocks, _verified(similarity)), "links").distinct())
 

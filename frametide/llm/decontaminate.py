@@ -4,7 +4,8 @@ Scores are shares of an item's score against itself, so that one threshold holds
 left out of its postings as long as they make up no more than SLACK of it; what they could add is taken off its threshold.
 Items lie in blocks, and each word keeps its largest impact in each block. WAND's test is made for all passages of a slab of text
 at once: only the blocks whose summed maxima reach the block's threshold are opened, and only items that reach their own are
-scored in full. What passes is verified by the shares of the question's and of the answer's five-word runs in the passage.
+scored in full. What passes is verified by the share of the item's five-word runs in the passage, or, where the benchmark has
+answers, by the question's and the answer's shares. An item's threshold is low enough for whatever this accepts.
 """
 
 from __future__ import annotations
@@ -20,44 +21,62 @@ from .common import Slab, run_hashes, slabs
 
 K1, B = 1.2, 0.75
 THRESHOLD, SLACK, BLOCK = 0.6, 0.25, 8
-WIDTH, QUESTION, ANSWER, ANSWER_PART = 5, 0.8, 0.5, 0.2
+WIDTH, QUESTION, ANSWER = 5, 0.8, 0.5
 PASSAGE = 256
 #: Bytes of items in one index; a larger benchmark is searched with several indexes, one after another.
 INDEX_BYTES = 1 << 25
 HITS = "_row long, item_id long, bm25 double, question_overlap double, answer_overlap double"
 
 
+class Counts:
+    """Of the items with words: how many, their words in all, the longest one's words, and in how many each word is."""
+
+    def __init__(self, words: list[np.ndarray]):
+        self.n, self.total, self.longest = len(words), sum(map(len, words)), max(map(len, words), default=0)
+        self.vocabulary, self.df = np.unique(np.concatenate([np.unique(w) for w in words]) if words else np.empty(0, np.uint64), return_counts=True)
+
+    def add(self, other: Counts) -> None:
+        self.n, self.total, self.longest = self.n + other.n, self.total + other.total, max(self.longest, other.longest)
+        self.vocabulary, at = np.unique(np.concatenate([self.vocabulary, other.vocabulary]), return_inverse=True)
+        self.df = np.bincount(at, np.concatenate([self.df, other.df]), len(self.vocabulary)).astype(np.int64)
+
+
 class Index:
-    """An inverted index of items (item_id, question, answer); without an answer the last fifth of the question's words is it."""
+    """An inverted index of items (item_id, question, answer or None). `counts` are those of all items where these are only some."""
 
-    def __init__(self, items: list[tuple[int, str, str | None]]):
+    def __init__(self, items: list[tuple[int, str, str | None]], counts: Counts | None = None):
         items = sorted(((i, q or "", a) for i, q, a in items), key=lambda x: (len(x[1]) + len(x[2] or ""), x[0] is None, x[0] or 0))
         self.ids, self.words, self.parts = [], [], []
         for i, question, answer in items:
             q, a = (_words(x) for x in (question, answer or ""))
-            if answer is None and len(q):
-                cut = len(q) - max(1, round(ANSWER_PART * len(q)))
-                q, a = q[:cut], q[cut:]
             if len(q) + len(a):
                 self.ids.append(i)
                 self.words.append(np.concatenate([q, a]))
-                self.parts.append(len(q))
+                self.parts.append(None if answer is None else len(q))
         n = len(self.ids)
-        self.passage = max(PASSAGE, 2 * max(map(len, self.words), default=0))
-        counts = [np.unique(w, return_counts=True) for w in self.words]
-        self.vocabulary, df = np.unique(np.concatenate([u for u, _ in counts]) if n else np.empty(0, np.uint64), return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        mean = np.mean([len(w) for w in self.words]) if n else 1.0
+        counts = counts or Counts(self.words)
+        # an item with some words put in still lies in one passage
+        self.passage = max(PASSAGE, 2 * (counts.longest + counts.longest // 4))
+        own = [np.unique(w, return_counts=True) for w in self.words]
+        self.vocabulary = np.unique(np.concatenate([u for u, _ in own])) if n else np.empty(0, np.uint64)
+        df = counts.df[np.searchsorted(counts.vocabulary, self.vocabulary)]
+        idf = np.log1p((counts.n - df + 0.5) / (df + 0.5))
+        mean = counts.total / counts.n if counts.n else 1.0
+        self.widths = [min(WIDTH, len(w)) for w in self.words]
+        self.runs = [run_hashes(w, np.array([0, len(w)]), d)[0] for w, d in zip(self.words, self.widths, strict=True)]
         self.terms, self.impacts, terms, items_, kept = [], [], [], [], []
-        self.left_out = np.zeros(n)
-        for k, (u, tf) in enumerate(counts):
+        self.left_out, self.least = np.zeros(n), np.full(n, THRESHOLD)
+        for k, (u, tf) in enumerate(own):
             t = np.searchsorted(self.vocabulary, u)
             impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(self.words[k]) / mean))
             impact /= impact.sum()
             self.terms.append(t)
             self.impacts.append(impact)
             common = np.argsort(-df[t], kind="stable")
-            drop = common[np.cumsum(impact[common]) <= SLACK]
+            # of m lost runs no more than m words are lost
+            lost = self._may_lose(k)
+            self.least[k] = min(THRESHOLD, 1 - np.sort(impact)[::-1][:lost].sum()) - 1e-9
+            drop = common[np.cumsum(impact[common]) <= min(SLACK, self.least[k] / 2)]
             self.left_out[k] = impact[drop].sum()
             stay = np.setdiff1d(np.arange(len(t)), drop)
             terms.append(t[stay])
@@ -74,13 +93,21 @@ class Index:
         first = np.flatnonzero(np.diff(key, prepend=-1))
         self.block, self.block_max = (self.item // BLOCK)[first], np.maximum.reduceat(self.impact, first) if len(first) else np.empty(0)
         self.block_at = np.searchsorted(term[order][first], np.arange(v + 1))
-        self.block_least = np.array([THRESHOLD - self.left_out[k * BLOCK : (k + 1) * BLOCK].max() for k in range(self.blocks)])
+        self.block_least = np.array([(self.least - self.left_out)[k * BLOCK : (k + 1) * BLOCK].min() for k in range(self.blocks)])
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.vocabulary >> np.uint64(44)] = True
-        self.widths = [min(WIDTH, len(w)) for w in self.words]
-        self.runs = [run_hashes(w, np.array([0, len(w)]), d)[0] for w, d in zip(self.words, self.widths, strict=True)]
 
-    def search(self, slab: Slab) -> Iterator[tuple[int, int, float, float, float]]:
+    def _split(self, k: int) -> int:
+        """How many of the item's runs are the question's; the others reach into the answer. Without an answer all are the question's."""
+        n = len(self.runs[k])
+        return n if self.parts[k] is None else min(n, max(0, self.parts[k] - self.widths[k] + 1))
+
+    def _may_lose(self, k: int) -> int:
+        """How many runs a passage that holds the item may lack."""
+        split = self._split(k)
+        return int((1 - QUESTION) * split + 1e-9) + int((1 - ANSWER) * (len(self.runs[k]) - split))
+
+    def search(self, slab: Slab) -> Iterator[tuple[int, int, float, float, float | None]]:
         """(text's index, item's index, BM25 share, question's and answer's overlap): for each text and item the best passage."""
         hashes, first = slab.word_hashes(plain=True)
         if not len(self.ids) or not len(hashes):
@@ -108,13 +135,13 @@ class Index:
         inside = np.isin(p * self.blocks + i // BLOCK, key)
         n = len(self.ids)
         key, partial = _sum(p[inside] * n + i[inside], x[inside])
-        key = key[partial + 1e-9 >= THRESHOLD - self.left_out[key % n]]
+        key = key[partial + 1e-9 >= (self.least - self.left_out)[key % n]]
         best: dict[tuple[int, int], tuple] = {}
         for q, i in zip((key // n).tolist(), (key % n).tolist(), strict=True):
             lo, hi = np.searchsorted(passage, [q, q + 1])
             found = np.isin(self.terms[i], term[lo:hi])
             share = float(self.impacts[i][found].sum())
-            if share < THRESHOLD:
+            if share < self.least[i]:
                 continue
             d = int(np.searchsorted(base, q, side="right")) - 1
             a = first[d] + max(0, (q - base[d] - 1) * half)
@@ -122,10 +149,10 @@ class Index:
             width = self.widths[i]
             there = run_hashes(hashes[a:z], np.array([0, z - a]), width)[0] if z - a >= width else np.empty(0, np.uint64)
             known = np.isin(self.runs[i], there)
-            split = max(0, self.parts[i] - width + 1)  # runs from here on reach into the answer
+            split = self._split(i)
             question, answer = (float(y.mean()) if len(y) else 1.0 for y in (known[:split], known[split:]))
             if question >= QUESTION and answer >= ANSWER and (share, question) > best.get((d, i), (0.0, 0.0))[:2]:
-                best[d, i] = share, question, answer
+                best[d, i] = share, question, None if self.parts[i] is None else answer
         for (d, i), x in best.items():
             yield d, i, *x
 
@@ -152,13 +179,21 @@ def indexes(items: DataFrame, *, id: str = "item_id", question: str = "text", an
     rows = items.select(F.col(id).alias("i"), F.col(question).alias("q"), (F.col(answer) if answer else F.lit(None).cast("string")).alias("a")).distinct()
     total = rows.agg(F.sum(F.coalesce(F.octet_length("q"), F.lit(0)) + F.coalesce(F.octet_length("a"), F.lit(0)))).first()[0] or 0
     n = 1 + total // INDEX_BYTES
+    part = lambda k: [tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "q"), F.lit(n)) == k).collect()]
+    counts = None
+    if n > 1:  # one rarity for a word, whatever the index
+        counts = Counts([])
+        for k in range(n):
+            counts.add(Counts([w for w in (np.concatenate([_words(q or ""), _words(a or "")]) for _, q, a in part(k)) if len(w)]))
     for k in range(n):
-        yield Index([tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "q"), F.lit(n)) == k).collect()])
+        yield Index(part(k), counts)
 
 
 def find(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str = "text", item_id: str = "item_id", question: str = "text", answer: str | None = None) -> DataFrame:
     """(doc_id, item_id, bm25, question_overlap, answer_overlap) for each document and each item that it holds.
 
+    A document holds an item without an answer if a passage has QUESTION of all its five-word runs (answer_overlap is null), one with an
+    answer if it has QUESTION of the question's and ANSWER of those that reach into the answer.
     Whole texts are searched in overlapping passages of at least twice the longest item. Null and empty texts and items hold
     nothing. Repeated document rows give one row for each item; an empty table gives no rows. Other columns do not matter.
     """

@@ -110,3 +110,39 @@ def test_index_finds_what_a_full_search_finds(prose):
         assert found <= full
         exact = {i for i in full if " ".join(words(items[i][1])) in " ".join(w)}
         assert exact <= found
+
+
+@pytest.mark.parametrize("changes", [1, 2])
+def test_edited_items_are_hits(prose, changes):
+    """Whatever keeps four fifths of an item's five-word runs is a hit, wherever its words are changed or cut off."""
+    from frametide.llm.common import Slab
+
+    rng, text = random.Random(changes), prose[1]
+    items = [(k, text(n), None) for k, n in enumerate([*range(29, 36), 47, 60, 90, 400])]
+    index, around, docs, want = decontaminate.Index(items), words(text(40)), [], set()
+    for k, item, _ in items:
+        w = words(item)
+        places = [[p] if changes == 1 else [p, rng.randrange(len(w))] for p in range(0, len(w), 1 + len(w) // 60)]
+        versions = [[f"other{j}" if j in at else x for j, x in enumerate(w)] for at in places] + [w[: len(w) - c] for c in range(1, min(12, len(w) // 5))]
+        for v in versions:
+            doc = [*around, *v, *around]
+            there = {tuple(doc[j : j + 5]) for j in range(len(doc) - 4)}
+            if np.mean([tuple(w[j : j + 5]) in there for j in range(len(w) - 4)]) >= 0.8:
+                want.add((len(docs), k))
+            docs.append(" ".join(doc).encode())
+    slab = Slab(0, np.frombuffer(b"".join(docs), np.uint8), np.cumsum([0, *map(len, docs)]))
+    assert {(d, index.ids[i]) for d, i, *_ in index.search(slab)} == want and len(want) > 150
+
+
+def test_several_indexes_score_alike(spark, prose, monkeypatch):
+    rng, text = prose
+    items = [(k, text(rng.randint(20, 50))) for k in range(40)]
+    docs = spark.createDataFrame([(k, text(50) + " " + t) for k, t in items], SCHEMA)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    scores = lambda: {(r.doc_id, r.item_id): round(r.bm25, 9) for r in decontaminate.find(docs, bench).collect()}
+    parts = lambda: [dict(zip(i.ids, (dict(zip(i.vocabulary[t].tolist(), np.round(x, 9).tolist(), strict=True)) for t, x in zip(i.terms, i.impacts, strict=True)), strict=True)) for i in decontaminate.indexes(bench)]
+    whole, (impacts,) = scores(), parts()
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 3000)
+    split = parts()
+    assert len(split) > 1 and {i: x for p in split for i, x in p.items()} == impacts
+    assert scores() == whole and len(whole) >= 40

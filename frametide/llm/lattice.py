@@ -50,7 +50,11 @@ def decode(x: np.ndarray) -> np.ndarray:
 
 
 def cells(unit: np.ndarray, tables: int = TABLES, scale: float = SCALE, probes: int = PROBES) -> np.ndarray:
-    """64-bit names of cells, (rows, tables, 1 + probes): the vector's own cell first, then those it probes."""
+    """64-bit names of cells, (rows, tables, 1 + probes): the vector's own cell first, then those it probes.
+
+    Eight of few dimensions hold more of a vector than eight of many, so below 64 dimensions the scale shrinks with their root.
+    """
+    scale *= min(1.0, (unit.shape[1] / 64) ** 0.5)
     out = []
     for t in range(tables):
         rng = np.random.default_rng([unit.shape[1], t])
@@ -143,7 +147,8 @@ def classes(vectors: DataFrame, *, id: str = "vec_id", embedding: str = "embeddi
     Rows link when their labels are equal and not null and their cosine in double precision is at least `cosine`. Vectors that are
     null, empty, zero or hold null or non-finite components link with nothing, nor do rows without an id or vectors of unlike
     length. Rows with equal vectors and labels link with each other; rows with one id are one node, with the links of all its vectors.
-    The cosine of every link is exact; a true link is missed if its ends never meet in a cell, with chance 0.001 at the threshold.
+    The cosine of every link is exact; a true link is missed if its ends never meet in a cell, with chance of about 0.001 at most at the threshold, whatever
+    the dimension (README has figures).
     """
     spark = vectors.sparkSession
     shared_dir(spark)

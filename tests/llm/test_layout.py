@@ -157,6 +157,18 @@ def test_lattice(spark, monkeypatch, block):
     assert lattice.classes(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [2, 7, 8, 16, 32, 64, 128])
+def test_pairs_near_the_threshold_meet(dim):
+    rng = np.random.default_rng(dim)
+    a, b = rng.normal(size=(2, 3000, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (b * a).sum(1)[:, None] * a
+    b = 0.931 * a + np.sqrt(1 - 0.931**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    x, y = lattice.cells(a), lattice.cells(b)
+    meet = ((x == y[:, :, :1]) | (y == x[:, :, :1])).any((1, 2))
+    assert meet.mean() >= 0.995
+
+
 def test_e8_points_are_nearest():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 8)) * 2

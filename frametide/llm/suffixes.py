@@ -3,10 +3,12 @@
 A byte goes if a `length`-byte string that also starts elsewhere covers it. Equal strings hold equal anchors: the least hash among
 their `core`-byte substrings marks the same offset in both. So only anchors are sorted, not all suffixes. An anchor owns the
 strings (windows) that it is the least of, and its context is what these cover. Anchors whose core occurs once own nothing that
-repeats. Contexts that occur twice repeat as a whole. What is left, contexts that share a core but differ, is sorted: each task
-sorts the suffixes that start at its anchors into runs and sends them front-coded (the length shared with the previous suffix, and
-the rest); the receiver merges its runs with a loser tree that compares suffixes only beyond the prefixes it knows to be equal. The
-merge yields the common prefixes of neighbours; with the same for the texts to the left, they say which windows repeat.
+repeats. Equal contexts are counted before anything is sent: the core's hash and a cryptographic digest of the context, 128 bits in
+all, stand for its bytes, as a SHA-256 does for equal texts. One that occurs twice repeats as a whole. Contexts that share a core but
+differ are sorted: each task sorts the suffixes that start at its anchors into runs and sends them front-coded (the length shared with
+the previous suffix, and the rest); the receiver merges its runs with a loser tree that compares suffixes only beyond the prefixes it
+knows to be equal. The merge yields the common prefixes of neighbours; with the same for the texts to the left, they say which
+windows repeat.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ LENGTH, CORE = 400, 128
 #: Cores with more different contexts than this (30 MB of text) are not merged in one task; their windows are counted one by one.
 HOT = 50_000
 RUN = 20_000
+#: So many contexts, about, are merged at a time; the number of buckets follows.
+BUCKET = 20_000
 _CHUNK = 1 << 19
 
 
@@ -43,7 +47,8 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, core: int = CORE) -> tuple[np.ndarray, ...]:
-    """(at, first, last, core's hash, context's hash): each anchor, its first and last window's start."""
+    """(at, first, last, core's hash, context's digest): each anchor, its first and last window's start."""
+    raw = memoryview(np.ascontiguousarray(data))
     parts = [np.empty((0, 3), np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
     for lo in range(0, len(data) - length + 1, _CHUNK):
         piece = data[lo : lo + _CHUNK + length - 1]
@@ -58,7 +63,8 @@ def anchors(data: np.ndarray, length: int = LENGTH, core: int = CORE) -> tuple[n
         shape = ((mark - first) * length + (last - first)).astype(np.uint64)
         parts[0].append(np.stack([mark, first, last], 1) + lo)
         parts[1].append(hashes[mark])
-        parts[2].append(mix(substring_hash(sums, first, last + length) ^ mix(shape)))
+        digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip((first + lo).tolist(), (last + length + lo).tolist(), strict=True))
+        parts[2].append(np.frombuffer(digests, np.uint64) ^ mix(shape))
     place, cores, contexts = (np.concatenate(p) for p in parts)
     return place[:, 0], place[:, 1], place[:, 2], cores, contexts
 
@@ -340,17 +346,14 @@ def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: in
     base = scanned.select("doc", "doc_id", "n_bytes", "sha256", *key)
     marks = scanned.select("doc", F.explode(F.arrays_zip("place", "core", "context")).alias("m")).select("doc", "m.*")
 
-    # Cores that occur again, and whether always in the same context.
-    again = marks.groupBy("core").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).where("n > 1").select("core", (F.col("a") != F.col("b")).alias("mixed"))
-    marks = written(marks.join(again, "core"), "repeated-cores")
-    contexts = marks.where("mixed").groupBy("core", "context").agg(F.count("*").alias("times"), F.min(F.struct("doc", "place")).alias("p"))
-    contexts = written(contexts.select("core", "context", "times", "p.*"), "contexts")
-    crowd = contexts.groupBy("core").agg(F.count("*").alias("crowd"), F.min("times").alias("least")).where("least = 1").drop("least")
-    whole = marks.where("not mixed").select("doc", "place").unionByName(marks.where("mixed").join(contexts.where("times > 1").select("core", "context"), ["core", "context"]).select("doc", "place"))
-    whole = written(whole, "whole-contexts")
+    # Contexts are counted first, so that a core in very many texts is a row for each of its contexts; then cores that occur again.
+    contexts = marks.groupBy("core", "context").agg(F.count("*").alias("times"), F.min(F.struct("doc", "place")).alias("p"))
+    again = contexts.groupBy("core").agg(F.sum("times").alias("n"), F.count("*").alias("crowd"), F.min("times").alias("least")).where("n > 1").drop("n")
+    contexts = written(contexts.join(again, "core").select("core", "context", "times", "p.*", "crowd", "least"), "contexts")
+    whole = written(marks.join(contexts.where("times > 1").select("core", "context"), ["core", "context"]).select("doc", "place"), "whole-contexts")
 
     # Texts to look into: those with contexts to sort, and those that go in part. A text with a copy goes as a whole.
-    sort = written(contexts.join(crowd, "core").select("core", "times", "doc", "place", (F.col("crowd") > hot).alias("hot")), "to-sort")
+    sort = contexts.where("crowd > 1 and least = 1").select("core", "times", "doc", "place", (F.col("crowd") > hot).alias("hot"))
     copied = base.where(F.col("n_bytes") >= length).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.lit(True).alias("copied"))
     covered = whole.groupBy("doc").agg(F.sum(F.expr("(place >> 12 & 4095) + 1")).alias("covered"))
     state = base.where(F.col("n_bytes") >= length).join(copied, key, "left").join(covered, "doc", "left").join(sort.select("doc").distinct().withColumn("sorted", F.lit(True)), "doc", "left")
@@ -366,7 +369,8 @@ def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: in
     looked = written(sources.join(wanted.hint("merge").alias("w"), same).select("doc", "text").dropDuplicates(["doc"]), "texts")
 
     lists = sort.groupBy("doc").agg(F.collect_list(F.struct("core", "doc", F.expr(AT).alias("at"), F.expr(FIRST).alias("first"), F.expr(LAST).alias("last"), "times", "hot")).alias("marks"))
-    runs = written(_runs(lists.hint("merge").join(looked, "doc"), length, partitions(spark)), "runs")
+    buckets = max(partitions(spark), sort.where("not hot").count() // BUCKET)
+    runs = written(_runs(lists.hint("merge").join(looked, "doc"), length, buckets), "runs")
     found = _merged(runs.where("bucket is not null"), length, core)
     windows = runs.where("bucket is null").select(F.explode(F.arrays_zip("core", "window", "doc", "at", "need")).alias("w")).select("w.*")
     twice = windows.groupBy("core", "window").agg(F.count("*").alias("n"), F.min("need").alias("once")).where("n > 1 or not once").select("core", "window")

@@ -1,9 +1,10 @@
 """WARC archives as a chunked record table.
 
-A payload never travels through Python whole: Spark cuts it into rows (record, chunk number, chunk), a writer streams these rows
-into archives with a running digest, and a reader streams archives back into the same kind of rows, each with the digest of the
-payload so far. Archives lie in the shared folder. A task writes files of its own and names them in its result, so that only the
-files of successful attempts are ever read.
+A payload never travels whole: Spark cuts it into rows (record, chunk number, chunk) where it is read, and a task adds a running digest
+to each as they stream by. Which records repeat is decided on the digests of last chunks alone; no payload is in a join. A writer then
+streams each record's head and its chunks into archives, digesting again, and a reader streams archives back into the same kind of
+rows, each with the digest of the payload so far. Archives lie in the shared folder. A task writes files of its own and names them in
+its result, so that only the files of successful attempts are ever read.
 """
 
 from __future__ import annotations
@@ -36,35 +37,59 @@ def base32(digest: bytes) -> str:
 # ---------------------------------------------------------------- writing
 
 
-def chunk_rows(pages: DataFrame, *, id: str = "page_id", url: str = "url", payload: str = "html", chunk: int = CHUNK, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """A row for each chunk of each record, a record's chunks one after another in one partition.
+def chunk_rows(pages: DataFrame, *, id: str = "page_id", url: str = "url", payload: str = "html", chunk: int = CHUNK) -> DataFrame:
+    """(record, id, url, chunk_no, is_last, data, bytes, sha1): a row for each chunk of each payload, bytes and sha1 of the payload
+    through that chunk. A null payload is empty and has one empty chunk; each row of pages is a record with a number of its own.
 
-    Of records with equal payloads of at least min_bytes, that with the smallest id is the response and the others refer to it;
-    a revisit has one empty chunk. Rows alike in id and payload are one capture seen again, and all are written as it is.
-    A null payload is empty; a null id has no record name and is a response only if no equal payload has an id.
+    The table is written to the shared folder, which fixes the numbers.
     """
-    rows = pages.select(
-        F.col(id).cast("long").alias("id"),
-        F.col(url).cast("string").alias("url"),
-        F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"),
-    ).withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.unhex(F.sha1("payload")))
-    # Only the digests that occur again go into the join.
-    again = rows.where(F.col("bytes") >= min_bytes).groupBy("sha1").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(again, "sha1", "left")
-    rows = rows.withColumn("refers_to", F.when(F.col("bytes") >= min_bytes, F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first"))))
-    rows = rows.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))
+    names = ["record", "id", "url", "chunk_no", "is_last", "data", "bytes", "sha1"]
+    rows = pages.select(F.monotonically_increasing_id().alias("record"), F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     last = F.greatest(F.lit(0), F.ceil(F.octet_length("payload") / F.lit(chunk)) - 1)
     rows = rows.withColumn("last", last).withColumn("chunk_no", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
-    return rows.select("id", "url", "bytes", "sha1", "refers_to", "chunk_no", (F.col("chunk_no") == F.col("last")).alias("is_last"), F.substring("payload", (F.col("chunk_no") * chunk + 1).cast("int"), F.lit(chunk)).alias("data"))
+    cut = rows.select("record", "id", "url", "chunk_no", (F.col("chunk_no") == F.col("last")).alias("is_last"), F.substring("payload", (F.col("chunk_no") * chunk + 1).cast("int"), F.lit(chunk)).alias("data"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, size = hashlib.sha1(), 0
+        for batch in batches:
+            sizes, digests = [], []
+            for no, data in zip(batch.column(3).to_pylist(), batch.column(5), strict=True):
+                if no == 0:
+                    digest, size = hashlib.sha1(), 0
+                digest.update(data.as_buffer())
+                size += len(data.as_buffer())
+                sizes.append(size)
+                digests.append(digest.digest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names)
+
+    digested = cut.mapInArrow(run, "record long, id long, url string, chunk_no long, is_last boolean, data binary, bytes long, sha1 binary")
+    return written(digested, "chunks", compression="zstd")
+
+
+def records(chunks: DataFrame, *, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """(record, chunk_no, id, url, bytes, sha1, refers_to, first_record, is_last, data): each record's head, numbered -1, and then its
+    chunks, in one partition.
+
+    Of records with equal payloads of at least min_bytes, that with the smallest id is the response and the others refer to it.
+    Rows alike in id and payload are one capture seen again, and all are written as it is. A record without an id is a response
+    only if no equal payload has an id.
+    """
+    whole = chunks.where("is_last").select("record", "id", "url", "bytes", "sha1")
+    named = F.when(F.col("id").isNotNull(), F.struct("id", "record"))
+    again = whole.where(F.col("bytes") >= min_bytes).groupBy("sha1").agg(F.min(named).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    other = (F.col("bytes") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("first.id"))
+    heads = whole.join(again, "sha1", "left").select("record", F.lit(-1).cast("long").alias("chunk_no"), "id", "url", "bytes", "sha1", F.when(other, F.col("first.id")).alias("refers_to"), F.when(other, F.col("first.record")).alias("first_record"))
+    rows = heads.unionByName(chunks.select("record", "chunk_no", "is_last", "data"), allowMissingColumns=True)
+    return rows.repartition(partitions(chunks.sparkSession), "record").sortWithinPartitions("record", "chunk_no")
 
 
-def _header(id, url, bytes_, sha1, refers_to) -> bytes:
-    name = lambda x: f"<urn:page:{'' if x is None else x}>"
+def _header(record, id, url, bytes_, sha1, refers_to, first_record) -> bytes:
+    name = lambda x, n: f"<urn:page:{'' if x is None else x}:{n}>"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {bytes_}\r\n\r\n".encode()
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {name(id)}",
+        f"WARC-Record-ID: {name(id, record)}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{base32(sha1)}",
         "Content-Type: application/http; msgtype=response",
@@ -73,7 +98,7 @@ def _header(id, url, bytes_, sha1, refers_to) -> bytes:
     if url is not None:
         head.append("WARC-Target-URI: " + " ".join(url.split()))
     if refers_to is not None:
-        head += [f"WARC-Refers-To: {name(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {name(refers_to, first_record)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + http
 
 
@@ -84,45 +109,50 @@ def _open(path: str, mode: str):
     return system.open_output_stream(inner) if mode == "w" else system.open_input_stream(inner)
 
 
-def write(chunks: DataFrame, folder: str, *, file_bytes: int = FILE_BYTES, level: int = 1) -> DataFrame:
-    """Writes chunk_rows() as gzipped archives, one member a record, and returns the manifest of the files (path, records, bytes)."""
+def write(rows: DataFrame, folder: str, *, file_bytes: int = FILE_BYTES, level: int = 1) -> DataFrame:
+    """Writes records() as gzipped archives, one member a record, and returns the manifest of the files (path, records, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = out = path = digest = None
-        records = size = 0
+        raw = out = path = digest = goal = None
+        count = size = start = 0
         done: list[tuple[str, int, int]] = []
 
         def close():
             raw.close()
-            done.append((path, records, size))
+            done.append((path, count, size))
 
         for batch in batches:
-            for id, url, bytes_, sha1, refers_to, chunk_no, is_last, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if chunk_no == 0:
+            for record, chunk_no, id, url, bytes_, sha1, refers_to, first_record, is_last, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if chunk_no < 0:
                     if raw is not None and size >= file_bytes:
                         close()
                         raw = None
                     if raw is None:
-                        path, records, size = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
+                        path, count, size = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
                         raw = _open(path, "w")
-                    start, digest = raw.tell(), hashlib.sha1()
+                    start, digest, goal = raw.tell(), hashlib.sha1(), sha1
                     out = gzip.GzipFile(fileobj=raw, mode="wb", compresslevel=level, mtime=0)
-                    out.write(_header(id, url, bytes_, sha1, refers_to))
-                digest.update(data)
-                out.write(data)
+                    out.write(_header(record, id, url, bytes_, sha1, refers_to, first_record))
+                    is_last = refers_to is not None
+                elif out is None:  # a revisit's payload
+                    continue
+                else:
+                    digest.update(data)
+                    out.write(data)
+                    if is_last and digest.digest() != goal:
+                        raise ValueError(f"record {record}: its chunks do not give its digest")
                 if is_last:
-                    if refers_to is None and digest.digest() != sha1:
-                        raise ValueError(f"record {id}: its chunks do not give its digest")
                     out.write(b"\r\n\r\n")
                     out.close()
-                    records += 1
+                    out = None
+                    count += 1
                     size += raw.tell() - start
         if raw is not None:
             close()
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*done, strict=True) if done else ([], [], []), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["path", "records", "bytes"])
 
     _make(folder)
-    return written(chunks.select("id", "url", "bytes", "sha1", "refers_to", "chunk_no", "is_last", "data").mapInArrow(run, MANIFEST), "manifest")
+    return written(rows.select("record", "chunk_no", "id", "url", "bytes", "sha1", "refers_to", "first_record", "is_last", "data").mapInArrow(run, MANIFEST), "manifest")
 
 
 def _make(folder: str) -> None:
@@ -167,7 +197,7 @@ def _fields(stream) -> tuple[dict, int]:
 def read(manifest: DataFrame, *, chunk: int = CHUNK, data: bool = True) -> DataFrame:
     """The archives of a manifest as chunk rows. `digest_so_far` is the base32 SHA-1 of the payload through that chunk.
 
-    With data=False the payload is read and digested as well, but each record gives its last chunk's row only, without its bytes.
+    A record's name is its page's id, a colon and its number. With data=False the payload is read and digested as well, but each record gives its last chunk's row only, without its bytes.
     """
     names = [x.split()[0] for x in CHUNKS.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
@@ -215,10 +245,10 @@ def round_trip(pages: DataFrame, *, id: str = "page_id", url: str = "url", paylo
     give its declared digest raises an error. An empty table writes no archive and gives no rows.
     """
     folder = new_path(pages.sparkSession, "warc")
-    manifest = write(chunk_rows(pages, id=id, url=url, payload=payload, min_bytes=min_bytes), folder)
+    manifest = write(records(chunk_rows(pages, id=id, url=url, payload=payload), min_bytes=min_bytes), folder)
     last = read(manifest, data=False).where("is_last")
     whole = F.when((F.col("record_type") != "response") | (F.col("declared_digest") == F.col("digest_so_far")), F.col("declared_digest"))
-    as_id = lambda c: F.when(F.col(c) != "", F.col(c)).cast("long")
+    as_id = lambda c: F.when(~F.startswith(c, F.lit(":")), F.split_part(c, F.lit(":"), F.lit(1))).cast("long")
     return last.select(
         as_id("record_id").alias("page_id"),
         "payload_bytes",

@@ -104,12 +104,16 @@ def test_warc_chunks(spark):
     from frametide.llm.common import new_path
 
     body = "".join(chr(0x20 + k % 2000) for k in range(100_000))
-    pages = spark.createDataFrame([(1, "u", body), (2, "u", "small")], "page_id long, url string, html string")
-    manifest = warc.write(warc.chunk_rows(pages, chunk=1000), new_path(spark, "w"), file_bytes=10)
+    pages = spark.createDataFrame([(1, "u", body), (2, "u", "small"), (2, "u", "other")], "page_id long, url string, html string")
+    rows = warc.chunk_rows(pages, chunk=1000).orderBy("record", "chunk_no").collect()
+    raw = body.encode()
+    assert all(bytes(r.sha1) == hashlib.sha1(raw[: r.bytes]).digest() and r.bytes == min(len(raw), 1000 * (r.chunk_no + 1)) for r in rows if r.id == 1)
+    manifest = warc.write(warc.records(warc.chunk_rows(pages, chunk=1000)), new_path(spark, "w"), file_bytes=10)
     assert manifest.count() >= 1
-    chunks = warc.read(manifest, chunk=4096).where("record_id = '1'").orderBy("chunk_no").collect()
+    chunks = warc.read(manifest, chunk=4096).where("record_id like '1:%'").orderBy("chunk_no").collect()
     assert len(chunks) > 10 and b"".join(bytes(c.data) for c in chunks).decode() == body
     assert chunks[-1].digest_so_far == chunks[-1].declared_digest and [c.is_last for c in chunks].count(True) == 1
+    assert warc.read(manifest, data=False).select("record_id").distinct().count() == 3  # names do not repeat though ids do
 
 
 def vectors(spark):
@@ -179,6 +183,24 @@ def test_e8_points_are_nearest():
     assert len({tuple(r) for r in lattice.ROOTS}) == 240
 
 
+def test_sharding_same_as_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    key = lambda df: sorted(tuple(r) for r in df[["doc_id", "size", "text_crc32", "law", "shard", "slot"]].itertuples(index=False))
+    assert key(queries.op6_sharding(spark, DATA).toPandas()) == key(con.sql(queries.OP6_SQL).df())
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from frametide.llm.common import shared_dir
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, setCheckpointDir=lambda _: None, master=master))
+    with pytest.raises(ValueError):
+        shared_dir(session("spark://host:7077"))
+    assert shared_dir(session("local[4]")).startswith("file://")
+
+
 def test_mixing_same_as_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")

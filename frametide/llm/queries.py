@@ -102,5 +102,27 @@ FROM placed
 """
 
 
+#: The checksum is made a byte at a time from its table, which follows from the polynomial 0xEDB88320 in eight steps.
+OP6_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT i, 0 AS n, i::UBIGINT AS c FROM range(256) t(i)
+  UNION ALL
+  SELECT i, n + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM steps WHERE n < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE n = 8),
+rows_ AS (
+  SELECT doc_id, octet_length(encode(COALESCE(text, '')))::BIGINT + 8 AS size,
+         xor(list_reduce(
+           list_transform(regexp_extract_all(hex(encode(COALESCE(text, ''))), '..'), lambda p: ('0x' || p)::UBIGINT),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT AS text_crc32
+  FROM documents, crc),
+placed AS (
+  SELECT *, (SUM(size) OVER o)::BIGINT AS upto, (SUM(size) OVER ())::BIGINT AS total
+  FROM rows_ WINDOW o AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)),
+cut AS (SELECT *, LEAST(23, ((2 * upto - size) * 24) // (2 * total))::INTEGER AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (ROW_NUMBER() OVER (PARTITION BY shard ORDER BY upto) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM cut
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": OP8_SQL}
+    return {"op6_sharding": OP6_SQL, "op8_mixing": OP8_SQL}

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, partitions
+from .common import WORD, partitions, written
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -78,6 +78,7 @@ def mix(
         F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("_source"),  # no nulls: windows and joins deal rows alike
         *([F.struct(*docs.columns).alias("row")] if keep else []),
     ).withColumn("_range", F.shiftright(F.shiftright("_key", 30) * F.lit(ranges), 30).cast("int"))
+    base = written(base, "mix")  # texts are counted once; sums and windows read the sizes
     sums = base.groupBy("_source", "_range").agg(F.sum("size").alias("_sum"), F.first("source").alias("source"))
     goal = targets(sums.groupBy("_source").agg(F.sum("_sum").alias("source_size"), F.first("source").alias("source")).drop("_source"), weights, max_epochs)
     goal = goal.withColumn("_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")

@@ -2,9 +2,11 @@
 
 The vectors of the three words before, each through its position's matrix, add up to a prediction; its products with the output
 vectors, plus biases, are the scores of the outputs, and a softmax over all outputs normalises them. The outputs are the most
-frequent words and, for all other words, classes by ending; inside a class a word has its smoothed share of the class. Counts
+frequent words, groups of the next ones by frequency, and classes by ending for all other words. Inside a group a second softmax,
+from the same prediction and the group's own output vectors, parts its words; inside a class a word has its smoothed share. Counts
 cover every training token. Training passes over every training token too: tasks train copies of the model on their own texts,
-copies are averaged after each slice of the corpus, and only the averaged model, of fixed size, comes to the driver.
+copies are averaged after each slice of the corpus, and only the averaged model, of fixed size, comes to the driver. Which copy learns
+a text, and in what order, follows from hashes, so the model does not depend on how rows are dealt.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ from pyspark.sql import functions as F
 from .common import Slab, groups, mix, partitions, shared_dir, slabs, written
 
 ORDER, DIM = 3, 16
-WORDS, CLASSES = 256, 64  # outputs
-INPUTS, ENDINGS = 8192, 1024  # input vectors: of words, and of the endings of all other words
+WORDS, GROUPS, CLASSES = 128, 128, 64  # outputs
+SIZE = 192  # words of a group
+INPUTS, ENDINGS = WORDS + GROUPS * SIZE, 1024  # input vectors: of words, and of the endings of all other words
 HEAD = 1 << 18  # so many counts at most go to every task; rarer words get theirs in a join
-NOISE, BATCH, RATE = 32, 2048, 0.5
-SLICES, LEAST_VISITS, WORKER_TOKENS = 4, 3_000_000, 1_000_000
+NOISE, GROUP_NOISE, BATCH, RATE = 32, 8, 2048, 0.5
+SLICES, PASSES, WORKER_TOKENS, MOST_WORKERS = 4, 2, 2_000_000, 1024
 END = np.uint64(0x454E44)  # stands for the end of a text among word hashes
 
 
@@ -103,6 +106,7 @@ class Vocabulary:
     class_tokens: np.ndarray
     class_words: np.ndarray
     frequency: np.ndarray  # share of each output among the training tokens
+    inside: np.ndarray  # share of each word among its group's tokens, group after group; 0 where a group has no more words
 
     def look_up(self, hashes: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The input of each token and its index in the head, or -1."""
@@ -135,20 +139,22 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     hashes, counts_, tails = hashes[order], counts_[order], tails[order]
     rank = np.arange(len(hashes)) + shift
     inputs = np.where(rank < INPUTS, rank, -1)
-    outputs = np.concatenate([np.zeros(INPUTS, np.int64), WORDS + np.arange(ENDINGS) % CLASSES])
-    few = rank < INPUTS
-    outputs[rank[few]] = np.where(rank[few] < WORDS, rank[few], WORDS + tails[few] % CLASSES)
+    own = rank < INPUTS
+    outputs = np.concatenate([np.arange(WORDS), WORDS + np.arange(GROUPS * SIZE) // SIZE, WORDS + GROUPS + np.arange(ENDINGS) % CLASSES])
     by_class = counts.groupBy(F.pmod("ending", F.lit(CLASSES)).alias("c")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).collect()
     class_tokens, class_words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for r in by_class:
         class_tokens[r.c], class_words[r.c] = r.tokens, r.words
-    own = rank < WORDS
     np.subtract.at(class_tokens, tails[own] % CLASSES, counts_[own])
     np.subtract.at(class_words, tails[own] % CLASSES, 1)
-    frequency = np.concatenate([np.zeros(WORDS), class_tokens]) + 0.5
-    frequency[rank[own]] += counts_[own]
+    frequency = np.concatenate([np.zeros(WORDS + GROUPS), class_tokens]) + 0.5
+    np.add.at(frequency, outputs[rank[own]], counts_[own])
+    inside = np.zeros(GROUPS * SIZE)
+    middle = own & (rank >= WORDS)
+    inside[rank[middle] - WORDS] = counts_[middle]
+    inside = (inside.reshape(GROUPS, SIZE) / np.maximum(1, inside.reshape(GROUPS, SIZE).sum(1))[:, None]).ravel()
     ascending = np.argsort(hashes)
-    return Vocabulary(total, distinct, hashes[ascending], counts_[ascending], inputs[ascending], outputs, class_tokens, class_words, frequency / frequency.sum())
+    return Vocabulary(total, distinct, hashes[ascending], counts_[ascending], inputs[ascending], outputs, class_tokens, class_words, frequency / frequency.sum(), inside)
 
 
 # ---------------------------------------------------------------- the model
@@ -160,36 +166,49 @@ class Model:
     matrices: np.ndarray  # ORDER x DIM x DIM
     outputs: np.ndarray  # outputs x DIM
     bias: np.ndarray
+    members: np.ndarray  # words in groups x DIM
+    member_bias: np.ndarray
 
     @staticmethod
-    def initial(frequency: np.ndarray) -> Model:
+    def initial(frequency: np.ndarray, inside: np.ndarray) -> Model:
         rng = np.random.default_rng(7)
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        return Model(small(INPUTS + ENDINGS, DIM), np.stack([np.eye(DIM, dtype=np.float32) * 0.5**k for k in range(ORDER)]), small(len(frequency), DIM), np.log(frequency).astype(np.float32))
+        share = np.where(inside > 0, np.log(np.maximum(inside, 1e-300)), -1e4).astype(np.float32)
+        return Model(small(INPUTS + ENDINGS, DIM), np.stack([np.eye(DIM, dtype=np.float32) * 0.5**k for k in range(ORDER)]), small(len(frequency), DIM), np.log(frequency).astype(np.float32), np.zeros((len(inside), DIM), np.float32), share)
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.vectors, self.matrices, self.outputs, self.bias, self.members, self.member_bias
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.vectors, self.matrices, self.outputs, self.bias)])
+        return np.concatenate([x.ravel() for x in self.parts()])
 
     def filled(self, flat: np.ndarray) -> Model:
         out, at = [], 0
-        for x in (self.vectors, self.matrices, self.outputs, self.bias):
+        for x in self.parts():
             out.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
         return Model(*out)
 
-    def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """The natural logarithm of each target's probability after its context (nearest word first), in batches of products."""
+    def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray, outputs: np.ndarray) -> np.ndarray:
+        """The natural logarithm of each target's probability after its context (nearest word first), in batches of products.
+
+        Targets are inputs, and `outputs` says which output stands for each; for an ending it is the probability of its class.
+        """
         tables = [self.vectors @ m for m in self.matrices]
         top = float(self.bias.max())  # taken off all scores, which then seldom are far from 0
         weights = np.concatenate([self.outputs, (self.bias - top)[:, None]], 1).T.copy()
         ones, out = np.ones(len(self.bias), np.float32), np.empty(len(targets))
         hidden, scores = np.ones((1024, DIM + 1), np.float32), np.empty((1024, len(self.bias)), np.float32)
+        to = outputs[targets]
+        member = (targets >= WORDS) & (targets < INPUTS)
+        kept = [np.empty((0, DIM + 1), np.float32)]
         for lo in range(0, len(targets), 1024):
-            c, t = contexts[lo : lo + 1024], targets[lo : lo + 1024]
+            c, t = contexts[lo : lo + 1024], to[lo : lo + 1024]
             h, s = hidden[: len(t)], scores[: len(t)]
             h[:, :DIM] = tables[0].take(c[:, 0], 0)
             for k in range(1, ORDER):
                 h[:, :DIM] += tables[k].take(c[:, k], 0)
+            kept.append(h[member[lo : lo + 1024]])
             np.matmul(h, weights, out=s)
             own = s[np.arange(len(t)), t].astype(float)
             with np.errstate(over="ignore"):
@@ -200,14 +219,36 @@ class Model:
             for k in np.flatnonzero(far):  # beyond single precision
                 z = h[k].astype(float) @ weights
                 out[lo + k] = z[t[k]] - z.max() - np.log(np.exp(z - z.max()).sum())
+        at = np.flatnonzero(member)
+        if len(at):
+            out[at] += self._inside(np.concatenate(kept), targets[at] - WORDS)
+        return out
+
+    def _inside(self, hidden: np.ndarray, member: np.ndarray) -> np.ndarray:
+        """The logarithm of each member's share of its group, one product for each group."""
+        weights = np.concatenate([self.members, self.member_bias[:, None]], 1)
+        order = np.argsort(member // SIZE, kind="stable")
+        group = member[order] // SIZE
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        out = np.empty(len(member))
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+            rows, g = order[lo:hi], int(group[lo])
+            s = hidden[rows] @ weights[g * SIZE : (g + 1) * SIZE].T
+            s -= s.max(1)[:, None]
+            out[rows] = s[np.arange(len(rows)), member[rows] % SIZE] - np.log(np.exp(s).sum(1))
         return out
 
-    def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], frequency: np.ndarray, seed: int) -> None:
-        """Noise-contrastive estimation with Adagrad; each batch shares its noise, drawn by frequency."""
+    def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], words: Vocabulary, seed: list[int]) -> None:
+        """Noise-contrastive estimation with Adagrad. Each batch shares its noise among the outputs, drawn by frequency; a word in a
+        group also has noise of its own, drawn by frequency from the group."""
         rng = np.random.default_rng(seed)
+        frequency, outputs = words.frequency, words.outputs
         log_noise = np.log(NOISE * frequency).astype(np.float32)
+        log_inside = np.log(GROUP_NOISE * np.maximum(words.inside, 1e-30)).astype(np.float32)
         cumulative = np.cumsum(frequency)
-        parts = (self.vectors, self.matrices, self.outputs, self.bias)
+        within = np.cumsum(words.inside.reshape(GROUPS, SIZE), axis=1)
+        within = (within / np.maximum(within[:, -1:], 1e-30) + np.arange(GROUPS)[:, None]).ravel()  # group g from g to g + 1
+        parts = self.parts()
         seen = [np.full(x.shape, 0.1, np.float32) for x in parts]
         sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -221,8 +262,8 @@ class Model:
             first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
             return rows[first], np.add.reduceat(gradient.take(order, 0), first, axis=0)
 
-        for contexts, targets in batches:
-            n = len(targets)
+        for contexts, tokens_ in batches:
+            n, targets = len(tokens_), outputs[tokens_]
             noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), len(frequency) - 1)
             inputs = [self.vectors.take(contexts[:, k], 0) for k in range(ORDER)]
             hidden = sum(inputs[k] @ self.matrices[k] for k in range(ORDER))
@@ -232,6 +273,22 @@ class Model:
             d_own, d_other = ((sigmoid(own) - 1) / n).astype(np.float32), (sigmoid(other) / n).astype(np.float32)
             d_hidden = d_own[:, None] * to + d_other @ self.outputs[noise]
             rows, g = by_row(np.concatenate([targets, noise]), np.concatenate([np.column_stack([d_own[:, None] * hidden, d_own]), np.column_stack([d_other.T @ hidden, d_other.sum(0)])]))
+            at = np.flatnonzero((tokens_ >= WORDS) & (tokens_ < INPUTS))
+            if len(at):
+                member, h = tokens_[at] - WORDS, hidden[at]
+                group = member // SIZE
+                drawn = np.searchsorted(within, group[:, None] + rng.random((len(at), GROUP_NOISE)), side="right")
+                drawn = np.minimum(drawn, (group[:, None] + 1) * SIZE - 1)
+                both = np.concatenate([member[:, None], drawn], 1)
+                known = self.members.take(both, 0)
+                score = np.einsum("ij,ikj->ik", h, known) + self.member_bias[both] - log_inside[both]
+                d = sigmoid(score)
+                d[:, 0] -= 1
+                d = (d / n).astype(np.float32)
+                d_hidden[at] += np.einsum("ik,ikj->ij", d, known)
+                members, m = by_row(both.ravel(), np.concatenate([d[:, :, None] * h[:, None, :], d[:, :, None]], 2).reshape(-1, DIM + 1))
+                step(4, members, m[:, :-1])
+                step(5, members, m[:, -1])
             d_vectors = np.concatenate([d_hidden @ self.matrices[k].T for k in range(ORDER)])
             d_matrices = np.stack([inputs[k].T @ d_hidden for k in range(ORDER)])
             step(2, rows, g[:, :-1])
@@ -251,40 +308,53 @@ def contexts(inputs: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _trained(sequences: DataFrame, model: Model, words: Vocabulary, tokens_: int) -> Model:
-    """sequences (slice, ids: 16-bit inputs of a text's tokens). A slice's copies are averaged in blocks by Spark."""
+def _trained(sequences: DataFrame, model: Model, words: Vocabulary) -> Model:
+    """sequences (slice, worker, key, ids: 16-bit inputs of a text's tokens). A slice's copies are averaged in blocks by Spark."""
     spark = sequences.sparkSession
-    passes = max(1, -(-LEAST_VISITS // max(1, tokens_)))
-    workers = int(max(1, min(4 * partitions(spark), tokens_ // SLICES // WORKER_TOKENS)))
-    width = 1 << 12
+    width = 1 << 14
 
     for turn in range(SLICES):
-        known = spark.sparkContext.broadcast((model, words.outputs, words.frequency))
+        known = spark.sparkContext.broadcast((model, words))
 
         def run(batches: Iterator[pa.RecordBatch], known=known, turn=turn) -> Iterator[pa.RecordBatch]:
-            start, outputs, frequency = known.value
-            copy = start.filled(start.flat())
-            seen = 0
+            start, words = known.value
+            worker = copy = None
+            seen = pieces = size = 0
+            rows: list[np.ndarray] = []
 
             def examples():
-                nonlocal seen
-                for batch in batches:
-                    rows = [np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for x in batch.column(0)]
-                    ids = np.concatenate(rows)
-                    before = contexts(ids, np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
-                    targets = outputs[ids]
-                    seen += len(ids)
-                    for p in range(passes):
-                        order = np.random.default_rng([turn, p, len(ids)]).permutation(len(ids))
-                        for lo in range(0, len(order), BATCH):
-                            pick = order[lo : lo + BATCH]
-                            yield before[pick], targets[pick]
-
-            copy.train(examples(), frequency, turn)
-            if seen:
+                ids = np.concatenate(rows).astype(np.int64)
+                before = contexts(ids, np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
+                for p in range(PASSES):
+                    order = np.random.default_rng([turn, worker, pieces, p]).permutation(len(ids))
+                    for lo in range(0, len(order), BATCH):
+                        yield before[order[lo : lo + BATCH]], ids[order[lo : lo + BATCH]]
+
+            def learn():
+                nonlocal seen, pieces, size, rows
+                if rows:
+                    copy.train(examples(), words, [turn, worker, pieces])
+                    seen, pieces, size, rows = seen + size, pieces + 1, 0, []
+
+            def result():
                 flat = copy.flat()
                 blocks = [flat[k : k + width] for k in range(0, len(flat), width)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([float(seen)] * len(blocks)), pa.array(blocks, pa.list_(pa.float32()))], ["block", "weight", "values"])
+                return pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([worker] * len(blocks), pa.int32()), pa.array([float(seen)] * len(blocks)), pa.array(blocks, pa.list_(pa.float32()))], ["block", "worker", "weight", "values"])
+
+            for batch in batches:
+                for w, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if w != worker:
+                        if worker is not None:
+                            learn()
+                            yield result()
+                        worker, copy, seen, pieces = w, start.filled(start.flat()), 0, 0
+                    rows.append(np.frombuffer(x.as_buffer(), np.uint16))
+                    size += len(rows[-1])
+                    if size >= WORKER_TOKENS:
+                        learn()
+            if worker is not None:
+                learn()
+                yield result()
 
         def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block in groups(batches, 1):
@@ -294,9 +364,9 @@ def _trained(sequences: DataFrame, model: Model, words: Vocabulary, tokens_: int
                     weight += w
                 yield pa.RecordBatch.from_arrays([block.column("block").combine_chunks()[:1], pa.array([(total / weight).astype(np.float32)], pa.list_(pa.float32()))], ["block", "values"])
 
-        part = sequences.where(F.col("slice") == turn).select("ids").repartition(workers)
-        copies = part.mapInArrow(run, "block int, weight double, values array<float>")
-        averaged = copies.repartition(partitions(spark), "block").sortWithinPartitions("block").mapInArrow(mean, "block int, values array<float>").collect()
+        part = sequences.where(F.col("slice") == turn).repartition(partitions(spark), "worker").sortWithinPartitions("worker", "key", "ids").select("worker", "ids")
+        copies = part.mapInArrow(run, "block int, worker int, weight double, values array<float>")
+        averaged = copies.repartition(partitions(spark), "block").sortWithinPartitions("block", "worker").mapInArrow(mean, "block int, values array<float>").collect()
         if averaged:
             model = model.filled(np.concatenate([r["values"] for r in sorted(averaged, key=lambda r: r.block)]))
         known.unpersist()
@@ -310,6 +380,33 @@ def fold(id: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def fit(rows: DataFrame) -> tuple[DataFrame, Vocabulary, Model]:
+    """Counts of all words, the head of the vocabulary and the model, from the texts of rows (doc_id, t: binary)."""
+    spark = rows.sparkSession
+    shared_dir(spark)
+    counts = written(counted(rows.select("t")), "counts")
+    words = vocabulary(counts)
+    model = Model.initial(words.frequency, words.inside)
+    if not words.total:
+        return counts, words, model
+    known = spark.sparkContext.broadcast(words)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slab in slabs(batch.column(0)):
+                hashes, tail, first, is_end = tokens(slab)
+                ids = known.value.look_up(hashes, tail)[0]
+                ids[is_end] = 0
+                ids = ids.astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(slab.lo, len(slab)) for k in (1, 2, 3)), pa.array([ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["slice", "worker", "key", "ids"])
+
+    workers = int(min(MOST_WORKERS, max(1, words.total // SLICES // WORKER_TOKENS)))
+    key = F.xxhash64("doc_id", "t")  # copies of a text have keys of their own
+    dealt = rows.select("t", key.alias("key")).select("t", F.pmod("key", F.lit(SLICES)).cast("int"), F.pmod(F.shiftright("key", 8), F.lit(workers)).cast("int"), "key")
+    sequences = written(dealt.mapInArrow(encode, "slice int, worker int, key long, ids binary"), "sequences")
+    return counts, words, _trained(sequences, model, words)
+
+
 def score(docs: DataFrame, *, id: str = "doc_id", text: str = "text", held_out: tuple[int, int] = (5, 1)) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -318,25 +415,10 @@ def score(docs: DataFrame, *, id: str = "doc_id", text: str = "text", held_out:
     training token every token is unknown. Rows are scored one by one, repeated ones alike. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    shared_dir(spark)
     n, rest = held_out
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), (fold(id, n) == rest).alias("held_out"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("t"))
-    learnt = rows.where("not held_out")
-    counts = written(counted(learnt.select("t")), "counts")
-    words = vocabulary(counts)
+    counts, words, model = fit(rows.where("not held_out").select("doc_id", "t"))
     known = spark.sparkContext.broadcast(words)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for slab in slabs(batch.column(0)):
-                hashes, tail, first, _ = tokens(slab)
-                ids = known.value.look_up(hashes, tail)[0].astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(slab.lo, len(slab)), pa.array([ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["slice", "ids"])
-
-    sequences = learnt.select("t", F.pmod(F.xxhash64("t"), F.lit(SLICES)).cast("int").alias("slice")).mapInArrow(encode, "slice int, ids binary")
-    model = Model.initial(words.frequency)
-    if words.total:
-        model = _trained(written(sequences, "sequences"), model, words, words.total)
     trained = spark.sparkContext.broadcast(model)
     base_below = math.log10(words.total + 0.5 * (words.distinct + 1))
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"]
@@ -351,15 +433,14 @@ def score(docs: DataFrame, *, id: str = "doc_id", text: str = "text", held_out:
                 hashes, tail, first, is_end = tokens(slab)
                 inputs, at = words.look_up(hashes, tail)
                 inputs[is_end] = 0
-                out = words.outputs[inputs]
-                own = model.log_probabilities(contexts(inputs, first), out) / math.log(10)
-                inside = out >= WORDS
+                own = model.log_probabilities(contexts(inputs, first), inputs, words.outputs) / math.log(10)
+                inside = inputs >= INPUTS
                 shared = np.where(at >= 0, counts[at] if len(counts) else 0.0, 0.0)  # log10(c + 0.5), for rare words added later
                 rare = at < 0
                 if len(words.keys) == 0 or not (words.keys == END).any():  # no end was counted
                     rare = rare & ~is_end
                     shared[is_end & (at < 0)] = math.log10(0.5)
-                own += np.where(inside, shared - class_below[np.where(inside, out - WORDS, 0)], 0.0)
+                own += np.where(inside, shared - class_below[np.where(inside, (inputs - INPUTS) % CLASSES, 0)], 0.0)
                 sums = lambda x: np.add.reduceat(x, first[:-1])
                 lengths = np.diff(first)
                 rare_first = np.concatenate([[0], np.cumsum(rare)])[first].astype(np.int32)

@@ -17,8 +17,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What the fit reads: so many labelled texts of each class, and so many leading bytes of each.
-SAMPLE_TEXTS, SAMPLE_BYTES = 2400, 1 << 15
+from .common import free_name
+
+#: What the fit reads: so many labelled texts of each class, and of each at most so many blocks of BLOCK bytes, spread over the whole text.
+SAMPLE_TEXTS, SAMPLE_BLOCKS = 2400, 16
 PAIRS, DICTIONARY_BYTES, BLOCK, LEVEL = 3, 112640, 1 << 11, 3
 THRESHOLD = 0.7
 
@@ -98,11 +100,21 @@ def fold(id: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def spread(text: str) -> Column:
+    """A text's bytes, or of a longer one SAMPLE_BLOCKS blocks at equal distances from its start to its end."""
+    raw = F.col(text).cast("binary")
+    room = F.octet_length(raw) - F.lit(BLOCK)
+    blocks = [F.substring(raw, (F.floor(room * F.lit(k) / F.lit(SAMPLE_BLOCKS - 1)) + 1).cast("int"), F.lit(BLOCK)) for k in range(SAMPLE_BLOCKS)]
+    return F.when(F.octet_length(raw) <= SAMPLE_BLOCKS * BLOCK, raw).otherwise(F.concat(*blocks))
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "quality", held_out: tuple[int, int] | None = (4, 2)) -> Model:
     """A model from a bounded sample of the labelled rows that are not held out.
 
     The ids are chosen first, by the order of a hash, at most SAMPLE_TEXTS of each class; only these texts are fetched, and of each
-    SAMPLE_BYTES at most. Both bounds hold at any size of the tables. Labels other than 0 and 1 are ignored, as are nulls.
+    SAMPLE_BLOCKS blocks from all over it at most. Both bounds hold at any size of the tables. Labels other than 0 and 1 are ignored,
+    as are nulls. With PAIRS texts of a class or fewer there is no dictionary and every text's score is the smoothed share of label 1;
+    where a class has too little text to train a dictionary on (a few KB), its text itself, or the last 110 KB of it, is the dictionary.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull()).select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_label"))
     if held_out:
@@ -113,14 +125,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "
     if not chosen:
         return train([], [])
     ids = docs.sparkSession.createDataFrame([(r[0], r[1]) for r in chosen], known.schema)
-    cut = F.substring(F.col(text).cast("binary"), 1, SAMPLE_BYTES)
-    found = docs.select(F.col(id).alias("_id"), cut.alias("_text")).where(F.col("_text").isNotNull()).join(F.broadcast(ids), "_id").groupBy("_id", "_label").agg(F.min("_text")).collect()
+    found = docs.select(F.col(id).alias("_id"), spread(text).alias("_text")).where(F.col("_text").isNotNull()).join(F.broadcast(ids), "_id").groupBy("_id", "_label").agg(F.min("_text")).collect()
     found = sorted(found, key=lambda r: (str(r[0]), r[1]))
     return train([bytes(r[2]) for r in found if r[1] == 1], [bytes(r[2]) for r in found if r[1] == 0], (count.get(1, 0), count.get(0, 0)))
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", as_: str = "score") -> DataFrame:
-    """docs with a column `score`: each whole text's probability of label 1. Null and empty texts get the curve's value at 0."""
+    """docs with a column `score`: each whole text's probability of label 1. Null and empty texts get the curve's value at 0.
+
+    A column of docs that is called as_ is replaced; the other columns stay whatever they are called.
+    """
     columns = [c for c in docs.columns if c != as_]
     out = docs.select(*columns, F.lit(0.0).alias(as_)).schema
 
@@ -131,4 +145,4 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", as_: str = "scor
             scores = pa.array([scorer.score(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in raw], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*columns, as_])
 
-    return docs.select(*columns, F.col(text).cast("binary").alias("_raw")).mapInArrow(run, out)
+    return docs.select(*columns, F.col(text).cast("binary").alias(free_name("_raw", columns))).mapInArrow(run, out)

@@ -34,7 +34,7 @@ def test_stages_stand_odd_rows(spark, case):
     import corpus_pipeline
 
     rows = [] if case == "empty" else [(1, None, None, None, None), (None, "some text", "en", None, 3), (1, None, None, None, None), (2, "", "en", "s", 0), (3, "w " * 50_000, None, "s", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as size", "2 as shard_of", "3 as h1", "4 as taken")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as size", "2 as shard_of", "3 as h1", "4 as taken", "5 as _score", "6 as _raw")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, DATA)
         assert out.columns == docs.columns, name

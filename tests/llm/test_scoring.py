@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from frametide.llm import bilinear, decontaminate, quality
@@ -24,15 +25,46 @@ def test_quality(spark, prose):
     rng, text = prose
     rows = [(i, text(rng.randint(5, 200)) if i % 3 else " | ".join(text(60).split()), int(i % 3 > 0)) for i in range(600)]
     extra = [(600, None), (601, ""), (602, rows[1][1]), (1, rows[1][1]), (None, rows[1][1]), (603, "x" * 200_000)]
-    docs = spark.createDataFrame([r[:2] for r in rows] + extra, SCHEMA).withColumn("score", F.lit("clash")).withColumn("_raw", F.lit(1))
+    docs = spark.createDataFrame([r[:2] for r in rows] + extra, SCHEMA).selectExpr("*", "'clash' as score", "1 as _raw", "2 as __RAW", "3 as _score", "4 as _id", "5 as _text", "6 as _label")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(601, None), (None, 1), (602, 7)], "doc_id long, quality int")
     model = quality.fit(docs, labels)
-    got = {r.doc_id: r.score for r in quality.score(docs.drop("_raw"), model).select("doc_id", "score").collect()}
+    out = quality.score(docs, model)
+    assert sorted(out.columns) == sorted(docs.columns) and out.where("_raw = 1 and __RAW = 2 and _score = 3 and _id = 4").count() == len(rows) + len(extra)
+    got = {r.doc_id: r.score for r in out.select("doc_id", "score").collect()}
     held = [(r[2], got[r[0]]) for r in rows if fold(r[0], 4) == 2]
     assert np.mean([(s >= 0.7) == y for y, s in held]) > 0.9
     assert got[600] == got[601] and 0 <= min(got.values()) and max(got.values()) <= 1 and got[602] == got[1]
     again = quality.fit(docs, labels.where(quality.fold("doc_id", 4) != 2))
     assert again == model  # held-out labels are not used
+    # each score from the model's dictionaries, compressed block by block with fresh compressors
+    for i, t in [(r[0], r[1]) for r in rows[:20]] + extra[:2] + extra[-1:]:
+        raw, z = (t or "").encode(), 0.0
+        for k in range(0, len(raw), quality.BLOCK):
+            for pair in model.pairs:
+                good, bad = (len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(raw[k : k + quality.BLOCK])) for d in pair)
+                z += (bad - good) / len(raw) / len(model.pairs)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(model.slope * z + model.intercept))), rel=0.02), i
+
+
+def test_sample_is_spread_over_long_texts(spark):
+    """What a long labelled text gives to the fit comes from all over it, its end included."""
+    body = "".join(f"{k:08d}" for k in range(50_000))
+    docs = spark.createDataFrame([(1, body), (2, "short é"), (3, None)], SCHEMA)
+    one, two, none = (bytes(r[0]) if r[0] is not None else None for r in docs.orderBy("doc_id").select(quality.spread("text")).collect())
+    assert two == "short é".encode() and none is None and len(one) == quality.SAMPLE_BLOCKS * quality.BLOCK
+    places = [body.index(one[k : k + 16].decode()) for k in range(0, len(one), quality.BLOCK)]
+    assert places[0] == 0 and places[-1] == len(body) - quality.BLOCK and max(np.diff(places)) < len(body) / 10
+
+
+def test_few_labels(spark, prose):
+    """Up to PAIRS texts of a class give the smoothed share; too little text for a trained dictionary is a dictionary itself."""
+    _, text = prose
+    docs = spark.createDataFrame([(i, text(30)) for i in range(12)], SCHEMA)
+    labels = lambda good, bad: spark.createDataFrame([(i, 1) for i in range(good)] + [(good + i, 0) for i in range(bad)], "doc_id long, quality int")
+    few = quality.fit(docs, labels(9, 3), held_out=None)
+    assert few.pairs == [] and quality.score(docs, few).first().score == pytest.approx(10 / 14)
+    some = quality.fit(docs, labels(6, 6), held_out=None)
+    assert len(some.pairs) == quality.PAIRS and all(0 <= r.score <= 1 for r in quality.score(docs, some).collect())
 
 
 def test_quality_without_labels(spark):
@@ -54,11 +86,55 @@ def test_base_and_model_scores(spark, prose):
 
 
 def test_log_probabilities_are_normalised():
-    model = bilinear.Model.initial(np.full(320, 1 / 320))
-    contexts = np.repeat(np.array([[3, 9, 27]]), 320, axis=0)
-    assert np.exp(model.log_probabilities(contexts, np.arange(320))).sum() == pytest.approx(1, rel=1e-5)
-    model.bias += 500 * (np.arange(320) == 7)  # far beyond single precision
-    assert model.log_probabilities(contexts[:1], np.array([7]))[0] == pytest.approx(0, abs=1e-6)
+    outputs = np.concatenate([np.arange(bilinear.WORDS), bilinear.WORDS + np.arange(bilinear.GROUPS * bilinear.SIZE) // bilinear.SIZE, bilinear.WORDS + bilinear.GROUPS + np.arange(bilinear.ENDINGS) % bilinear.CLASSES])
+    n = bilinear.WORDS + bilinear.GROUPS + bilinear.CLASSES
+    model = bilinear.Model.initial(np.full(n, 1 / n), np.full(bilinear.GROUPS * bilinear.SIZE, 1 / bilinear.SIZE))
+    model.members += np.random.default_rng(1).normal(size=model.members.shape).astype(np.float32)
+    targets = np.arange(bilinear.INPUTS + bilinear.CLASSES)  # all words, and an ending of each class
+    contexts = np.repeat(np.array([[3, 9, 27]]), len(targets), axis=0)
+    assert np.exp(model.log_probabilities(contexts, targets, outputs)).sum() == pytest.approx(1, rel=1e-5)
+    model.bias += 500 * (np.arange(n) == 7)  # far beyond single precision
+    assert model.log_probabilities(contexts[:1], np.array([7]), outputs)[0] == pytest.approx(0, abs=1e-6)
+
+
+def test_trained_scores_against_plain_sums(spark, prose):
+    """Each token's probability term by term, from the model's own numbers; and the same model however the rows are dealt."""
+    rng, text = prose
+    rows = [(i, text(rng.randint(0, 80))) for i in range(120)] + [(120, None), (121, "unseen words here")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in bilinear.score(docs).collect()}
+    other = {r.doc_id: r for r in bilinear.score(docs.repartition(5)).collect()}
+    assert all(other[i].score == pytest.approx(got[i].score, rel=1e-5) for i in got)
+    counts, known, model = bilinear.fit(docs.where(bilinear.fold("doc_id", 5) != 1).selectExpr("doc_id", "cast(coalesce(text, '') as binary) t"))
+    from frametide.llm.common import Slab
+
+    def ids(t):
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        hashes, tail, _, is_end = bilinear.tokens(Slab(0, data, np.array([0, len(data)])))
+        at = {int(k): j for j, k in enumerate(known.keys)}
+        out = []
+        for h, e, end in zip(hashes.tolist(), tail.tolist(), is_end.tolist(), strict=True):
+            j = at.get(h, -1)
+            out.append((0 if end else int(known.inputs[j]) if j >= 0 and known.inputs[j] >= 0 else bilinear.INPUTS + e, int(known.counts[j]) if j >= 0 else 0))
+        return out
+
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    for i, t in rows[::7] + rows[-2:]:
+        want, before = 0.0, [0] * bilinear.ORDER
+        for x, c in ids(t):
+            h = sum(model.vectors[before[k]].astype(float) @ model.matrices[k] for k in range(bilinear.ORDER))
+            p = softmax(model.outputs.astype(float) @ h + model.bias)
+            if x < bilinear.WORDS:
+                want += math.log10(p[x])
+            elif x < bilinear.INPUTS:
+                g, w = divmod(x - bilinear.WORDS, bilinear.SIZE)
+                own = slice(g * bilinear.SIZE, (g + 1) * bilinear.SIZE)
+                want += math.log10(p[bilinear.WORDS + g] * softmax(model.members[own].astype(float) @ h + model.member_bias[own])[w])
+            else:
+                k = (x - bilinear.INPUTS) % bilinear.CLASSES
+                want += math.log10(p[bilinear.WORDS + bilinear.GROUPS + k] * (c + 0.5) / (known.class_tokens[k] + 0.5 * (known.class_words[k] + 1)))
+            before = [x, *before[:-1]]
+        assert got[i].score == pytest.approx(want, rel=1e-4), i
 
 
 def test_scores_without_training_text(spark):

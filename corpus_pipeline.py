@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frametide.llm import decontaminate, minhash, mixing, quality, sharding
-from frametide.llm.common import written
+from frametide.llm.common import free_name, written
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold; the rest are rejected."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, as_="_score").where(F.col("_score") >= quality.THRESHOLD).drop("_score")
+    score = free_name("_score", docs.columns)
+    return quality.score(docs, model, as_=score).where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,15 +1,17 @@
 """Near-duplicate embeddings by lattice hashing.
 
-Random projections take a unit vector to eight dimensions, where it is decoded to the nearest point of the E8 lattice; several
-tables use several projections. A vector lies in its own cell and probes the nearest neighbouring ones. Vectors that meet in a
-cell, at least one of them at home there, are compared by their exact cosine. Cells are compared in blocks of bounded size, which
-give counts and spanning edges, never their pairs. Equal vectors are one node with a count.
+Random projections take a unit vector to a few times eight dimensions, where each eight are decoded to the nearest point of the E8
+lattice; the points together name a cell, and several tables use several projections. A vector lies in its own cell and probes the
+nearest neighbouring ones. Vectors that meet in a cell, at least one of them at home there, are compared by their exact cosine. The
+more vectors, the more points a cell has, so that cells stay small. Cells are compared in blocks of bounded size, which give counts and
+spanning edges, never their pairs. Equal vectors are one node with a count.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,28 @@ from pyspark.sql import functions as F
 from .common import components, groups, mix, partitions, shared_dir, written
 
 COSINE = 0.93
-TABLES, SCALE, PROBES = 5, 5.0, 4
 BLOCK = 1024
 
 
+@dataclass(frozen=True)
+class Plan:
+    """E8 points of a cell, tables, probes of a vector in each, and the scale of 64 dimensions."""
+
+    points: int
+    tables: int
+    probes: int
+    scale: float
+
+
+#: (most vectors of one label, plan). All miss about one true link in a thousand at the threshold; unrelated vectors meet with a chance
+#: of about 3, 0.4, 0.03 and 0.002 %. README has figures by dimension.
+PLANS = ((1_000, Plan(1, 5, 4, 5.0)), (200_000, Plan(2, 8, 6, 3.5)), (20_000_000, Plan(3, 14, 10, 3.25)), (None, Plan(4, 20, 12, 3.0)))
+
+
+def plan_for(vectors: int) -> Plan:
+    return next(plan for most, plan in PLANS if most is None or vectors <= most)
+
+
 def _roots() -> np.ndarray:
     """The 240 shortest vectors of E8: two coordinates of +-1, or all of +-1/2 with an even number of minuses."""
     pairs = [np.eye(8)[i] * s + np.eye(8)[j] * t for i, j in itertools.combinations(range(8), 2) for s in (1, -1) for t in (1, -1)]
@@ -49,24 +69,31 @@ def decode(x: np.ndarray) -> np.ndarray:
     return np.where((((x - a) ** 2).sum(1) <= ((x - b) ** 2).sum(1))[:, None], a, b)
 
 
-def cells(unit: np.ndarray, tables: int = TABLES, scale: float = SCALE, probes: int = PROBES) -> np.ndarray:
+def cells(unit: np.ndarray, plan: Plan) -> np.ndarray:
     """64-bit names of cells, (rows, tables, 1 + probes): the vector's own cell first, then those it probes.
 
-    Eight of few dimensions hold more of a vector than eight of many, so below 64 dimensions the scale shrinks with their root.
+    Eight of few dimensions hold more of a vector than eight of many, so the scale follows the root of the dimension. Vectors of fewer
+    dimensions than the plan's points need are wholly in fewer points; what is left of a plan's tables and probes stays.
     """
-    scale *= min(1.0, (unit.shape[1] / 64) ** 0.5)
+    dim = unit.shape[1]
+    points = max(1, min(plan.points, dim // 8))
+    scale = (plan.scale if points == plan.points else PLANS[points - 1][1].scale) * (dim / 64) ** 0.5
     out = []
-    for t in range(tables):
-        rng = np.random.default_rng([unit.shape[1], t])
-        frame = np.linalg.qr(rng.normal(size=(max(8, unit.shape[1]), 8)))[0][: unit.shape[1]]
-        y = unit @ (frame * scale) + rng.random(8) * 2
-        home = decode(y)
-        toward = (y - home) @ ROOTS.T
-        nearest = np.argsort(-toward, axis=1, kind="stable")[:, :probes]
-        points = np.concatenate([home[:, None], home[:, None] + ROOTS[nearest]], 1)
-        name = np.full(points.shape[:2], t + 1, np.uint64)
-        for k in range(8):
-            name = mix(name ^ (np.rint(points[:, :, k] * 2).astype(np.int64).view(np.uint64)))
+    for t in range(plan.tables):
+        rng = np.random.default_rng([dim, t])
+        width = 8 * points
+        frame = np.linalg.qr(rng.normal(size=(max(width, dim), width)))[0][:dim]
+        y = unit @ (frame * scale) + rng.random(width) * 2
+        home = np.concatenate([decode(y[:, k : k + 8]) for k in range(0, width, 8)], 1)
+        toward = np.concatenate([(y - home)[:, k : k + 8] @ ROOTS.T for k in range(0, width, 8)], 1)
+        nearest = np.argsort(-toward, axis=1, kind="stable")[:, : plan.probes]
+        which, root = np.divmod(nearest, len(ROOTS))
+        cell = np.repeat(home[:, None], 1 + plan.probes, axis=1)
+        moved = cell.reshape(len(unit), 1 + plan.probes, points, 8)
+        moved[np.arange(len(unit))[:, None], np.arange(plan.probes) + 1, which] += ROOTS[root]
+        name = np.full(cell.shape[:2], t + 1, np.uint64)
+        for k in range(width):
+            name = mix(name ^ (np.rint(moved.reshape(cell.shape)[:, :, k] * 2).astype(np.int64).view(np.uint64)))
         out.append(name)
     return np.stack(out, 1)
 
@@ -76,35 +103,47 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
-def _named(nodes: DataFrame) -> DataFrame:
+def _named(nodes: DataFrame, plan: Plan) -> DataFrame:
     """nodes (id, n, label, dim, unit, uid) with `codes`, the cells' names; label and dimension are part of a name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(3).to_numpy()
-            codes = np.empty((batch.num_rows, TABLES * (1 + PROBES)), np.int64)
+            codes = np.empty((batch.num_rows, plan.tables * (1 + plan.probes)), np.int64)
             for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
-                own = cells(_matrix(batch.column(4).take(pa.array(rows)), dim))
-                salt = batch.column(2).take(pa.array(rows)).to_numpy().astype(np.int64).view(np.uint64)
-                codes[rows] = mix(own ^ mix(salt * np.uint64(2654435761) + np.uint64(dim))[:, None, None]).reshape(len(rows), -1).view(np.int64)
+                all_rows = np.flatnonzero(dims == dim)
+                for lo in range(0, len(all_rows), 1024):
+                    rows = all_rows[lo : lo + 1024]
+                    own = cells(_matrix(batch.column(4).take(pa.array(rows)), dim), plan)
+                    salt = batch.column(2).take(pa.array(rows)).to_numpy().astype(np.int64).view(np.uint64)
+                    codes[rows] = mix(own ^ mix(salt * np.uint64(2654435761) + np.uint64(dim))[:, None, None]).reshape(len(rows), -1).view(np.int64)
             codes = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32)), pa.array(codes.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, codes], [*batch.schema.names, "codes"])
 
     return nodes.mapInArrow(run, "id long, n long, label long, dim int, unit array<double>, uid long, codes array<long>")
 
 
-def _meet(home: np.ndarray, codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For pairs (a, b) with the smaller number first: by table, whether a's own cell is among b's, and b's own among a's."""
-    return (codes[b] == home[a][:, :, None]).any(2), (codes[a] == home[b][:, :, None]).any(2)
+def _meet(home: np.ndarray, codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For pairs (a, b) with the smaller number first, the one cell in which they count: their first common home, or else the first of
+    either's homes, by table, that the other probes. 0 where they do not meet."""
+    same = home[a] == home[b]
+    out = np.where(same.any(1), home[a, same.argmax(1)], 0)
+    rest = np.flatnonzero(~same.any(1))
+    a, b = a[rest], b[rest]
+    forth, back = (codes[b] == home[a][:, :, None]).any(2), (codes[a] == home[b][:, :, None]).any(2)
+    both = forth | back
+    first, rows = both.argmax(1), np.arange(len(rest))
+    out[rest] = np.where(both.any(1), np.where(forth[rows, first], home[a, first], home[b, first]), 0)
+    return out
 
 
-def _compare(block: pa.Table, cosine: float) -> list[tuple[int, int | None, int]]:
+def _compare(block: pa.Table, cosine: float, tables: int) -> list[tuple[int, int | None, int]]:
     """(id, None, links counted here) and (id, other, 0) for spanning edges, from one pair of blocks of one cell."""
     name, side = block.column(0)[0].as_py(), block.column("side").to_numpy()
     ids, n, order = (block.column(c).to_numpy() for c in ("id", "n", "uid"))
     unit = _matrix(block.column("unit"), block.column("dim")[0].as_py())
-    codes = _matrix(block.column("codes"), TABLES * (1 + PROBES)).reshape(len(ids), TABLES, 1 + PROBES)
+    width = len(block.column("codes")[0])
+    codes = _matrix(block.column("codes"), width).reshape(len(ids), tables, width // tables)
     left, right = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
     out: dict[int, int] = {}
     near = np.zeros((len(left), len(right)), bool)
@@ -121,12 +160,7 @@ def _compare(block: pa.Table, cosine: float) -> list[tuple[int, int | None, int]
     count = np.zeros(len(ids), np.int64)
     for lo in range(0, len(a), 1 << 16):
         x, y = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
-        forth, back = _meet(home, codes, x, y)
-        both = forth | back
-        first = both.argmax(1)  # the first table where they meet; there a's own cell counts if b is in it, else b's
-        rows = np.arange(len(x))
-        cell = np.where(forth[rows, first], home[x, first], home[y, first])
-        mine = both.any(1) & (cell == name)
+        mine = _meet(home, codes, x, y) == name
         np.add.at(count, x[mine], n[y[mine]])
         np.add.at(count, y[mine], n[x[mine]])
     # each vector's least neighbour, until nothing changes, gives the spanning stars
@@ -147,8 +181,8 @@ def classes(vectors: DataFrame, *, id: str = "vec_id", embedding: str = "embeddi
     Rows link when their labels are equal and not null and their cosine in double precision is at least `cosine`. Vectors that are
     null, empty, zero or hold null or non-finite components link with nothing, nor do rows without an id or vectors of unlike
     length. Rows with equal vectors and labels link with each other; rows with one id are one node, with the links of all its vectors.
-    The cosine of every link is exact; a true link is missed if its ends never meet in a cell, with chance of about 0.001 at most at the threshold, whatever
-    the dimension (README has figures).
+    The cosine of every link is exact; a true link is missed if its ends never meet in a cell, with a chance of about 0.001 at the
+    threshold and less above, whatever the dimension and the number of rows (README has figures).
     """
     spark = vectors.sparkSession
     shared_dir(spark)
@@ -163,9 +197,11 @@ def classes(vectors: DataFrame, *, id: str = "vec_id", embedding: str = "embeddi
     norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda acc, x: acc + x * x))
     nodes = nodes.withColumn("s", scaled).withColumn("norm", norm)
     nodes = nodes.select("id", "n", "label", F.size("v").alias("dim"), F.transform("s", lambda x: x / F.col("norm")).alias("unit"), F.monotonically_increasing_id().alias("uid"))  # fixed when written
-    nodes = written(_named(nodes), "nodes")
+    nodes = written(nodes, "vectors")
+    plan = plan_for(nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0)
+    nodes = written(_named(nodes, plan), "nodes")
 
-    places = nodes.select("uid", F.posexplode("codes").alias("at", "cell")).select("uid", "cell", (F.col("at") % (1 + PROBES) == 0).cast("int").alias("home"))
+    places = nodes.select("uid", F.posexplode("codes").alias("at", "cell")).select("uid", "cell", (F.col("at") % (1 + plan.probes) == 0).cast("int").alias("home"))
     live = places.groupBy("cell").agg(F.count("*").alias("m"), F.sum("home").alias("homes")).where("m > 1 and homes > 0")
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     places = places.join(live, "cell").select("cell", "uid", blocks.alias("blocks")).withColumn("mine", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
@@ -177,7 +213,7 @@ def classes(vectors: DataFrame, *, id: str = "vec_id", embedding: str = "embeddi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for block in groups(batches, 3):
-            out += _compare(block, cosine)
+            out += _compare(block, cosine, plan.tables)
             if len(out) > 1 << 16:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "n"])
                 out = []

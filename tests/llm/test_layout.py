@@ -134,9 +134,10 @@ def vectors(spark):
     return rows + [(n, None, 1), (n + 1, [0.0] * 16, 1), (n + 2, [float("nan")] * 16, 1), (n + 3, [None] * 16, 1), (n + 4, hub.tolist(), None), (n + 5, hub.tolist(), 2), (n + 6, [], 1), (n + 7, hub[:8].tolist(), 1), (n + 8, (hub * 1e300).tolist(), 1), (n + 9, [float("inf")] * 16, 1)]
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_lattice(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "plan"), [(1024, 0), (16, 1)])
+def test_lattice(spark, monkeypatch, block, plan):
     monkeypatch.setattr(lattice, "BLOCK", block)
+    monkeypatch.setattr(lattice, "plan_for", lambda n: lattice.PLANS[plan][1])
     rows = vectors(spark)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("id", F.lit(1)).withColumn("v", F.lit(2)).withColumn("n", F.lit(3))
     got = {r.vec_id: r for r in lattice.classes(df).collect()}
@@ -155,22 +156,28 @@ def test_lattice(spark, monkeypatch, block):
         count[b] += 1
     found = sum(r.n_links for r in got.values())
     assert all(got[i].n_links <= count[i] for i in count) and found >= 0.99 * sum(count.values())
+    near = range(300, 390)  # the pairs around the threshold, apart from the large group
+    assert sum(got[i].n_links for i in near) >= 0.95 * sum(count[i] for i in near) > 0
     if found == sum(count.values()):
         want = components(count, links)
         assert {i: r.component_id for i, r in got.items()} == want and all(r.kept == (want[i] == i) for i, r in got.items())
     assert lattice.classes(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("dim", [2, 7, 8, 16, 32, 64, 128])
-def test_pairs_near_the_threshold_meet(dim):
+@pytest.mark.parametrize("plan", [p for _, p in lattice.PLANS])
+@pytest.mark.parametrize("dim", [2, 7, 8, 16, 32, 64, 384, 768])
+def test_pairs_near_the_threshold_meet(dim, plan):
+    """Nearly all pairs at the threshold meet, and few unrelated ones where there are dimensions enough."""
     rng = np.random.default_rng(dim)
-    a, b = rng.normal(size=(2, 3000, dim))
+    a, b = rng.normal(size=(2, 1000, dim))
     a /= np.linalg.norm(a, axis=1)[:, None]
     b -= (b * a).sum(1)[:, None] * a
     b = 0.931 * a + np.sqrt(1 - 0.931**2) * b / np.linalg.norm(b, axis=1)[:, None]
-    x, y = lattice.cells(a), lattice.cells(b)
-    meet = ((x == y[:, :, :1]) | (y == x[:, :, :1])).any((1, 2))
-    assert meet.mean() >= 0.995
+    x, y = lattice.cells(a, plan), lattice.cells(b, plan)
+    meet = lambda x, y: ((x == y[:, :, :1]) | (y == x[:, :, :1])).any((1, 2)).mean()
+    assert meet(x, y) >= 0.99
+    if dim >= 64 and plan.points > 1:
+        assert np.mean([meet(x, np.roll(x, k, 0)) for k in range(1, 12)]) < 0.01
 
 
 def test_e8_points_are_nearest():

@@ -7,30 +7,64 @@ import math
 import numpy as np
 
 
+_BLOCK = 1 << 22  # numbers that a kernel holds at once for pairs of points
+
+
+def _nearest_spans(x: np.ndarray, k: int) -> np.ndarray:
+    """For ascending x, where each point's k nearest ones begin: they are neighbours in order."""
+    n = len(x)
+    start = np.zeros(n, np.int64)
+    lo, hi = np.maximum(0, np.arange(n) - k + 1), np.minimum(np.arange(n), n - k)
+    while (lo < hi).any():  # the first start from which moving on would lose more than it gains
+        middle = (lo + hi) // 2
+        on = x - x[middle] > x[np.minimum(middle + k, n - 1)] - x
+        on &= middle + k < n
+        lo, hi = np.where(on & (lo < hi), middle + 1, lo), np.where(~on & (lo < hi), middle, hi)
+    start[:] = lo
+    return start
+
+
 def loess(x: np.ndarray, y: np.ndarray, fraction: float = 0.5, degree: int = 1, robust: int = 2) -> np.ndarray:
-    """Cleveland's locally weighted regression: tricube weights over the nearest share of points, then bisquare reweighting."""
+    """Cleveland's locally weighted regression: tricube weights over the nearest share of points, then bisquare reweighting.
+
+    Points are sorted once; each one's neighbours are then a span, and the fits of a block of points are solved together from weighted
+    sums. A point with too few neighbours of weight keeps its value; one whose neighbours are at too few places has the shortest of fits.
+    """
     n = len(x)
     k = min(n, max(degree + 1, math.ceil(fraction * n)))
     if n <= degree + 1:
         return y.astype(float).copy()
-    out, trust = y.astype(float).copy(), np.ones(n)
+    order = np.argsort(x, kind="stable")
+    x, y = x[order].astype(float), y[order].astype(float)
+    out, trust = y.copy(), np.ones(n)
+    start = _nearest_spans(x, k)
+    span, rows = np.arange(k), max(1, _BLOCK // (k * (degree + 1)))
     for _ in range(robust + 1):
-        for i in range(n):
-            far = np.abs(x - x[i])
-            width = np.partition(far, k - 1)[k - 1]
-            w = np.clip(1 - (far / width) ** 3, 0, 1) ** 3 * trust if width > 0 else (far == 0) * trust
-            near = w > 0
-            if near.sum() <= degree:
-                continue
-            root = np.sqrt(w[near])
-            a = np.vander(x[near] - x[i], degree + 1) * root[:, None]
-            out[i] = np.linalg.lstsq(a, y[near] * root, rcond=None)[0][-1]
+        for lo in range(0, n, rows):
+            at = np.arange(lo, min(n, lo + rows))
+            near = start[at][:, None] + span
+            away = x[near] - x[at][:, None]
+            width = np.abs(away).max(1)[:, None]
+            w = np.where(width > 0, np.clip(1 - (np.abs(away) / np.where(width > 0, width, 1)) ** 3, 0, 1) ** 3, away == 0) * trust[near]
+            z = away / np.where(width > 0, width, 1)
+            powers = [w * z**p for p in range(2 * degree + 1)]
+            sums = np.stack([p.sum(1) for p in powers])
+            right = np.stack([(powers[p] * y[near]).sum(1) for p in range(degree + 1)], 1)
+            left = np.stack([[sums[p + q] for q in range(degree + 1)] for p in range(degree + 1)]).transpose(2, 0, 1)
+            enough = (w > 0).sum(1) > degree
+            poor = enough & (np.linalg.cond(left) >= 1e12)
+            fit = np.linalg.solve(np.where((enough & ~poor)[:, None, None], left, np.eye(degree + 1)), right[:, :, None])[:, 0, 0]
+            if poor.any():
+                fit[poor] = (np.linalg.pinv(left[poor]) @ right[poor][:, :, None])[:, 0, 0]
+            out[at] = np.where(enough, fit, out[at])
         residual = np.abs(y - out)
         scale = 6 * np.median(residual)
         if scale <= 1e-12 * (np.abs(y).max() + 1e-300):
             break
         trust = np.clip(1 - (residual / scale) ** 2, 0, 1) ** 2
-    return out
+    back = np.empty(n)
+    back[order] = out
+    return back
 
 
 def principal(x: np.ndarray, k: int) -> np.ndarray:
@@ -89,12 +123,15 @@ def local_outlier_factor(x: np.ndarray, neighbours: int = 30, share: float = 0.1
     k = min(neighbours, n - 1)
     if k < 1:
         return np.ones(n), np.ones(n, bool)
-    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-    np.fill_diagonal(far, np.inf)
-    near = np.argsort(far, axis=1, kind="stable")[:, :k]
-    rows = np.arange(n)[:, None]
-    radius = far[rows, near][:, -1]
-    density = 1 / (np.maximum(far[rows, near], radius[near]).mean(1) + 1e-10)
+    near, distance = np.empty((n, k), np.int64), np.empty((n, k))
+    step = max(1, _BLOCK // (n * x.shape[1]))
+    for lo in range(0, n, step):  # a block of rows at a time
+        far = np.sqrt(((x[lo : lo + step, None] - x[None]) ** 2).sum(2))
+        far[np.arange(len(far)), np.arange(lo, lo + len(far))] = np.inf
+        near[lo : lo + step] = np.argsort(far, axis=1, kind="stable")[:, :k]
+        distance[lo : lo + step] = np.take_along_axis(far, near[lo : lo + step], 1)
+    radius = distance[:, -1]
+    density = 1 / (np.maximum(distance, radius[near]).mean(1) + 1e-10)
     factor = density[near].mean(1) / density
     return factor, factor <= np.quantile(factor, 1 - share)
 
@@ -105,15 +142,15 @@ def support_vector(x: np.ndarray, y: np.ndarray, c: float = 0.9, epsilon: float
     if not n:
         return y.astype(float)
     spread = x.var()
-    kernel = np.exp(-((x[:, None] - x[None]) ** 2) * (1 / spread if spread > 0 else 1.0)) + 1.0  # + 1: the intercept
+    gamma = 1 / spread if spread > 0 else 1.0
     beta, fit = np.zeros(n), np.zeros(n)
     for _ in range(steps):
         moved = 0.0
         for i in range(n):
-            gap = y[i] - fit[i] + kernel[i, i] * beta[i]
-            new = np.clip(np.sign(gap) * max(0.0, abs(gap) - epsilon) / kernel[i, i], -c, c)
+            gap = y[i] - fit[i] + 2.0 * beta[i]  # the kernel of a point with itself is 1, + 1: the intercept
+            new = np.clip(np.sign(gap) * max(0.0, abs(gap) - epsilon) / 2.0, -c, c)
             if new != beta[i]:
-                fit += (new - beta[i]) * kernel[:, i]
+                fit += (new - beta[i]) * (np.exp(-((x - x[i]) ** 2) * gamma) + 1.0)  # one column, not the whole matrix
                 moved = max(moved, abs(new - beta[i]))
                 beta[i] = new
         if moved < 1e-6 * c:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import FRAME, REGION
+from ..schemas import FRAME, MENISCUS, REGION
 
 
 def image(row) -> np.ndarray:
@@ -63,8 +63,65 @@ def labelled(mask: np.ndarray) -> tuple[np.ndarray, int]:
     return (at if names[0] == 0 else at + 1), int((names > 0).sum())
 
 
+def _spread(mask: np.ndarray, corners: bool) -> np.ndarray:
+    """Each pixel's neighbours, stacked, itself first; what is outside is False."""
+    p = np.pad(mask, 1)
+    steps = [(0, 0)] + [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (corners or not (i and j))]
+    return np.stack([p[1 + i : p.shape[0] - 1 + i, 1 + j : p.shape[1] - 1 + j] for i, j in steps])
+
+
+def dilated(mask: np.ndarray, corners: bool = False) -> np.ndarray:
+    return _spread(mask, corners).any(0)
+
+
+def eroded(mask: np.ndarray, corners: bool = False) -> np.ndarray:
+    """Pixels whose neighbours are all in; beyond the image counts as in."""
+    return ~_spread(~mask, corners).any(0)
+
+
+def opened(mask: np.ndarray, corners: bool = False) -> np.ndarray:
+    return dilated(eroded(mask, corners), corners)
+
+
+def without_small(mask: np.ndarray, least: int = 50) -> np.ndarray:
+    """The components (corners touch) of at least so many pixels."""
+    label, _ = labelled(mask)
+    return mask & (np.bincount(label.ravel())[label] >= least)
+
+
+def perimeter(mask: np.ndarray) -> float:
+    """The length of the border's pixels: 1 along an edge, the root of 2 along a diagonal, their mean at a corner."""
+    p = np.pad(mask, 1)
+    border = (p & ~eroded(p)).astype(int)
+    q = np.pad(border, 1)
+    at = lambda i, j: q[1 + i : q.shape[0] - 1 + i, 1 + j : q.shape[1] - 1 + j]
+    beside = at(0, 1) + at(0, -1) + at(1, 0) + at(-1, 0)
+    across = at(1, 1) + at(1, -1) + at(-1, 1) + at(-1, -1)
+    kind = (border + 2 * beside + 10 * across) * border
+    # fixed values: the border's weights by neighbours beside (2 each) and across (10 each)
+    weights = dict.fromkeys((5, 7, 15, 17, 25, 27), 1.0) | dict.fromkeys((21, 33), 2**0.5) | dict.fromkeys((13, 23), (1 + 2**0.5) / 2)
+    return float(sum(weights.get(k, 0.0) * n for k, n in zip(*np.unique(kind, return_counts=True), strict=True)))
+
+
+def feret(rows: np.ndarray, cols: np.ndarray) -> float:
+    """The largest distance between points of the outline, which runs half a pixel outside the pixels' centres."""
+    ends = []
+    for a, b, turn in ((rows, cols, False), (cols, rows, True)):
+        order = np.lexsort((b, a))
+        first = np.flatnonzero(np.diff(a[order], prepend=-1))
+        last = np.append(first[1:], len(a)) - 1
+        pts = np.concatenate([np.stack([a[order][k], b[order][k]], 1) for k in (first, last)])
+        ends.append(pts[:, ::-1] if turn else pts)
+    points = np.concatenate([np.concatenate(ends) + np.array(s) for s in ((0.5, 0), (-0.5, 0), (0, 0.5), (0, -0.5))])
+    most = 0.0
+    for p in points:  # one for each end of a row or column
+        most = max(most, float(((points - p) ** 2).sum(1).max()))
+    return most**0.5
+
+
 def region_rows(mask: np.ndarray, intensity: np.ndarray) -> list[tuple]:
-    """Centroid, box, area, moment axes, orientation, eccentricity and intensities of each component."""
+    """Centroid, box, area, moment axes, orientation, eccentricity, intensities, diameter of a disc of its area, feret diameter,
+    perimeter and share of its box, of each component."""
     label, n = labelled(mask)
     out = []
     for k in range(1, n + 1):
@@ -75,7 +132,8 @@ def region_rows(mask: np.ndarray, intensity: np.ndarray) -> list[tuple]:
         root = np.hypot((a - b) / 2, d)
         major, minor = (a + b) / 2 + root, max((a + b) / 2 - root, 0.0)
         turn = 0.5 * np.arctan2(2 * d, a - b)
-        out.append((k, r, c, rows.min(), cols.min(), rows.max() + 1, cols.max() + 1, float(len(rows)), 4 * np.sqrt(major), 4 * np.sqrt(minor), turn, np.sqrt(1 - minor / major) if major else 0.0, v.mean(), v.max(), v.min()))
+        own = (label == k)[rows.min() : rows.max() + 1, cols.min() : cols.max() + 1]
+        out.append((k, r, c, rows.min(), cols.min(), rows.max() + 1, cols.max() + 1, float(len(rows)), 4 * np.sqrt(major), 4 * np.sqrt(minor), turn, np.sqrt(1 - minor / major) if major else 0.0, v.mean(), v.max(), v.min(), 2 * np.sqrt(len(rows) / np.pi), feret(rows, cols), perimeter(own), len(rows) / own.size))
     return out
 
 
@@ -97,17 +155,37 @@ def regions(frames: DataFrame, predict: Callable[[np.ndarray], np.ndarray], thre
     return frames.mapInPandas(run, REGION)
 
 
+def largest(found: DataFrame) -> DataFrame:
+    """Of regions() the one with most pixels in each frame; of equal ones the first in reading order."""
+    best = F.max_by(F.struct(*found.columns), F.struct("area", -F.col("label")))
+    return found.groupBy("filename", "frame_num").agg(best.alias("_best")).select("_best.*")
+
+
+def measurements(found: DataFrame) -> DataFrame:
+    """Regions under the names and in the order of the measurement files, ready for their writer."""
+    columns = ("frame_num", "centroid_row", "centroid_col", "intensity_mean", "intensity_max", "intensity_min", "area", "major_axis", "minor_axis", "equivalent_diameter", "feret_max", "orientation", "perimeter", "eccentricity")
+    return found.select("filename", *(F.col(c).alias(name) for c, name in zip(columns, MENISCUS, strict=True)))
+
+
+def labelled_only(masks: DataFrame) -> DataFrame:
+    """The frames with at least one pixel that is not 0."""
+    return masks.where(F.translate(F.hex("pixels"), "0", "") != "")
+
+
 def difference(frames: DataFrame, background: DataFrame) -> DataFrame:
-    """(filename, frame_num, pixel, difference): each pixel less its recording's median; signed, so widened first."""
+    """(filename, frame_num, pixel, difference): each pixel less its recording's median; signed, so widened first.
+
+    The background is one row of a recording, an array in order of pixels, and goes to the frames by name; pixels are told apart last.
+    """
+    whole = background.groupBy("filename").agg(F.transform(F.sort_array(F.collect_list(F.struct("pixel", "median"))), lambda x: x["median"]).alias("median"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
             for r in rows.itertuples():
-                v = np.frombuffer(r.pixels, np.uint8).astype(np.int32)
-                yield pd.DataFrame({"filename": r.filename, "frame_num": r.frame_num, "pixel": np.arange(len(v), dtype=np.int32), "value": v})
+                v = np.frombuffer(r.pixels, np.uint8).astype(np.int32) - np.asarray(r.median, np.int32)
+                yield pd.DataFrame({"filename": r.filename, "frame_num": r.frame_num, "pixel": np.arange(len(v), dtype=np.int32), "difference": v})
 
-    pixels = frames.mapInPandas(run, "filename string, frame_num int, pixel int, value int")
-    return pixels.join(background, ["filename", "pixel"]).select("filename", "frame_num", "pixel", (F.col("value") - F.col("median")).alias("difference"))
+    return frames.join(whole, "filename").select("filename", "frame_num", "pixels", "median").mapInPandas(run, "filename string, frame_num int, pixel int, difference int")
 
 
 def sobel(x: np.ndarray, axis: int) -> np.ndarray:

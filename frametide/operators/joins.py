@@ -67,10 +67,13 @@ def _candidates(left: DataFrame, right: DataFrame, frame: str) -> DataFrame:
 
 
 def mutual_nearest(left: DataFrame, right: DataFrame, frame: str) -> DataFrame:
-    """Pairs of descriptors that are each other's nearest; ties go to the smaller id. Only one row for each descriptor leaves the join."""
-    pairs = _candidates(left, right, frame)
-    best = lambda one, other: pairs.groupBy(frame, one).agg(F.min(F.struct("d", other)).alias("m")).select(frame, one, F.col(f"m.{other}").alias(other), F.col("m.d").alias("d"))
-    return best("a", "b").join(best("b", "a").drop("d"), [frame, "a", "b"])
+    """Pairs of descriptors that are each other's nearest; ties go to the smaller id. Only one row for each descriptor leaves the join,
+    and the way back is made only for those that are someone's nearest."""
+    best = lambda pairs, one, other: pairs.groupBy(frame, one).agg(F.min(F.struct("d", other)).alias("m")).select(frame, one, F.col(f"m.{other}").alias(other), F.col("m.d").alias("d"))
+    forth = best(_candidates(left, right, frame), "a", "b")
+    chosen = forth.select(frame, F.col("b").alias("id")).distinct()
+    back = best(_candidates(left, right.join(chosen, [frame, "id"], "left_semi"), frame), "b", "a")
+    return forth.join(back.drop("d"), [frame, "a", "b"])
 
 
 def ratio_matches(left: DataFrame, right: DataFrame, frame: str, ratio: float = 0.6) -> DataFrame:

@@ -38,4 +38,4 @@ COCO = T.StructType(
 )
 
 FRAME = "filename string, frame_num int, height int, width int, pixels binary"
-REGION = "filename string, frame_num int, label int, centroid_row double, centroid_col double, minrow int, mincol int, maxrow int, maxcol int, area double, major_axis double, minor_axis double, orientation double, eccentricity double, intensity_mean double, intensity_max double, intensity_min double"
+REGION = "filename string, frame_num int, label int, centroid_row double, centroid_col double, minrow int, mincol int, maxrow int, maxcol int, area double, major_axis double, minor_axis double, orientation double, eccentricity double, intensity_mean double, intensity_max double, intensity_min double, equivalent_diameter double, feret_max double, perimeter double, extent double"

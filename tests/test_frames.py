@@ -44,3 +44,42 @@ def test_tube():
     assert frames.tube_crop(x).shape == (60, 100)
     y = np.roll(x, -90, axis=1)
     assert frames.tube_crop(y).shape == (60, 100)
+
+
+def test_region_properties_of_known_shapes():
+    mask = np.zeros((20, 30), bool)
+    mask[2:8, 3:13] = True
+    (r,) = frames.region_rows(mask, mask.astype(float))
+    diameter, feret, perimeter, extent = r[-4:]
+    assert diameter == pytest.approx(2 * np.sqrt(60 / np.pi)) and extent == 1.0 and perimeter == 2 * (5 + 9)
+    points = [(x + a, y + b) for x, y in zip(*np.nonzero(mask), strict=True) for a, b in ((0.5, 0), (-0.5, 0), (0, 0.5), (0, -0.5))]
+    assert feret == pytest.approx(max(np.hypot(p[0] - q[0], p[1] - q[1]) for p in points for q in points))
+
+
+def test_morphology():
+    mask = np.zeros((12, 12), bool)
+    mask[2:8, 2:8] = True
+    mask[10, 10] = True
+    assert frames.eroded(mask).sum() == 16 and frames.dilated(frames.eroded(mask))[2:8, 2:8].sum() == 32
+    assert frames.opened(mask, corners=True).sum() == 36 and frames.without_small(mask, 2).sum() == 36
+    assert not frames.opened(np.zeros((3, 3), bool)).any()
+
+
+def test_largest_region_as_measurements(two):
+    from frametide.schemas import MENISCUS
+
+    one = frames.measurements(frames.largest(frames.regions(two, lambda s: s / 255.0)))
+    assert tuple(one.columns) == ("filename", *MENISCUS)
+    (r,) = one.collect()
+    assert (r.frame_num, r.area_m) == (0, 7.0)
+    assert [r.frame_num for r in frames.labelled_only(two).collect()] == [0]
+    assert frames.largest(frames.regions(two.limit(0), lambda s: s / 255.0)).count() == 0
+
+
+def test_difference_from_the_median(two):
+    back = frames.temporal_median(two)
+    rows = {(r.frame_num, r.pixel): r.difference for r in frames.difference(two, back).collect()}
+    want = {r.pixel: r.median for r in back.collect()}
+    for f in two.collect():
+        for k, v in enumerate(f.pixels):
+            assert rows[f.frame_num, k] == v - want[k]

@@ -85,3 +85,17 @@ def test_mann_whitney_from_rows(spark):
     out = statistics.mann_whitney(df, "g", "v", "a", "b")
     assert out["u"] == 12 and out["p"] == pytest.approx(1 / math.comb(7, 3))
     assert statistics.mann_whitney(df, "g", "v", "a", "c") == {"u": None, "p": None}
+
+
+def test_loess_against_one_fit_a_point():
+    rng = np.random.default_rng(2)
+    for n, degree in ((12, 0), (40, 1), (41, 2)):
+        x, y = rng.permutation(n).astype(float), rng.normal(size=n)
+        x[:3] = x[0]  # ties
+        k = int(np.ceil(0.5 * n))
+        want = np.empty(n)
+        for i in range(n):
+            far = np.abs(x - x[i])
+            w = np.clip(1 - (far / np.sort(far)[k - 1]) ** 3, 0, 1) ** 1.5
+            want[i] = np.linalg.lstsq(np.vander(x - x[i], degree + 1) * w[:, None], y * w, rcond=None)[0][-1]
+        assert np.allclose(kernels.loess(x, y, 0.5, degree, robust=0), want)

@@ -28,8 +28,8 @@ WORDS, GROUPS, CLASSES = 128, 128, 64  # outputs
 SIZE = 192  # words of a group
 INPUTS, ENDINGS = WORDS + GROUPS * SIZE, 1024  # input vectors: of words, and of the endings of all other words
 HEAD = 1 << 18  # so many counts at most go to every task; rarer words get theirs in a join
-NOISE, GROUP_NOISE, BATCH, RATE = 32, 8, 2048, 0.5
-SLICES, PASSES, WORKER_TOKENS, MOST_WORKERS = 4, 2, 2_000_000, 1024
+NOISE, GROUP_NOISE, BATCH, RATE = 32, 4, 2048, 0.5
+SLICES, PASSES, WORKER_TOKENS, MOST_WORKERS = 4, 1, 2_000_000, 1024
 END = np.uint64(0x454E44)  # stands for the end of a text among word hashes
 
 

@@ -189,14 +189,18 @@ class Model:
             at += x.size
         return Model(*out)
 
-    def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray, outputs: np.ndarray) -> np.ndarray:
+    def prepared(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Vectors through each position's matrix, and the weights of outputs and of words in groups with their biases, made once for many texts."""
+        top = float(self.bias.max())  # taken off all scores, which then seldom are far from 0
+        weights = np.concatenate([self.outputs, (self.bias - top)[:, None]], 1).T.copy()
+        return [self.vectors @ m for m in self.matrices], weights, np.concatenate([self.members, self.member_bias[:, None]], 1)
+
+    def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray, outputs: np.ndarray, prepared: tuple | None = None) -> np.ndarray:
         """The natural logarithm of each target's probability after its context (nearest word first), in batches of products.
 
         Targets are inputs, and `outputs` says which output stands for each; for an ending it is the probability of its class.
         """
-        tables = [self.vectors @ m for m in self.matrices]
-        top = float(self.bias.max())  # taken off all scores, which then seldom are far from 0
-        weights = np.concatenate([self.outputs, (self.bias - top)[:, None]], 1).T.copy()
+        tables, weights, members = prepared or self.prepared()
         ones, out = np.ones(len(self.bias), np.float32), np.empty(len(targets))
         hidden, scores = np.ones((1024, DIM + 1), np.float32), np.empty((1024, len(self.bias)), np.float32)
         to = outputs[targets]
@@ -221,12 +225,12 @@ class Model:
                 out[lo + k] = z[t[k]] - z.max() - np.log(np.exp(z - z.max()).sum())
         at = np.flatnonzero(member)
         if len(at):
-            out[at] += self._inside(np.concatenate(kept), targets[at] - WORDS)
+            out[at] += self._inside(np.concatenate(kept), targets[at] - WORDS, members)
         return out
 
-    def _inside(self, hidden: np.ndarray, member: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _inside(hidden: np.ndarray, member: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The logarithm of each member's share of its group, one product for each group."""
-        weights = np.concatenate([self.members, self.member_bias[:, None]], 1)
         order = np.argsort(member // SIZE, kind="stable")
         group = member[order] // SIZE
         first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
@@ -425,6 +429,7 @@ def score(docs: DataFrame, *, id: str = "doc_id", text: str = "text", held_out:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, model = known.value, trained.value
+        prepared = model.prepared()
         row = TaskContext.get().partitionId() << 40
         class_below = np.log10(words.class_tokens + 0.5 * (words.class_words + 1))
         counts = np.log10(words.counts + 0.5)
@@ -433,7 +438,7 @@ def score(docs: DataFrame, *, id: str = "doc_id", text: str = "text", held_out:
                 hashes, tail, first, is_end = tokens(slab)
                 inputs, at = words.look_up(hashes, tail)
                 inputs[is_end] = 0
-                own = model.log_probabilities(contexts(inputs, first), inputs, words.outputs) / math.log(10)
+                own = model.log_probabilities(contexts(inputs, first), inputs, words.outputs, prepared) / math.log(10)
                 inside = inputs >= INPUTS
                 shared = np.where(at >= 0, counts[at] if len(counts) else 0.0, 0.0)  # log10(c + 0.5), for rare words added later
                 rare = at < 0

@@ -28,7 +28,7 @@ WORDS, GROUPS, CLASSES = 128, 128, 64  # outputs
 SIZE = 192  # words of a group
 INPUTS, ENDINGS = WORDS + GROUPS * SIZE, 1024  # input vectors: of words, and of the endings of all other words
 HEAD = 1 << 18  # so many counts at most go to every task; rarer words get theirs in a join
-NOISE, GROUP_NOISE, BATCH, RATE = 32, 4, 2048, 0.5
+NOISE, GROUP_NOISE, BATCH, RATE, START = 32, 4, 4096, 0.1, 1.0  # START: Adagrad's sum of squares before the first batch
 SLICES, PASSES, WORKER_TOKENS, MOST_WORKERS = 4, 1, 2_000_000, 1024
 END = np.uint64(0x454E44)  # stands for the end of a text among word hashes
 
@@ -244,7 +244,8 @@ class Model:
 
     def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], words: Vocabulary, seed: list[int]) -> None:
         """Noise-contrastive estimation with Adagrad. Each batch shares its noise among the outputs, drawn by frequency; a word in a
-        group also has noise of its own, drawn by frequency from the group."""
+        group also has noise of its own, drawn by frequency from the group. Gradients are sums over a batch, so a rare word's step does
+        not shrink with the batch."""
         rng = np.random.default_rng(seed)
         frequency, outputs = words.frequency, words.outputs
         log_noise = np.log(NOISE * frequency).astype(np.float32)
@@ -253,12 +254,13 @@ class Model:
         within = np.cumsum(words.inside.reshape(GROUPS, SIZE), axis=1)
         within = (within / np.maximum(within[:, -1:], 1e-30) + np.arange(GROUPS)[:, None]).ravel()  # group g from g to g + 1
         parts = self.parts()
-        seen = [np.full(x.shape, 0.1, np.float32) for x in parts]
+        seen = [np.full(x.shape, START, np.float32) for x in parts]
         sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
         def step(k, rows, gradient):
-            seen[k][rows] += gradient * gradient
-            parts[k][rows] -= RATE * gradient / np.sqrt(seen[k][rows])
+            squares = seen[k][rows] + gradient * gradient
+            seen[k][rows] = squares
+            parts[k][rows] -= RATE * gradient / np.sqrt(squares)
 
         def by_row(rows, gradient):
             order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort
@@ -267,14 +269,14 @@ class Model:
             return rows[first], np.add.reduceat(gradient.take(order, 0), first, axis=0)
 
         for contexts, tokens_ in batches:
-            n, targets = len(tokens_), outputs[tokens_]
+            targets = outputs[tokens_]
             noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), len(frequency) - 1)
             inputs = [self.vectors.take(contexts[:, k], 0) for k in range(ORDER)]
             hidden = sum(inputs[k] @ self.matrices[k] for k in range(ORDER))
             to = self.outputs.take(targets, 0)
             own = np.einsum("ij,ij->i", hidden, to) + self.bias[targets] - log_noise[targets]
             other = hidden @ self.outputs[noise].T + self.bias[noise] - log_noise[noise]
-            d_own, d_other = ((sigmoid(own) - 1) / n).astype(np.float32), (sigmoid(other) / n).astype(np.float32)
+            d_own, d_other = (sigmoid(own) - 1).astype(np.float32), sigmoid(other).astype(np.float32)
             d_hidden = d_own[:, None] * to + d_other @ self.outputs[noise]
             rows, g = by_row(np.concatenate([targets, noise]), np.concatenate([np.column_stack([d_own[:, None] * hidden, d_own]), np.column_stack([d_other.T @ hidden, d_other.sum(0)])]))
             at = np.flatnonzero((tokens_ >= WORDS) & (tokens_ < INPUTS))
@@ -288,7 +290,7 @@ class Model:
                 score = np.einsum("ij,ikj->ik", h, known) + self.member_bias[both] - log_inside[both]
                 d = sigmoid(score)
                 d[:, 0] -= 1
-                d = (d / n).astype(np.float32)
+                d = d.astype(np.float32)
                 d_hidden[at] += np.einsum("ik,ikj->ij", d, known)
                 members, m = by_row(both.ravel(), np.concatenate([d[:, :, None] * h[:, None, :], d[:, :, None]], 2).reshape(-1, DIM + 1))
                 step(4, members, m[:, :-1])

@@ -27,8 +27,10 @@ ORDER, DIM = 3, 16
 WORDS, GROUPS, CLASSES = 128, 128, 64  # outputs
 SIZE = 192  # words of a group
 INPUTS, ENDINGS = WORDS + GROUPS * SIZE, 1024  # input vectors: of words, and of the endings of all other words
+LEADING = 19  # bits of a word's hash that look it up
 HEAD = 1 << 18  # so many counts at most go to every task; rarer words get theirs in a join
 NOISE, GROUP_NOISE, BATCH, RATE, START = 32, 4, 4096, 0.1, 1.0  # START: Adagrad's sum of squares before the first batch
+ROWS = 1024  # tokens scored in one product
 SLICES, PASSES, WORKER_TOKENS, MOST_WORKERS = 4, 1, 2_000_000, 1024
 END = np.uint64(0x454E44)  # stands for the end of a text among word hashes
 
@@ -108,12 +110,23 @@ class Vocabulary:
     frequency: np.ndarray  # share of each output among the training tokens
     inside: np.ndarray  # share of each word among its group's tokens, group after group; 0 where a group has no more words
 
+    def __post_init__(self) -> None:
+        steps = np.arange(1 << LEADING, dtype=np.uint64) << np.uint64(64 - LEADING)
+        self.starts = np.minimum(np.searchsorted(self.keys, steps), max(0, len(self.keys) - 1)).astype(np.int32)
+
     def look_up(self, hashes: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The input of each token and its index in the head, or -1."""
         if not len(self.keys):
             return INPUTS + tail, np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        known = self.keys[at] == hashes
+        # from the first key with the same leading bits, of which hashed words have few, on to the first that is not below
+        last = len(self.keys) - 1
+        at = self.starts.take((hashes >> np.uint64(64 - LEADING)).astype(np.int64))
+        below = np.flatnonzero((self.keys.take(at) < hashes) & (at < last))
+        while len(below):
+            at[below] += 1
+            now = at[below]
+            below = below[(self.keys.take(now) < hashes[below]) & (now < last)]
+        known = self.keys.take(at) == hashes
         return np.where(known & (self.inputs[at] >= 0), self.inputs[at], INPUTS + tail), np.where(known, at, -1)
 
 
@@ -160,6 +173,20 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 # ---------------------------------------------------------------- the model
 
 
+def _log_share(scores: np.ndarray, own: np.ndarray, hidden: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The logarithm of each row's own share in the softmax of its scores (hidden @ weights), which are overwritten."""
+    out = scores[np.arange(len(own)), own].astype(float)
+    with np.errstate(over="ignore"):
+        np.exp(scores, out=scores)
+    total = scores @ np.ones(scores.shape[1], np.float32)
+    far = ~((total > 1e-30) & (total < 1e30))
+    out -= np.log(np.where(far, 1, total).astype(float))
+    for k in np.flatnonzero(far):  # beyond single precision
+        z = hidden[k].astype(float) @ weights
+        out[k] = z[own[k]] - z.max() - np.log(np.exp(z - z.max()).sum())
+    return out
+
+
 @dataclass
 class Model:
     vectors: np.ndarray  # inputs x DIM
@@ -201,28 +228,20 @@ class Model:
         Targets are inputs, and `outputs` says which output stands for each; for an ending it is the probability of its class.
         """
         tables, weights, members = prepared or self.prepared()
-        ones, out = np.ones(len(self.bias), np.float32), np.empty(len(targets))
-        hidden, scores = np.ones((1024, DIM + 1), np.float32), np.empty((1024, len(self.bias)), np.float32)
+        out = np.empty(len(targets))
+        hidden, scores = np.ones((ROWS, DIM + 1), np.float32), np.empty((ROWS, len(self.bias)), np.float32)
         to = outputs[targets]
         member = (targets >= WORDS) & (targets < INPUTS)
         kept = [np.empty((0, DIM + 1), np.float32)]
-        for lo in range(0, len(targets), 1024):
-            c, t = contexts[lo : lo + 1024], to[lo : lo + 1024]
+        for lo in range(0, len(targets), ROWS):
+            c, t = contexts[lo : lo + ROWS], to[lo : lo + ROWS]
             h, s = hidden[: len(t)], scores[: len(t)]
             h[:, :DIM] = tables[0].take(c[:, 0], 0)
             for k in range(1, ORDER):
                 h[:, :DIM] += tables[k].take(c[:, k], 0)
-            kept.append(h[member[lo : lo + 1024]])
+            kept.append(h[member[lo : lo + ROWS]])
             np.matmul(h, weights, out=s)
-            own = s[np.arange(len(t)), t].astype(float)
-            with np.errstate(over="ignore"):
-                np.exp(s, out=s)
-            total = s @ ones
-            far = ~((total > 1e-30) & (total < 1e30))
-            out[lo : lo + 1024] = own - np.log(np.where(far, 1, total).astype(float))
-            for k in np.flatnonzero(far):  # beyond single precision
-                z = h[k].astype(float) @ weights
-                out[lo + k] = z[t[k]] - z.max() - np.log(np.exp(z - z.max()).sum())
+            out[lo : lo + ROWS] = _log_share(s, t, h, weights)
         at = np.flatnonzero(member)
         if len(at):
             out[at] += self._inside(np.concatenate(kept), targets[at] - WORDS, members)
@@ -235,11 +254,14 @@ class Model:
         group = member[order] // SIZE
         first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         out = np.empty(len(member))
-        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
-            rows, g = order[lo:hi], int(group[lo])
-            s = hidden[rows] @ weights[g * SIZE : (g + 1) * SIZE].T
-            s -= s.max(1)[:, None]
-            out[rows] = s[np.arange(len(rows)), member[rows] % SIZE] - np.log(np.exp(s).sum(1))
+        scores = np.empty((ROWS, SIZE), np.float32)
+        for start, end in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+            own = weights[int(group[start]) * SIZE : (int(group[start]) + 1) * SIZE].T
+            for lo in range(start, end, ROWS):
+                rows = order[lo : min(end, lo + ROWS)]
+                h, s = hidden[rows], scores[: len(rows)]
+                np.matmul(h, own, out=s)
+                out[rows] = _log_share(s, member[rows] % SIZE, h, own)
         return out
 
     def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], words: Vocabulary, seed: list[int]) -> None:

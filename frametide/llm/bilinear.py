@@ -29,7 +29,7 @@ SIZE = 192  # words of a group
 INPUTS, ENDINGS = WORDS + GROUPS * SIZE, 1024  # input vectors: of words, and of the endings of all other words
 LEADING = 19  # bits of a word's hash that look it up
 HEAD = 1 << 18  # so many counts at most go to every task; rarer words get theirs in a join
-NOISE, GROUP_NOISE, BATCH, RATE, START = 32, 4, 4096, 0.1, 1.0  # START: Adagrad's sum of squares before the first batch
+NOISE, GROUP_NOISE, BATCH, RATE, START = 32, 4, 4096, 0.02, 0.3  # START: Adagrad's sum of squares before a slice's first batch; higher rates lose what earlier slices taught
 ROWS = 1024  # tokens scored in one product
 SLICES, PASSES, WORKER_TOKENS, MOST_WORKERS = 4, 1, 2_000_000, 1024
 END = np.uint64(0x454E44)  # stands for the end of a text among word hashes

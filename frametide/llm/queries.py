@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bilinear, chaining, decontaminate, lattice, minhash, mixing, quality, sharding, suffixes, warc
+from . import bilinear, chaining, decontaminate, lattice, middle, minhash, mixing, quality, sharding, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op10_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.passages(table(spark, sf_dir, "documents"))
 
 
+def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = middle.restore(middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffixes": op1_suffixes,
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_warc": op9_warc,
         "op10_chaining": op10_chaining,
+        "op13_middle": op13_middle,
     }
 
 
@@ -124,5 +130,22 @@ FROM cut
 """
 
 
+OP13_SQL = r"""
+WITH drawn AS (
+  SELECT doc_id, COALESCE(text, '') AS text, sha256('7:' || COALESCE(doc_id::VARCHAR, '')) AS h, regexp_extract_all(COALESCE(text, ''), '[^\n]*\n|[^\n]+') AS units
+  FROM documents),
+cut AS (
+  SELECT doc_id, text, units, len(units) AS n, [('0x' || h[1:8])::BIGINT % (len(units) + 1), ('0x' || h[9:16])::BIGINT % (len(units) + 1)] AS cuts,
+         ('0x' || h[17:24])::BIGINT % 100 AS h3, ('0x' || h[25:32])::BIGINT % 100 AS h4 FROM drawn),
+parts AS (
+  SELECT doc_id, text, n, array_to_string(units[1:list_min(cuts)], '') AS p, array_to_string(units[list_min(cuts) + 1:list_max(cuts)], '') AS m, array_to_string(units[list_max(cuts) + 1:], '') AS s,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 100 THEN 'plain' WHEN h4 < 50 THEN 'spm' ELSE 'psm' END AS form FROM cut)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": OP6_SQL, "op8_mixing": OP8_SQL}
+    return {"op6_sharding": OP6_SQL, "op8_mixing": OP8_SQL, "op13_middle": OP13_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bilinear, chaining, decontaminate, lattice, middle, minhash, mixing, quality, sharding, suffixes, warc
+from . import bilinear, chaining, decontaminate, lattice, middle, minhash, mixing, quality, repair, sharding, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.passages(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")), dropped="dropped")
+
+
 def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = middle.restore(middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_warc": op9_warc,
         "op10_chaining": op10_chaining,
+        "op11_repair": op11_repair,
         "op13_middle": op13_middle,
     }
 
@@ -130,6 +135,67 @@ FROM cut
 """
 
 
+#: States: 0 nothing yet, 1 after s, 2 after u, 3 after a. `edges` are all ways through one row: up to two insertions, then one edit.
+OP11_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT i, 0 AS n, i::UBIGINT AS c FROM range(256) t(i)
+  UNION ALL
+  SELECT i, n + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM steps WHERE n < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE n = 8),
+given AS (
+  SELECT DENSE_RANK() OVER (ORDER BY conv_id NULLS FIRST) AS conv, conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text,
+         xor(list_reduce(
+           list_transform(regexp_extract_all(hex(encode(COALESCE(conv_id::VARCHAR, ' ') || ':' || COALESCE(turn::VARCHAR, ' '))), '..'), lambda p: ('0x' || p)::UBIGINT),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT) % 20 AS d
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM given, unnest(CASE d WHEN 0 THEN []::INT[] WHEN 3 THEN [1, 2] ELSE [1] END) copies(copy)),
+seen AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS k, ROW_NUMBER() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST) AS nth,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged),
+faulty AS (
+  SELECT conv, turn, role, text, k, left(role, 1) AS ini,
+         CASE WHEN bare = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+         LAG(left(role, 1)) OVER (PARTITION BY conv ORDER BY k) AS ini_before FROM seen),
+counts AS (
+  SELECT conv, MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn) AS gaps, COUNT(*) FILTER (fault = 1) AS blank, COUNT(*) FILTER (fault = 2) AS duplicate,
+         COUNT(*) FILTER (fault = 3) AS truncated, COUNT(*) FILTER (k > 1 AND ini_before || ini NOT IN ('su', 'ua', 'au')) AS illegal, MAX(k) AS n
+  FROM faulty GROUP BY conv),
+writes(q, q2) AS (VALUES (0, 2), (1, 2), (2, 3), (3, 2)),
+inserts AS (
+  SELECT q, '' AS edits, q AS q2, 0 AS cost FROM writes
+  UNION ALL SELECT q, 'I', q2, 3 FROM writes
+  UNION ALL SELECT a.q, 'II', b.q2, 6 FROM writes a JOIN writes b ON a.q2 = b.q),
+legal(ini, q, q2) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+edges AS (
+  SELECT q, edits || 'D' AS edits, q2, cost + 4 AS cost, 'D' AS edit, NULL::VARCHAR AS ini FROM inserts
+  UNION ALL SELECT i.q, i.edits || 'R', w.q2, i.cost + 3, 'R', NULL FROM inserts i JOIN writes w ON i.q2 = w.q
+  UNION ALL SELECT i.q, i.edits || 'K', l.q2, i.cost, 'K', l.ini FROM inserts i JOIN legal l ON i.q2 = l.q),
+cheapest AS (
+  SELECT conv, 0::BIGINT AS k, 0 AS q, {'cost': 0, 'audit': ''} AS best FROM counts
+  UNION ALL
+  SELECT f.conv, f.k, e.q2, MIN({'cost': (c.best).cost + e.cost + CASE WHEN f.fault = 3 AND e.edit <> 'D' THEN 3 ELSE 0 END, 'audit': (c.best).audit || e.edits})
+  FROM cheapest c JOIN faulty f ON f.conv = c.conv AND f.k = c.k + 1
+  JOIN edges e ON e.q = c.q AND (e.edit = 'D' OR f.fault NOT IN (1, 2) AND (e.edit = 'R' OR e.ini = f.ini))
+  GROUP BY f.conv, f.k, e.q2),
+final AS (
+  SELECT c.conv, MIN({'cost': (c.best).cost + i.cost, 'audit': (c.best).audit || i.edits}) AS best
+  FROM cheapest c JOIN counts n ON n.conv = c.conv AND n.n = c.k JOIN inserts i ON i.q = c.q AND i.q2 IN (0, 3) GROUP BY c.conv),
+edits AS (
+  SELECT conv, pos, (best).audit[pos] AS edit FROM final, unnest(range(1, length((best).audit) + 1)) t(pos)),
+placed AS (
+  SELECT *, COUNT(*) FILTER (edit <> 'I') OVER o AS k, COUNT(*) FILTER (edit <> 'D') OVER o - 1 AS nth, COUNT(*) FILTER (edit <> 'D') OVER (PARTITION BY conv) % 2 AS odd
+  FROM edits WINDOW o AS (PARTITION BY conv ORDER BY pos)),
+texts AS (
+  SELECT p.conv, string_agg(CASE WHEN edit = 'K' THEN f.role WHEN (nth + odd) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY nth) AS whole
+  FROM placed p LEFT JOIN faulty f ON f.conv = p.conv AND f.k = p.k WHERE edit <> 'D' GROUP BY p.conv)
+SELECT g.conv_id, COALESCE(gaps, 0)::BIGINT AS gaps, COALESCE(blank, 0)::BIGINT AS blank, COALESCE(duplicate, 0)::BIGINT AS duplicate, COALESCE(truncated, 0)::BIGINT AS truncated,
+       COALESCE(illegal, 0)::BIGINT AS illegal, COALESCE((best).cost, 0)::BIGINT AS cost, COALESCE((best).audit, '') AS audit, sha256(COALESCE(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv, conv_id FROM given) g LEFT JOIN counts USING (conv) LEFT JOIN final USING (conv) LEFT JOIN texts USING (conv)
+"""
+
+
 OP13_SQL = r"""
 WITH drawn AS (
   SELECT doc_id, COALESCE(text, '') AS text, sha256('7:' || COALESCE(doc_id::VARCHAR, '')) AS h, regexp_extract_all(COALESCE(text, ''), '[^\n]*\n|[^\n]+') AS units
@@ -148,4 +214,4 @@ FROM parts
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": OP6_SQL, "op8_mixing": OP8_SQL, "op13_middle": OP13_SQL}
+    return {"op6_sharding": OP6_SQL, "op8_mixing": OP8_SQL, "op11_repair": OP11_SQL, "op13_middle": OP13_SQL}

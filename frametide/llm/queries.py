@@ -151,9 +151,9 @@ given AS (
 damaged AS (
   SELECT conv, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
   FROM given, unnest(CASE d WHEN 0 THEN []::INT[] WHEN 3 THEN [1, 2] ELSE [1] END) copies(copy)),
+ordered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS k FROM damaged),
 seen AS (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS k, ROW_NUMBER() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST) AS nth,
-         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged),
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY conv, role, text ORDER BY k) AS nth, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM ordered),
 faulty AS (
   SELECT conv, turn, role, text, k, left(role, 1) AS ini,
          CASE WHEN bare = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,

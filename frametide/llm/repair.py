@@ -206,8 +206,8 @@ def damage(rows: DataFrame, *, id: str = "conv_id", turn: str = "turn", role: st
     return out.select("conv_id", "turn", F.when(F.col("_kind") == 4, F.lit("user")).otherwise(F.col("role")).alias("role"), text_.alias("text"), (F.col("_kind") == 0).alias("dropped"))
 
 
-def _order(*more: str) -> list[Column]:
-    return [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text"), *(F.col(c) for c in more)]
+def _order() -> list[Column]:
+    return [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
 
 
 def faults(rows: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def repair(rows: DataFrame, *, id: str = "conv_id", turn: str = "turn", role: st
     gone = F.coalesce(F.col(dropped), F.lit(False)) if dropped else F.lit(False)
     filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     given = rows.select(F.col(id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), filled(role).alias("role"), F.when(gone, F.lit("")).otherwise(filled(text)).alias("text"), gone.alias("dropped"))
-    given = faults(given).sortWithinPartitions(F.col("conv_id").asc_nulls_first(), *_order())
+    given = faults(given).sortWithinPartitions(F.col("conv_id").asc_nulls_first(), *_order(), F.col("fault") == DUPLICATE)  # the first of equal rows first
     given = given.select("conv_id", "turn", "role", "text", "fault", "dropped")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bilinear, chaining, decontaminate, lattice, middle, minhash, mixing, quality, repair, sharding, suffixes, warc
+from . import bilinear, chaining, decontaminate, lattice, middle, minhash, mixing, quality, repair, sharding, suffixes, walks, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damage(table(spark, sf_dir, "conversations")), dropped="dropped")
 
 
+def op12_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.edited(table(spark, sf_dir, "documents"))
+
+
 def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = middle.restore(middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": op9_warc,
         "op10_chaining": op10_chaining,
         "op11_repair": op11_repair,
+        "op12_walks": op12_walks,
         "op13_middle": op13_middle,
     }
 

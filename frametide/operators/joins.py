@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+from .neighbours import search
+
 
 def tracks(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """Frames that both tracks have. Rows that tie for a frame fan out."""
@@ -55,28 +58,17 @@ def paired_distances(truth: DataFrame, found: DataFrame, frame: str) -> DataFram
     return truth.join(found, frame).withColumn("distance", F.sqrt(F.pow(F.col("tx") - F.col("fx"), 2) + F.pow(F.col("ty") - F.col("fy"), 2)))
 
 
-def squared_distance(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-
-
-def _candidates(left: DataFrame, right: DataFrame, frame: str) -> DataFrame:
-    """(frame, a, b, d): descriptors (id, v) of one frame against those of its partner. A frame's descriptors are bounded by its size."""
-    a = left.select(frame, F.col("id").alias("a"), F.col("v").alias("va"))
-    b = right.select(frame, F.col("id").alias("b"), F.col("v").alias("vb"))
-    return a.join(b, frame).select(frame, "a", "b", squared_distance("va", "vb").alias("d"))
-
-
-def mutual_nearest(left: DataFrame, right: DataFrame, frame: str) -> DataFrame:
-    """Pairs of descriptors that are each other's nearest; ties go to the smaller id. Only one row for each descriptor leaves the join,
-    and the way back is made only for those that are someone's nearest."""
-    best = lambda pairs, one, other: pairs.groupBy(frame, one).agg(F.min(F.struct("d", other)).alias("m")).select(frame, one, F.col(f"m.{other}").alias(other), F.col("m.d").alias("d"))
-    forth = best(_candidates(left, right, frame), "a", "b")
-    chosen = forth.select(frame, F.col("b").alias("id")).distinct()
-    back = best(_candidates(left, right.join(chosen, [frame, "id"], "left_semi"), frame), "b", "a")
-    return forth.join(back.drop("d"), [frame, "a", "b"])
+def mutual_nearest(left: DataFrame, right: DataFrame, frame: str, *, apart: bool = False) -> DataFrame:
+    """(frame, a, b, d): descriptors (frame, id, v) that are each other's nearest; ties go to the smaller id. With apart=True a
+    descriptor does not meet the one of its own id. The way back is made only for those that are someone's nearest."""
+    forth = written(search(left, right, frame, 1, apart=apart).drop("nth"), "forth")
+    chosen = right.join(forth.select(frame, F.col("b").alias("id")).distinct(), [frame, "id"], "left_semi")
+    back = search(chosen, left, frame, 1, apart=apart).select(frame, F.col("a").alias("b"), F.col("b").alias("a"))
+    return forth.join(back, [frame, "a", "b"])
 
 
-def ratio_matches(left: DataFrame, right: DataFrame, frame: str, ratio: float = 0.6) -> DataFrame:
-    """Nearest neighbours that are nearer than `ratio` times the second nearest."""
-    ranked = _candidates(left, right, frame).groupBy(frame, "a").agg(F.min_by("b", F.struct("d", "b")).alias("b"), F.slice(F.sort_array(F.collect_list("d")), 1, 2).alias("ds"))
-    return ranked.where((F.size("ds") == 2) & (F.sqrt(F.col("ds")[0]) < ratio * F.sqrt(F.col("ds")[1]))).select(frame, "a", "b", F.sqrt(F.col("ds")[0]).alias("d1"), F.sqrt(F.col("ds")[1]).alias("d2"))
+def ratio_matches(left: DataFrame, right: DataFrame, frame: str, ratio: float = 0.6, *, apart: bool = False) -> DataFrame:
+    """(frame, a, b, d1, d2): nearest neighbours that are nearer than `ratio` times the second nearest."""
+    two = search(left, right, frame, 2, apart=apart).withColumn("d", F.sqrt("d"))
+    pair = two.groupBy(frame, "a").agg(F.max(F.when(F.col("nth") == 1, F.col("b"))).alias("b"), F.min("d").alias("d1"), F.max("d").alias("d2"), F.count("*").alias("_n"))
+    return pair.where((F.col("_n") == 2) & (F.col("d1") < ratio * F.col("d2"))).drop("_n")

@@ -376,24 +376,36 @@ def centroid_distances(spark, sf):
 
 _DISTANCES = """
 WITH p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: POW(x[1]::DOUBLE - x[2]::DOUBLE, 2))) AS d
-  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 100 = 0 AND b.vec_id % 100 <> 0)"""
+  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)"""
 
 
 def _descriptors(spark, sf):
     rows = table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return rows.where("id % 100 = 0"), rows.where("id % 100 <> 0")  # the stated searches against all other rows
+    return rows.where("id % 100 = 0"), rows  # the stated searches against all rows
 
 
 @query(_DISTANCES + """
 SELECT label, a, b, ROUND(d, 6) AS d FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY label, a ORDER BY d, b) AS n, ROW_NUMBER() OVER (PARTITION BY label, b ORDER BY d, a) AS m FROM p) WHERE n = 1 AND m = 1""")
 def mutual_nearest(spark, sf):
-    return joins.mutual_nearest(*_descriptors(spark, sf), "label").select("label", "a", "b", F.round("d", 6).alias("d"))
+    return joins.mutual_nearest(*_descriptors(spark, sf), "label", apart=True).select("label", "a", "b", F.round("d", 6).alias("d"))
 
 
 @query(_DISTANCES + """
 SELECT label, a, b, ROUND(d1, 6) AS d1, ROUND(d2, 6) AS d2 FROM (SELECT label, a, b, SQRT(d) AS d1, SQRT(LEAD(d) OVER w) AS d2, ROW_NUMBER() OVER w AS n FROM p WINDOW w AS (PARTITION BY label, a ORDER BY d, b)) WHERE n = 1 AND d1 < 0.95 * d2""")
 def ratio_matches(spark, sf):
-    return joins.ratio_matches(*_descriptors(spark, sf), "label", 0.95).select("label", "a", "b", F.round("d1", 6).alias("d1"), F.round("d2", 6).alias("d2"))
+    return joins.ratio_matches(*_descriptors(spark, sf), "label", 0.95, apart=True).select("label", "a", "b", F.round("d1", 6).alias("d1"), F.round("d2", 6).alias("d2"))
+
+
+@query("""
+WITH p AS (SELECT a.event_type, a.event_id AS a, b.event_id AS b, POW(a.value - b.value, 2) + POW((a.user_id - b.user_id)::DOUBLE, 2) AS d
+  FROM events a JOIN events b ON a.event_type = b.event_type AND a.event_id % 100 = 0 AND a.event_id <> b.event_id)
+SELECT event_type, a, nth::INTEGER AS nth, b, ROUND(d, 6) AS d FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY event_type, a ORDER BY d, b) AS nth FROM p) WHERE nth <= 2""")
+def nearest_two(spark, sf):
+    """The two events of the same type nearest in value and user, through cells of at most 256."""
+    from .operators.neighbours import search
+
+    rows = table(spark, sf, "events").select("event_type", F.col("event_id").alias("id"), F.array("value", F.col("user_id").cast("double")).alias("v"))
+    return search(rows.where("id % 100 = 0"), rows, "event_type", 2, apart=True, cell=256).withColumn("d", F.round("d", 6))
 
 
 # ---------------------------------------------------------------- evaluation

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,70 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int, key: l
     return df.where(F.col(value).between(lo, hi)).groupBy(*key, at.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def circular_histogram(df: DataFrame, key: list[str], angle: str, weight: str, bins: int = 36) -> DataFrame:
+    """(key, bins): the weights summed by angle, an array of `bins` sums over one turn from 0; angles in radians of any size wrap around.
+    Bins without rows are 0; rows without an angle or weight don't count, nor does a group of such rows only."""
+    turn = F.col(angle) / F.lit(2 * math.pi)
+    at = F.least(F.floor((turn - F.floor(turn)) * bins), F.lit(bins - 1)).cast("int")
+    sums = df.where(F.col(angle).isNotNull() & F.col(weight).isNotNull()).groupBy(*key, at.alias("_bin")).agg(F.sum(F.col(weight).cast("double")).alias("_w"))
+    each = sums.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_bin", "_w"))).alias("_m"))  # `bins` entries at most
+    return each.select(*key, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0.0))).alias("bins"))
+
+
+def circular_smooth(bins: Column, times: int = 6) -> Column:
+    """An array as on a circle, each value the mean of itself and its two neighbours, so many times over: one weighting by the
+    coefficients of (1 + x + x**2) ** times."""
+    weights = [1.0]
+    for _ in range(times):
+        weights = [sum(weights[j] for j in range(max(0, k - 2), min(k, len(weights) - 1) + 1)) for k in range(len(weights) + 2)]
+    total, n = 3.0**times, F.size(bins)
+    offsets = F.array(*[F.struct(F.lit(k - times).alias("k"), F.lit(w / total).alias("w")) for k, w in enumerate(weights)])
+    return F.transform(bins, lambda _, i: F.aggregate(offsets, F.lit(0.0), lambda acc, o: acc + o["w"] * F.get(bins, F.pmod(i + o["k"], n))))
+
+
+def circular_peaks(bins: Column) -> Column:
+    """The places of an array, as on a circle, whose value exceeds both neighbours'."""
+    n = F.size(bins)
+    around = lambda i, k: F.get(bins, F.pmod(i + k, n))
+    return F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.get(bins, i) > around(i, F.lit(-1))) & (F.get(bins, i) > around(i, F.lit(1))))
+
+
+def poisson_steps(digits: int = 4) -> list[int]:
+    """Of the numbers below 16 ** digits, the first that stand for weights 1, 2, ... of a Poisson variable of mean 1."""
+    out, term, upto = [], math.exp(-1), 0.0
+    for k in range(1, 12):
+        upto += term
+        term /= k
+        step = math.floor(upto * 16**digits)
+        if step < 16**digits:
+            out.append(step)
+    return out
+
+
+def bootstrap_band(df: DataFrame, key: list[str], value: str, id: str, *, replicates: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """(key, mean, low, high): each group's mean and the band that holds `level` of the means of its bootstrap replicates.
+
+    A row's weight in a replicate is a Poisson variable of mean 1 from a hash of seed, id and replicate, so that replicates are made in
+    the one pass that sums them, wherever the rows are, and reruns agree. Rows without a value don't count. A replicate without
+    any weight has no mean; a group of one row has a band of no width. Rows that share an id share their weights.
+    """
+    steps, per = poisson_steps(), 8
+    rows = df.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("_x"), F.col(id).cast("string").alias("_id"))
+    digest = lambda block: F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce("_id", F.lit("")), block.cast("string")))
+    hashed = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // per)))).withColumn("_h", digest(F.col("_block")))
+    weight = lambda k: F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= F.conv(F.substring("_h", 4 * k + 1, 4), 16, 10).cast("int")))
+    drawn = hashed.select(*key, "_x", "_block", F.posexplode(F.array(*[weight(k) for k in range(per)])).alias("_k", "_w"))
+    drawn = drawn.withColumn("_r", F.col("_block") * per + F.col("_k")).where((F.col("_w") > 0) & (F.col("_r") < replicates))
+    means = drawn.groupBy(*key, "_r").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_m"))
+    tail = (1 - level) / 2
+    band = means.groupBy(*key).agg(F.percentile("_m", F.array(F.lit(tail), F.lit(1 - tail))).alias("_q")).select(*[F.col(k).alias(f"_{k}") for k in key], "_q")
+    whole = rows.groupBy(*key).agg(F.avg("_x").alias("mean"))
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return whole.join(band, same, "left").select(*key, "mean", F.get("_q", F.lit(0)).alias("low"), F.get("_q", F.lit(1)).alias("high"))
+
+
 def biased_median(df: DataFrame, key: list[str], value: str, out: str = "median") -> DataFrame:
     """The histogram median of the frame averager: the least value with more than floor((n + 1) / 2) values at or below it; 255 for one row or none.
 

@@ -283,6 +283,37 @@ def rescaled_radius(spark, sf):
     return table(spark, sf, "events").select("event_id", F.try_divide(F.max("value").over(w) - F.col("value"), F.max("value").over(w) - F.min("value").over(w)).alias("rescaled"))
 
 
+@query("""
+WITH RECURSIVE w AS (
+  SELECT event_type, value / 10 / (2 * PI()) AS turn, user_id + 1.0::DOUBLE AS weight FROM events),
+sums AS (SELECT event_type, LEAST(FLOOR((turn - FLOOR(turn)) * 36), 35)::INTEGER AS bin, SUM(weight) AS weight FROM w GROUP BY 1, 2),
+grid AS (SELECT event_type, list(COALESCE(weight, 0) ORDER BY bin) AS bins FROM (SELECT DISTINCT event_type FROM sums) CROSS JOIN (SELECT k::INTEGER AS bin FROM range(36) t(k)) LEFT JOIN sums USING (event_type, bin) GROUP BY 1),
+rounds AS (
+  SELECT event_type, bins, 0 AS n FROM grid
+  UNION ALL
+  SELECT event_type, [(bins[(i + 34) % 36 + 1] + bins[i] + bins[i % 36 + 1]) / 3 FOR i IN range(1, 37)], n + 1 FROM rounds WHERE n < 6)
+SELECT event_type, (i - 1)::INTEGER AS bin, ROUND(bins[i], 4) AS weight, bins[i] > bins[(i + 34) % 36 + 1] AND bins[i] > bins[i % 36 + 1] AS peak FROM rounds, range(1, 37) t(i) WHERE n = 6""")
+def circular_smoothing(spark, sf):
+    rows = table(spark, sf, "events").select("event_type", (F.col("value") / 10).alias("angle"), (F.col("user_id") + 1.0).alias("weight"))
+    smooth = statistics.circular_histogram(rows, ["event_type"], "angle", "weight").select("event_type", statistics.circular_smooth(F.col("bins")).alias("bins"))
+    out = smooth.select("event_type", statistics.circular_peaks(F.col("bins")).alias("peaks"), F.posexplode("bins").alias("bin", "weight"))
+    return out.select("event_type", "bin", F.round("weight", 4).alias("weight"), F.array_contains("peaks", F.col("bin")).alias("peak"))
+
+
+@query(f"""
+WITH drawn AS (
+  SELECT CAST(ts AS DATE)::VARCHAR AS day, event_type, value, block * 8 + k AS r,
+         list_count(list_filter({statistics.poisson_steps()}, lambda s: s <= ('0x' || md5('11|' || event_id || '|' || block)[4 * k + 1:4 * k + 4])::INT)) AS w
+  FROM events, range(25) b(block), range(8) d(k) WHERE value IS NOT NULL),
+means AS (SELECT day, event_type, r, SUM(w * value) / SUM(w) AS m FROM drawn GROUP BY 1, 2, 3 HAVING SUM(w) > 0)
+SELECT e.day, e.event_type, ROUND(mean, 9) AS mean, ROUND(QUANTILE_CONT(m, 0.025), 9) AS low, ROUND(QUANTILE_CONT(m, 0.975), 9) AS high
+FROM (SELECT CAST(ts AS DATE)::VARCHAR AS day, event_type, AVG(value) AS mean FROM events WHERE value IS NOT NULL GROUP BY 1, 2) e JOIN means USING (day, event_type) GROUP BY 1, 2, 3""")
+def bootstrap_band(spark, sf):
+    rows = table(spark, sf, "events").select(F.to_date("ts").cast("string").alias("day"), "event_type", "value", "event_id")
+    out = statistics.bootstrap_band(rows, ["day", "event_type"], "value", "event_id", seed=11)
+    return out.select("day", "event_type", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
+
+
 # ---------------------------------------------------------------- joins and sets
 
 
@@ -408,6 +439,62 @@ def nearest_two(spark, sf):
     return search(rows.where("id % 100 = 0"), rows, "event_type", 2, apart=True, cell=256).withColumn("d", F.round("d", 6))
 
 
+@query("""
+WITH m AS (
+  SELECT label AS pair, vec_id AS id, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y,
+         CASE WHEN vec_id % 2 = 0 THEN COS(0.3::DOUBLE) * x - SIN(0.3::DOUBLE) * y + 5 + embedding[3]::DOUBLE * 0.4 ELSE embedding[3]::DOUBLE * 100 END AS u,
+         CASE WHEN vec_id % 2 = 0 THEN SIN(0.3::DOUBLE) * x + COS(0.3::DOUBLE) * y - 7 + embedding[4]::DOUBLE * 0.4 ELSE embedding[4]::DOUBLE * 100 END AS v FROM embeddings),
+matches AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY pair ORDER BY md5('3|' || pair || '|' || id), id, x, y, u, v) - 1 AS nth, COUNT(*) OVER (PARTITION BY pair) AS n FROM m),
+asked AS (
+  SELECT pair, trial, LEAST(FLOOR((k + ('0x' || md5('3|' || pair || '|' || trial || '|' || k)[1:8])::BIGINT / 4294967296.0::DOUBLE) * n / 4)::INT, n - 1) AS nth
+  FROM (SELECT DISTINCT pair, n FROM matches WHERE n >= 4), range(250) t(trial), range(4) s(k)),
+fits AS (
+  SELECT pair, trial, COVAR_POP(x, u) + COVAR_POP(y, v) AS a, COVAR_POP(x, v) - COVAR_POP(y, u) AS b, AVG(x) AS mx, AVG(y) AS my, AVG(u) AS mu, AVG(v) AS mv
+  FROM asked JOIN matches USING (pair, nth) GROUP BY 1, 2),
+guesses AS (SELECT pair, trial, a / SQRT(a * a + b * b) AS c, b / SQRT(a * a + b * b) AS s, mu - (c * mx - s * my) AS tx, mv - (s * mx + c * my) AS ty FROM fits WHERE a * a + b * b > 0),
+tried AS (SELECT pair, trial, c, s, tx, ty, x, y, u, v, POW(c * x - s * y + tx - u, 2) + POW(s * x + c * y + ty - v, 2) AS e FROM guesses JOIN matches USING (pair)),
+votes AS (SELECT pair, trial, COUNT(*) FILTER (e < 0.25) AS inliers, SUM(e) AS total FROM tried GROUP BY 1, 2),
+best AS (SELECT pair, trial, inliers FROM votes WHERE inliers > 0 QUALIFY ROW_NUMBER() OVER (PARTITION BY pair ORDER BY inliers DESC, total, trial) = 1),
+fitted AS (
+  SELECT pair, ANY_VALUE(inliers) AS inliers, COVAR_POP(x, u) + COVAR_POP(y, v) AS a, COVAR_POP(x, v) - COVAR_POP(y, u) AS b, AVG(x) AS mx, AVG(y) AS my, AVG(u) AS mu, AVG(v) AS mv
+  FROM tried JOIN best USING (pair, trial) WHERE e < 0.25 GROUP BY 1),
+moved AS (SELECT *, a / SQRT(a * a + b * b) AS c, b / SQRT(a * a + b * b) AS s FROM fitted)
+SELECT pair AS label, n, COALESCE(inliers, 0) AS inliers, ROUND(ATAN2(s, c), 6) AS angle, ROUND(mu - (c * mx - s * my), 5) AS tx, ROUND(mv - (s * mx + c * my), 5) AS ty
+FROM (SELECT DISTINCT pair, n FROM matches) LEFT JOIN moved USING (pair)""")
+def rigid_motion(spark, sf):
+    """Half the points of each label moved by one rotation and translation, the others anywhere."""
+    from .operators import alignment
+
+    e = lambda k: F.get("embedding", F.lit(k)).cast("double")
+    c, s, moves = F.cos(F.lit(0.3)), F.sin(F.lit(0.3)), F.col("vec_id") % 2 == 0
+    rows = table(spark, sf, "embeddings").select("label", "vec_id", (e(0) * 100).alias("x"), (e(1) * 100).alias("y"), e(2).alias("p"), e(3).alias("q"))
+    u = F.when(moves, c * F.col("x") - s * F.col("y") + 5 + F.col("p") * 0.4).otherwise(F.col("p") * 100)
+    v = F.when(moves, s * F.col("x") + c * F.col("y") - 7 + F.col("q") * 0.4).otherwise(F.col("q") * 100)
+    out = alignment.rigid_motions(rows.withColumns({"u": u, "v": v}), "label", "vec_id", seed=3)
+    return out.select("label", "n", "inliers", F.round("angle", 6).alias("angle"), F.round("tx", 5).alias("tx"), F.round("ty", 5).alias("ty"))
+
+
+@query("""
+WITH px AS (SELECT vec_id, ((i - 1) // 8)::INT AS r, ((i - 1) % 8)::INT AS c, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)),
+line AS (
+  SELECT scale, s, k, g / SUM(g) OVER (PARTITION BY scale) AS g
+  FROM (SELECT scale, s, k, EXP(-0.5::DOUBLE * POW(k / s, 2)) AS g FROM (VALUES (0, 1.0::DOUBLE), (1, 1.5::DOUBLE), (2, 2.0::DOUBLE)) z(scale, s), range(-8, 9) t(k) WHERE ABS(k) <= FLOOR(4 * s + 0.5))),
+kernel AS (
+  SELECT scale, a.s, a.k AS dr, b.k AS dc, -(a.s * a.s) * a.g * b.g * ((a.k * a.k + b.k * b.k) / POW(a.s, 4) - 2 / (a.s * a.s)) AS w FROM line a JOIN line b USING (scale)),
+folded AS (SELECT scale, k, pos, LEAST((pos + k + 32) % 16, 15 - (pos + k + 32) % 16) AS at_ FROM (SELECT DISTINCT scale, k FROM line), range(8) t(pos)),
+taps AS (SELECT kernel.scale, a.pos AS r, b.pos AS c, a.at_ AS r2, b.at_ AS c2, SUM(w) AS w FROM kernel JOIN folded a ON a.scale = kernel.scale AND a.k = dr JOIN folded b ON b.scale = kernel.scale AND b.k = dc GROUP BY ALL),
+found AS (SELECT px.vec_id, taps.scale, taps.r, taps.c, SUM(w * v) AS response FROM px JOIN taps ON px.r = taps.r2 AND px.c = taps.c2 GROUP BY ALL)
+SELECT vec_id, scale::INTEGER AS scale, r::INTEGER AS "row", c::INTEGER AS col, ROUND(response, 6) AS response FROM found f
+WHERE response > 0.1 AND NOT EXISTS (SELECT 1 FROM found o WHERE o.vec_id = f.vec_id AND ABS(o.scale - f.scale) <= 1 AND ABS(o.r - f.r) <= 1 AND ABS(o.c - f.c) <= 1 AND o.response > f.response)""")
+def scale_blobs(spark, sf):
+    """Each embedding as an 8 x 8 image: its blobs at three scales."""
+    from .operators.blobs import blobs
+
+    px = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("at", "value"))
+    px = px.select("vec_id", F.floor(F.col("at") / 8).alias("row"), (F.col("at") % 8).alias("col"), "value")
+    return blobs(px, ["vec_id"], [1.0, 1.5, 2.0], threshold=0.1, overlap=None).select("vec_id", "scale", "row", "col", F.round("response", 6).alias("response"))
+
+
 # ---------------------------------------------------------------- evaluation
 
 

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 TUBE_MM, TUBE_VOLUME = 5.5, 0.1
 
+# The patterns of names and dates in recordings' file names.
+DATE = r"\d{4}.\d{2}.\d{2}"
+DATE_DASHES = r"\d{4}-\d{2}-\d{2}"
+DATE_UNDERSCORES = r"\d{4}_\d{2}_\d{2}"
+ANIMAL_CODE = r"moth\d{2}|mothM\d|mothDelta\d"
+
 
 def lin_scale(px: Column) -> Column:
     """Millimetres a pixel; null where the distance is null or 0."""
@@ -37,24 +43,31 @@ def animal_id(filename: Column) -> Column:
 
 
 def animal_code(filename: Column) -> Column:
-    return _or_null(F.regexp_extract(filename, r"moth[0-9]{2}|mothM[0-9]|mothDelta[0-9]", 0))
+    return _or_null(F.regexp_extract(filename, ANIMAL_CODE, 0))
 
 
 def recording_date(filename: Column) -> Column:
     """The first date with any separators, as a date; null where it is none."""
-    return F.try_to_date(F.translate(F.regexp_extract(filename, r"[0-9]{4}.[0-9]{2}.[0-9]{2}", 0), "_", "-"))
+    return F.try_to_date(F.translate(F.regexp_extract(filename, DATE, 0), "_", "-"))
 
 
 def recording_date_strict(filename: Column) -> Column:
     """A date with dashes if there is one, else one with underscores."""
-    dashes = _or_null(F.regexp_extract(filename, r"[0-9]{4}-[0-9]{2}-[0-9]{2}", 0))
-    return F.coalesce(dashes, F.translate(_or_null(F.regexp_extract(filename, r"[0-9]{4}_[0-9]{2}_[0-9]{2}", 0)), "_", "-"))
+    dashes = _or_null(F.regexp_extract(filename, DATE_DASHES, 0))
+    return F.coalesce(dashes, F.translate(_or_null(F.regexp_extract(filename, DATE_UNDERSCORES, 0)), "_", "-"))
 
 
 def stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)\.[^./]*$", 1)
 
 
+def pixel_shares(pixels: Column) -> Column:
+    """The bytes of an image as numbers from 0 to 1."""
+    digits = F.hex(pixels)
+    byte = lambda k: F.conv(F.substring(digits, 2 * k + 1, F.lit(2)), 16, 10).cast("double")
+    return F.when(F.octet_length(pixels) == 0, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(0), F.octet_length(pixels) - 1), lambda k: byte(k) / 255.0))
+
+
 def words_but_last(path: Column) -> Column:
     """A file name's parts at '_', '-' and '.', without the last, joined by spaces."""
     parts = F.split(F.element_at(F.split(path, "/"), -1), r"[_\-.]")

@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import FRAME, MENISCUS, REGION
+from ..storage import stored
 
 
 def image(row) -> np.ndarray:
@@ -27,40 +29,81 @@ def map_frames(frames: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) ->
     return frames.mapInPandas(run, FRAME)
 
 
-def temporal_median(frames: DataFrame) -> DataFrame:
-    """(filename, pixel, median): the biased histogram median of each pixel over a recording.
+#: Pixels of a block: its histograms take 4 MB.
+BLOCK = 4096
+
 
-    Partial histograms: a task adds up (pixel, value) counts of its frames and sends those; counts merge by addition, so the work is
-    split by frames first and by pixels after.
+def median_images(frames: DataFrame) -> DataFrame:
+    """(filename, block, pixels): each block of BLOCK pixels of a recording's biased histogram median, in order of pixels.
+
+    Frames are cut into blocks in the JVM and dealt by recording and block, a byte for each pixel and frame, so a long recording is as
+    many tasks as it has blocks. A task adds the blocks of all frames to 256 bins a pixel as they stream by; arrays of bins never
+    leave it, and the median is read from their running sums. Frames of other sizes than a recording's other frames count where they
+    have pixels.
     """
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in parts:
-            for name, group in rows.groupby("filename"):
-                stack = np.stack([np.frombuffer(p, np.uint8) for p in group.pixels])
-                key, count = np.unique(np.arange(stack.shape[1]) * 256 + stack, return_counts=True)
-                yield pd.DataFrame({"filename": name, "pixel": (key // 256).astype(np.int32), "value": (key % 256).astype(np.int32), "n": count})
+    places = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.octet_length("pixels") / F.lit(BLOCK)).cast("int") - 1)), lambda k: F.struct(k.alias("block"), F.substring("pixels", k * BLOCK + 1, F.lit(BLOCK)).alias("part")))
+    parts = frames.where(F.octet_length("pixels") > 0).select("filename", F.inline(places))
+    parts = parts.repartition("filename", "block").sortWithinPartitions("filename", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bins = None, np.zeros(0, np.int64)
+        made = lambda: pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1]], pa.int32()), pa.array([_medians(bins).tobytes()])], ["filename", "block", "pixels"])
+        for batch in batches:
+            for name, block, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if (name, block) != now:
+                    if now is not None:
+                        yield made()
+                    now, bins = (name, block), np.zeros(0, np.int64)
+                values = np.frombuffer(part.as_buffer(), np.uint8)
+                if len(bins) < len(values) * 256:
+                    bins = np.concatenate([bins, np.zeros(len(values) * 256 - len(bins), np.int64)])
+                bins[np.arange(len(values)) * 256 + values] += 1
+        if now is not None:
+            yield made()
+
+    return parts.mapInArrow(run, "filename string, block int, pixels binary")
+
+
+def _medians(bins: np.ndarray) -> np.ndarray:
+    upto = bins.reshape(-1, 256).cumsum(1)
+    n = upto[:, -1:]
+    above = upto > (n + 1) // 2
+    return np.where((n[:, 0] > 1) & above.any(1), above.argmax(1), 255).astype(np.uint8)
+
 
-    counts = frames.mapInPandas(run, "filename string, pixel int, value int, n long").groupBy("filename", "pixel", "value").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("filename", "pixel")
-    counts = counts.withColumn("_upto", F.sum("n").over(w.orderBy("value"))).withColumn("_n", F.sum("n").over(w))
-    above = F.min(F.when((F.col("_upto") > F.floor((F.col("_n") + 1) / 2)) & (F.col("_n") > 1), F.col("value")))
-    return counts.groupBy("filename", "pixel").agg(F.coalesce(above, F.lit(255)).alias("median"))
+def temporal_median(frames: DataFrame) -> DataFrame:
+    """(filename, pixel, median): the same, a row for each pixel."""
+    digits = F.hex("pixels")
+    byte = lambda k: F.conv(F.substring(digits, 2 * k + 1, F.lit(2)), 16, 10).cast("int")
+    rows = F.transform(F.sequence(F.lit(0), F.octet_length("pixels") - 1), lambda k: F.struct((F.col("block") * BLOCK + k).alias("pixel"), byte(k).alias("median")))
+    return median_images(frames).select("filename", F.inline(rows))
 
 
 def labelled(mask: np.ndarray) -> tuple[np.ndarray, int]:
-    """8-connected components, numbered from 1 in reading order: labels spread until none changes."""
-    n, big = mask.size, mask.size + 1
-    label = np.where(mask, np.arange(1, n + 1).reshape(mask.shape), big)
-    while True:
-        padded = np.pad(label, 1, constant_values=big)
-        spread = np.min([padded[1 + i : padded.shape[0] - 1 + i, 1 + j : padded.shape[1] - 1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1)], axis=0)
-        spread = np.where(mask, spread, big)
-        if (spread == label).all():
-            break
-        label = spread
-    names, at = np.unique(np.where(mask, label, 0), return_inverse=True)
-    at = at.reshape(mask.shape)
-    return (at if names[0] == 0 else at + 1), int((names > 0).sum())
+    """8-connected components, numbered from 1 in reading order: runs of a row that touch runs of the row above are joined."""
+    edges = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, start = np.nonzero(edges == 1)
+    stop = np.nonzero(edges == -1)[1]
+    width = mask.shape[1] + 2
+    # places on one line, a row after another, so that the touching runs above are found by search
+    first, last = np.searchsorted(row * width + stop, (row - 1) * width + start, side="left"), np.searchsorted(row * width + start, (row - 1) * width + stop, side="right")
+    above = list(range(len(row)))
+
+    def root(k: int) -> int:
+        while above[k] != k:
+            above[k] = above[above[k]]
+            k = above[k]
+        return k
+
+    for k in np.flatnonzero(last > first).tolist():
+        for other in range(first[k], last[k]):
+            a, b = root(k), root(other)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    roots, number = np.unique([root(k) for k in range(len(row))], return_inverse=True) if len(row) else (np.empty(0, int), np.empty(0, int))
+    label = np.zeros(mask.shape, np.int64)
+    label[mask] = np.repeat(number + 1, stop - start)
+    return label, len(roots)
 
 
 def _spread(mask: np.ndarray, corners: bool) -> np.ndarray:
@@ -155,6 +198,41 @@ def regions(frames: DataFrame, predict: Callable[[np.ndarray], np.ndarray], thre
     return frames.mapInPandas(run, REGION)
 
 
+def attempted(frames: DataFrame, kernel: Callable[[pd.Series], list[tuple]], columns: str) -> DataFrame:
+    """Rows (filename, frame_num, *columns, _error): what kernel gives for each frame, or one row with the reason if it fails.
+
+    kernel takes a frame's row and gives its tuples; an exception, or a tuple of the wrong length, is that frame's failure and leaves
+    other frames as they are. A frame may give no row.
+    """
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            out = []
+            for _, row in rows.iterrows():
+                try:
+                    found = [(row.filename, row.frame_num, *x, None) for x in kernel(row)]
+                    if any(len(x) != len(names) + 3 for x in found):
+                        raise ValueError("the kernel gave rows of another length")
+                    out += found
+                except Exception as e:  # noqa: BLE001  a frame's failure is a row, whatever it is
+                    out.append((row.filename, row.frame_num, *[None] * len(names), f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["filename", "frame_num", *names, "_error"], dtype=object)
+
+    kinds = dict(frames.dtypes)
+    return frames.mapInPandas(run, f"filename {kinds['filename']}, frame_num {kinds['frame_num']}, {columns}, _error string")
+
+
+def regions_or_reasons(frames: DataFrame, predict: Callable[[np.ndarray], np.ndarray], threshold: float = 0.5) -> DataFrame:
+    """regions(), a frame at a time, with a row and its reason for each frame that can't be measured."""
+
+    def kernel(row: pd.Series) -> list[tuple]:
+        p = predict(image(row)[None])[0]
+        return [tuple(x) for x in region_rows(p > threshold, p)]
+
+    return attempted(frames, kernel, ", ".join(REGION.split(", ")[2:]))
+
+
 def largest(found: DataFrame) -> DataFrame:
     """Of regions() the one with most pixels in each frame; of equal ones the first in reading order."""
     best = F.max_by(F.struct(*found.columns), F.struct("area", -F.col("label")))
@@ -172,20 +250,51 @@ def labelled_only(masks: DataFrame) -> DataFrame:
     return masks.where(F.translate(F.hex("pixels"), "0", "") != "")
 
 
-def difference(frames: DataFrame, background: DataFrame) -> DataFrame:
-    """(filename, frame_num, pixel, difference): each pixel less its recording's median; signed, so widened first.
+def differences(frames: DataFrame, background: DataFrame) -> DataFrame:
+    """(filename, frame_num, height, width, difference): each frame less its recording's median, signed, as one binary of 16-bit
+    little-endian numbers a frame. background is what median_images() gives; pixels that it lacks are left as they are.
 
-    The background is one row of a recording, an array in order of pixels, and goes to the frames by name; pixels are told apart last.
+    Frames stay where they are. The background is written to the shared folder in order of recordings, and a task reads that of the
+    recording it is at, one image at a time.
     """
-    whole = background.groupBy("filename").agg(F.transform(F.sort_array(F.collect_list(F.struct("pixel", "median"))), lambda x: x["median"]).alias("median"))
+    uri = stored(background.repartitionByRange("filename").sortWithinPartitions("filename", "block"), "background")
+    kinds = dict(frames.dtypes)
+    names = ["filename", "frame_num", "height", "width"]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in parts:
-            for r in rows.itertuples():
-                v = np.frombuffer(r.pixels, np.uint8).astype(np.int32) - np.asarray(r.median, np.int32)
-                yield pd.DataFrame({"filename": r.filename, "frame_num": r.frame_num, "pixel": np.arange(len(v), dtype=np.int32), "difference": v})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import dataset, fs
+
+        store, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+        table, now, median = dataset.dataset(path, filesystem=store), None, None
+        for batch in batches:
+            new = []
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(4), strict=True):
+                if median is None or name != now:
+                    blocks = table.to_table(filter=dataset.field("filename") == name).sort_by("block").column("pixels").to_pylist() if name is not None else []
+                    now, median = name, np.frombuffer(b"".join(blocks), np.uint8).astype(np.int16)
+                values = np.frombuffer(raw.as_buffer() or b"", np.uint8).astype("<i2")
+                n = min(len(values), len(median))
+                values[:n] -= median[:n]
+                new.append(values.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(new, pa.binary())], [*names, "difference"])
 
-    return frames.join(whole, "filename").select("filename", "frame_num", "pixels", "median").mapInPandas(run, "filename string, frame_num int, pixel int, difference int")
+    return frames.select(*names, F.coalesce("pixels", F.lit(b"")).alias("pixels")).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", difference binary")
+
+
+def difference(frames: DataFrame, background: DataFrame) -> DataFrame:
+    """(filename, frame_num, pixel, difference): the same, a row for each pixel. background is (filename, pixel, median)."""
+    blocks = background.withColumn("block", F.floor(F.col("pixel") / BLOCK).cast("int")).groupBy("filename", "block").agg(F.sort_array(F.collect_list(F.struct("pixel", "median"))).alias("m"))  # BLOCK at most
+    blocks = blocks.select("filename", "block", F.unhex(F.array_join(F.transform("m", lambda x: F.lpad(F.hex(x["median"]), 2, "0")), "")).alias("pixels"))
+    digits = F.hex("difference")
+    at = lambda k: F.conv(F.concat(F.substring(digits, 4 * k + 3, F.lit(2)), F.substring(digits, 4 * k + 1, F.lit(2))), 16, 10).cast("int")
+    signed = lambda v: F.when(v < 32768, v).otherwise(v - 65536)
+    rows = F.transform(F.sequence(F.lit(0), (F.octet_length("difference") / 2 - 1).cast("int")), lambda k: F.struct(k.alias("pixel"), signed(at(k)).alias("difference")))
+    return differences(frames, blocks).where(F.octet_length("difference") > 0).select("filename", "frame_num", F.inline(rows))
+
+
+def negative_only(values: np.ndarray) -> np.ndarray:
+    """Differences with what is brighter than the background set to 0."""
+    return np.minimum(values, 0)
 
 
 def sobel(x: np.ndarray, axis: int) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,30 @@ def unmatched(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return rows.join(table, key, "left_anti")
 
 
+def looked_up(names: DataFrame, name: str, table: DataFrame, path: str, ordinal: str, attribute: str, out: str | None = None) -> DataFrame:
+    """names with an attribute of the first row of table (by ordinal) whose path ends with the name; a null one becomes the mean of the
+    others, with a warning. Raises LookupError if a name has no row. The join is an equi-join on the ends of paths, once for each length
+    of name; one row of counts comes to the driver."""
+    lengths = names.select(F.length(name).alias("_l")).where("_l > 0").distinct()
+    asked = names.select(F.col(name).alias("_name")).where(F.col(name).isNotNull()).distinct()
+    ends = table.select(path, F.col(ordinal).alias("_o"), F.col(attribute).cast("double").alias("_a")).join(F.broadcast(lengths), F.length(path) >= F.col("_l"))
+    found = asked.join(ends.withColumn("_end", F.right(F.col(path), F.col("_l"))), F.col("_name") == F.col("_end"), "left")
+    first = found.groupBy("_name").agg(F.min_by(F.struct("_a"), F.when(F.col("_end").isNotNull(), F.col("_o"))).alias("_f"), F.count("_end").alias("_n"))
+    first = written(first, "looked_up")
+    counts = first.agg(F.count_if(F.col("_n") == 0).alias("missing"), F.count_if((F.col("_n") > 0) & F.col("_f._a").isNull()).alias("filled"), F.min(F.when(F.col("_n") == 0, F.col("_name"))).alias("name")).first()
+    if counts.missing:
+        raise LookupError(f"{counts.missing} names are in no row of the table, {counts.name!r} among them")
+    if counts.filled:
+        warnings.warn(f"{counts.filled} names have no {attribute} of their own; they get its mean", stacklevel=2)
+    values = _filled(first, table, attribute, out or attribute)
+    return names.join(values, F.col(name) == F.col("_name"), "left").drop("_name")
+
+
+def _filled(first: DataFrame, table: DataFrame, attribute: str, out: str) -> DataFrame:
+    mean = table.agg(F.avg(F.col(attribute).cast("double")).alias("_mean"))
+    return first.join(F.broadcast(mean)).select("_name", F.coalesce("_f._a", "_mean").alias(out))
+
+
 def fill_with_mean(df: DataFrame, value: str, out: str) -> DataFrame:
     """Nulls become the mean of the others: one row, sent to all."""
     return df.join(F.broadcast(df.agg(F.avg(value).alias("_mean")))).withColumn(out, F.coalesce(F.col(value).cast("double"), F.col("_mean"))).drop("_mean")

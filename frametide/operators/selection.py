@@ -80,3 +80,12 @@ def whole_batches(df: DataFrame, key: list[str], frame: str, batch: int) -> Data
     counts = df.groupBy(*key).agg(F.count("*").alias("_n"))
     last = batch * F.ceil(F.greatest(F.col("_n") - batch, F.lit(0)) / F.lit(batch))
     return df.join(counts, key).where(F.col(frame) < last).drop("_n")
+
+
+def widest_region(found: DataFrame, bound: int | None = None, key: tuple[str, ...] = ("filename", "frame_num")) -> DataFrame:
+    """Of the regions (key, label, minrow, mincol, maxrow, maxcol, ...) of each frame the widest of those that are narrower than the
+    bound; of equal ones the first label, of these the rightmost. A frame without such a region gives no row."""
+    width = F.col("maxcol") - F.col("mincol")
+    rows = found if bound is None else found.where(width < bound)
+    best = F.max_by(F.struct(*found.columns), F.struct(width, -F.col("label"), "mincol"))
+    return rows.groupBy(*key).agg(best.alias("_best")).select("_best.*")

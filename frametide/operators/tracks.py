@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def _by(key: list[str], order: str):
     return Window.partitionBy(*key).orderBy(order)
@@ -35,8 +37,17 @@ def elapsed(df: DataFrame, key: list[str], frame: str, rate: Column, out: str =
 
 
 def factorize(df: DataFrame, value: str, out: str) -> DataFrame:
-    """0-based numbers of the sorted distinct values. The numbering runs over the distinct values, not over the rows."""
-    names = df.select(value).distinct().where(F.col(value).isNotNull()).withColumn(out, (F.dense_rank().over(Window.orderBy(value)) - 1).cast("int"))
+    """0-based numbers of the sorted distinct values; rows without a value go.
+
+    The distinct values are dealt into sorted ranges and written; each range is numbered on its own, after the values of the ranges
+    before it. Where the ranges lie does not change the result.
+    """
+    names = df.select(value).distinct().where(F.col(value).isNotNull()).repartitionByRange(value).withColumn("_range", F.spark_partition_id())
+    names = written(names, "names")
+    sizes = names.groupBy("_range").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a range
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(value)) - 1
+    names = names.withColumn("_nth", nth).join(sizes, "_range").select(value, (F.col("_before") + F.col("_nth")).cast("int").alias(out))
     return df.join(names, value)
 
 

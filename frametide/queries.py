@@ -64,6 +64,15 @@ def widest_below_bound(spark, sf):
     return table(spark, sf, "lineitem").where("l_quantity < 40").groupBy("l_orderkey").agg(F.max("l_quantity").alias("widest"))
 
 
+@query("""
+SELECT l_orderkey, label, mincol, maxcol FROM (
+  SELECT l_orderkey, l_linenumber AS label, l_discount AS mincol, l_discount + l_quantity AS maxcol,
+         ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY maxcol - mincol DESC, l_linenumber, mincol DESC) AS n FROM lineitem WHERE maxcol - mincol < 40) WHERE n = 1""")
+def widest_region_below_bound(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("label"), F.col("l_discount").alias("mincol"), (F.col("l_discount") + F.col("l_quantity")).alias("maxcol"))
+    return selection.widest_region(rows, 40, ("l_orderkey",))
+
+
 @query("SELECT l.l_orderkey, l.l_linenumber, l.l_quantity FROM lineitem l JOIN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING COUNT(*) > 4) b USING (l_orderkey)")
 def group_min_rows(spark, sf):
     return selection.at_least(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey"], 4)
@@ -555,6 +564,13 @@ def dates_from_paths(spark, sf):
     return _paths(spark, sf).select("o_orderkey", scalars.recording_date(F.col("path")).cast("string").alias("day"), scalars.recording_date_strict(F.col("path")).alias("strict"))
 
 
+@query(f"""
+SELECT o_orderkey, array_to_string(list_slice(parts, 1, len(parts) - 1), ' ') AS words FROM (
+  SELECT o_orderkey, regexp_split_to_array(regexp_extract(p, '[^/]*$', 0), '[_.-]') AS parts FROM (SELECT o_orderkey, {_PATH} AS p FROM orders))""")
+def path_words(spark, sf):
+    return _paths(spark, sf).select("o_orderkey", scalars.words_but_last(F.col("path")).alias("words"))
+
+
 @query(f"""
 SELECT o_orderkey, p AS path FROM (SELECT o_orderkey, {_PATH} AS p FROM orders) WHERE NOT contains(p, 'moth1') AND NOT contains(p, 'delta') AND NOT contains(p, '_1995')""")
 def name_exclusion(spark, sf):
@@ -640,12 +656,46 @@ def median_per_recording(spark, sf):
     return out.select("user_id", F.round("submergence", 9).alias("submergence"), F.round("rate", 9).alias("rate"))
 
 
+def _images(spark, sf):
+    """Each embedding of 64 numbers as a frame of 8 x 8 bytes; its label is the recording. Other lengths make other widths."""
+    byte = F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.greatest(F.floor(x * 64) + 128, F.lit(0)), F.lit(255))), 2, "0"))
+    wide = F.ceil(F.size("embedding") / 8).cast("int")
+    filled = F.rpad(F.array_join(byte, ""), wide * 16, F.lit("0"))
+    return table(spark, sf, "embeddings").where(F.size("embedding") > 0).select(F.col("label").cast("string").alias("filename"), F.col("vec_id").cast("int").alias("frame_num"), F.lit(8).alias("height"), wide.alias("width"), F.unhex(filled).alias("pixels"))
+
+
+_PIXELS = """
+WITH px AS (
+  SELECT label::VARCHAR AS filename, vec_id::INTEGER AS frame_num, (i - 1)::INTEGER AS pixel, LEAST(GREATEST(FLOOR(embedding[i]::DOUBLE * 64) + 128, 0), 255)::INTEGER AS v FROM embeddings, range(1, 65) t(i)),
+medians AS (
+  SELECT filename, pixel, CASE WHEN ANY_VALUE(n) > 1 THEN COALESCE(MAX(CASE WHEN k = (n + 1) // 2 + 1 THEN v END), 255) ELSE 255 END::INTEGER AS median FROM (
+    SELECT filename, pixel, v, ROW_NUMBER() OVER (PARTITION BY filename, pixel ORDER BY v) AS k, COUNT(*) OVER (PARTITION BY filename, pixel) AS n FROM px) GROUP BY 1, 2)
+"""
+
+
+@query(_PIXELS + "SELECT filename, pixel, median FROM medians")
+def frame_median(spark, sf):
+    from .operators import frames
+
+    return frames.temporal_median(_images(spark, sf))
+
+
+@query(_PIXELS + "SELECT filename, frame_num, pixel, v - median AS difference FROM px JOIN medians USING (filename, pixel)")
+def frame_difference(spark, sf):
+    from .operators import frames
+
+    images = _images(spark, sf)
+    return frames.difference(images, frames.temporal_median(images))
+
+
+@query("SELECT vec_id::INTEGER AS frame_num, (i - 1)::INTEGER AS pixel, ROUND(LEAST(GREATEST(FLOOR(embedding[i]::DOUBLE * 64) + 128, 0), 255) / 255.0::DOUBLE, 9) AS share FROM embeddings, range(1, 65) t(i)")
+def normalised_pixels(spark, sf):
+    return _images(spark, sf).select("frame_num", F.posexplode(scalars.pixel_shares(F.col("pixels"))).alias("pixel", "share")).withColumn("share", F.round("share", 9))
+
+
 @query()
 def frame_regions(spark, sf):
-    """Each embedding as an 8 x 8 image: connected regions of its positive pixels."""
+    """Each embedding as an image: connected regions of its positive pixels."""
     from .operators import frames
 
-    byte = F.transform("embedding", lambda x: F.substring(F.hex(F.least(F.greatest(F.floor(x * 64) + 128, F.lit(0)), F.lit(255))), -2, 2))
-    rows = table(spark, sf, "embeddings").where(F.size("embedding") == 64)
-    rows = rows.select(F.col("label").cast("string").alias("filename"), F.col("vec_id").cast("int").alias("frame_num"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.unhex(F.array_join(F.transform(byte, lambda h: F.lpad(h, 2, "0")), "")).alias("pixels"))
-    return frames.regions(rows, lambda stack: stack / 255.0)
+    return frames.regions_or_reasons(_images(spark, sf), lambda stack: stack / 255.0)

@@ -6,12 +6,13 @@ import io
 import zipfile
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import nan_to_null
 from ..schemas import INTEGERS
+from ..storage import written
 
 
 def read_map(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
@@ -54,10 +55,30 @@ def write_by_recording(df: DataFrame, path: str, mode: str = "append", format: s
     df.repartition("filename").write.partitionBy("filename").mode(mode).format(format).save(path)
 
 
-def with_rejects(df: DataFrame, valid) -> tuple[DataFrame, DataFrame]:
-    """Rows that pass, and the others with a reason's place in `_error`."""
-    ok = F.coalesce(valid, F.lit(False))
-    return df.where(ok), df.where(~ok).withColumn("_error", F.lit("rejected"))
+def with_rejects(df: DataFrame, valid: Column | dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows that pass, and the others with the reason in `_error`: of a dict of conditions by reason the first that does not hold, of
+    a single condition "rejected". What is unknown does not hold."""
+    rules = valid if isinstance(valid, dict) else {"rejected": valid}
+    reason = F.coalesce(*[F.when(~F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds in rules.items()])
+    tagged = df.withColumn("_error", reason)
+    return tagged.where("_error is null").drop("_error"), tagged.where("_error is not null")
+
+
+def split_rejects(tagged: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Rows tagged by `_error` as two tables, those without and those with a reason, and how many there are of each. What made the rows
+    runs once: they are written to the shared folder.
+
+    The counts read one column of what was written. An Observation would count on the way, but in Spark 4.1 a session that has used one
+    can't run MLlib's column functions any more, as these take the session's observations with them.
+    """
+    rows = written(tagged, "tagged")
+    counts = rows.agg(F.count_if(F.col("_error").isNull()).alias("good"), F.count_if(F.col("_error").isNotNull()).alias("rejected")).first()
+    return rows.where("_error is null").drop("_error"), rows.where("_error is not null"), counts.asDict()
+
+
+def skipped(rejects: DataFrame, name: str = "filename") -> DataFrame:
+    """(filename, failures, first_error): each recording that has rejects, as a log of skipped ones has it."""
+    return rejects.groupBy(name).agg(F.count("*").alias("failures"), F.min("_error").alias("first_error"))
 
 
 _TABLE = "{urn:oasis:names:tc:opendocument:xmlns:table:1.0}"

@@ -20,8 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: later steps see the same rows, and a lost executor costs tasks only."""
+def stored(df: DataFrame, name: str) -> str:
+    """Writes df as a Parquet table in the shared folder and gives its place."""
     path = f"{shared_folder(df.sparkSession)}/frametide-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: later steps see the same rows, and a lost executor costs tasks only."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))

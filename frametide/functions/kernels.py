@@ -24,39 +24,49 @@ def _nearest_spans(x: np.ndarray, k: int) -> np.ndarray:
     return start
 
 
-def loess(x: np.ndarray, y: np.ndarray, fraction: float = 0.5, degree: int = 1, robust: int = 2) -> np.ndarray:
-    """Cleveland's locally weighted regression: tricube weights over the nearest share of points, then bisquare reweighting.
+def local_fits(x: np.ndarray, y: np.ndarray, trust: np.ndarray, at: np.ndarray, k: int, degree: int) -> np.ndarray:
+    """For ascending x, the value at each of the places `at` of a polynomial fitted to its k nearest points, with tricube weights times
+    their trust. The fits of a block of points are solved together from weighted sums. A point with too few neighbours of weight
+    gets nan; one whose neighbours are at too few places has the shortest of fits."""
+    start, span, rows = _nearest_spans(x, k), np.arange(k), max(1, _BLOCK // (k * (degree + 1)))
+    out = np.empty(len(at))
+    for lo in range(0, len(at), rows):
+        own = at[lo : lo + rows]
+        near = start[own][:, None] + span
+        away = x[near] - x[own][:, None]
+        width = np.abs(away).max(1)[:, None]
+        w = np.where(width > 0, np.clip(1 - (np.abs(away) / np.where(width > 0, width, 1)) ** 3, 0, 1) ** 3, away == 0) * trust[near]
+        z = away / np.where(width > 0, width, 1)
+        powers = [w * z**p for p in range(2 * degree + 1)]
+        sums = np.stack([p.sum(1) for p in powers])
+        right = np.stack([(powers[p] * y[near]).sum(1) for p in range(degree + 1)], 1)
+        left = np.stack([[sums[p + q] for q in range(degree + 1)] for p in range(degree + 1)]).transpose(2, 0, 1)
+        enough = (w > 0).sum(1) > degree
+        poor = enough & (np.linalg.cond(left) >= 1e12)
+        fit = np.linalg.solve(np.where((enough & ~poor)[:, None, None], left, np.eye(degree + 1)), right[:, :, None])[:, 0, 0]
+        if poor.any():
+            fit[poor] = (np.linalg.pinv(left[poor]) @ right[poor][:, :, None])[:, 0, 0]
+        out[lo : lo + rows] = np.where(enough, fit, np.nan)
+    return out
+
+
+def neighbours_of(n: int, fraction: float, degree: int) -> int:
+    return min(n, max(degree + 1, math.ceil(fraction * n)))
+
 
-    Points are sorted once; each one's neighbours are then a span, and the fits of a block of points are solved together from weighted
-    sums. A point with too few neighbours of weight keeps its value; one whose neighbours are at too few places has the shortest of fits.
-    """
+def loess(x: np.ndarray, y: np.ndarray, fraction: float = 0.5, degree: int = 1, robust: int = 2) -> np.ndarray:
+    """Cleveland's locally weighted regression: tricube weights over the nearest share of points, then bisquare reweighting. A point
+    with too few neighbours of weight keeps its value."""
     n = len(x)
-    k = min(n, max(degree + 1, math.ceil(fraction * n)))
+    k = neighbours_of(n, fraction, degree)
     if n <= degree + 1:
         return y.astype(float).copy()
     order = np.argsort(x, kind="stable")
     x, y = x[order].astype(float), y[order].astype(float)
     out, trust = y.copy(), np.ones(n)
-    start = _nearest_spans(x, k)
-    span, rows = np.arange(k), max(1, _BLOCK // (k * (degree + 1)))
     for _ in range(robust + 1):
-        for lo in range(0, n, rows):
-            at = np.arange(lo, min(n, lo + rows))
-            near = start[at][:, None] + span
-            away = x[near] - x[at][:, None]
-            width = np.abs(away).max(1)[:, None]
-            w = np.where(width > 0, np.clip(1 - (np.abs(away) / np.where(width > 0, width, 1)) ** 3, 0, 1) ** 3, away == 0) * trust[near]
-            z = away / np.where(width > 0, width, 1)
-            powers = [w * z**p for p in range(2 * degree + 1)]
-            sums = np.stack([p.sum(1) for p in powers])
-            right = np.stack([(powers[p] * y[near]).sum(1) for p in range(degree + 1)], 1)
-            left = np.stack([[sums[p + q] for q in range(degree + 1)] for p in range(degree + 1)]).transpose(2, 0, 1)
-            enough = (w > 0).sum(1) > degree
-            poor = enough & (np.linalg.cond(left) >= 1e12)
-            fit = np.linalg.solve(np.where((enough & ~poor)[:, None, None], left, np.eye(degree + 1)), right[:, :, None])[:, 0, 0]
-            if poor.any():
-                fit[poor] = (np.linalg.pinv(left[poor]) @ right[poor][:, :, None])[:, 0, 0]
-            out[at] = np.where(enough, fit, out[at])
+        fit = local_fits(x, y, trust, np.arange(n), k, degree)
+        out = np.where(np.isnan(fit), out, fit)
         residual = np.abs(y - out)
         scale = 6 * np.median(residual)
         if scale <= 1e-12 * (np.abs(y).max() + 1e-300):
@@ -67,30 +77,23 @@ def loess(x: np.ndarray, y: np.ndarray, fraction: float = 0.5, degree: int = 1,
     return back
 
 
-def principal(x: np.ndarray, k: int) -> np.ndarray:
-    """The first k principal components of centred, unscaled columns."""
-    if not len(x):
-        return x
-    x = x - x.mean(0)
-    u, s, _ = np.linalg.svd(x, full_matrices=False)
-    return (u * s)[:, :k]
-
-
 def _usual_depth(n: float) -> float:
     """The mean depth of an unsuccessful search in a random binary tree of n points."""
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
 
-def isolation_forest(x: np.ndarray, trees: int = 100, subsample: int = 256, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(score, is it an inlier): points that random splits part soon score above 1/2 and are outliers."""
+def isolation_forest(x: np.ndarray, trees: int = 100, subsample: int = 256, seed: int = 0, among: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(score, is it an inlier): points that random splits part soon score above 1/2 and are outliers. Trees grow on samples of the
+    first `among` points, of all if it is not given."""
     n, width = x.shape
-    if n < 2:
+    among = n if among is None else among
+    if among < 2:
         return np.zeros(n), np.ones(n, bool)
     rng = np.random.default_rng(seed)
-    size = min(subsample, n)
+    size = min(subsample, among)
     limit = math.ceil(math.log2(max(2, size)))
     # All trees grow at once, a level at a time. A node is a number; `where` says in which node of each tree a point is.
-    drawn = np.argsort(rng.random((trees, n)), axis=1)[:, :size]
+    drawn = np.argsort(rng.random((trees, among)), axis=1)[:, :size]
     where, depth, done = np.tile(np.arange(trees)[:, None], (1, n)), np.zeros((trees, n)), np.zeros((trees, n), bool)
     for level in range(limit + 1):
         nodes, at = np.unique(where, return_inverse=True)
@@ -117,25 +120,6 @@ def isolation_forest(x: np.ndarray, trees: int = 100, subsample: int = 256, seed
     return score, score <= 0.5
 
 
-def local_outlier_factor(x: np.ndarray, neighbours: int = 30, share: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """(factor, is it an inlier): local density compared with the neighbours'; the share with the largest factors is out."""
-    n = len(x)
-    k = min(neighbours, n - 1)
-    if k < 1:
-        return np.ones(n), np.ones(n, bool)
-    near, distance = np.empty((n, k), np.int64), np.empty((n, k))
-    step = max(1, _BLOCK // (n * x.shape[1]))
-    for lo in range(0, n, step):  # a block of rows at a time
-        far = np.sqrt(((x[lo : lo + step, None] - x[None]) ** 2).sum(2))
-        far[np.arange(len(far)), np.arange(lo, lo + len(far))] = np.inf
-        near[lo : lo + step] = np.argsort(far, axis=1, kind="stable")[:, :k]
-        distance[lo : lo + step] = np.take_along_axis(far, near[lo : lo + step], 1)
-    radius = distance[:, -1]
-    density = 1 / (np.maximum(distance, radius[near]).mean(1) + 1e-10)
-    factor = density[near].mean(1) / density
-    return factor, factor <= np.quantile(factor, 1 - share)
-
-
 def support_vector(x: np.ndarray, y: np.ndarray, c: float = 0.9, epsilon: float = 0.1, steps: int = 300) -> np.ndarray:
     """Fitted values of an epsilon-insensitive regression with a radial kernel of width 1 / variance, by coordinate descent."""
     n = len(x)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,19 +37,22 @@ def elapsed(df: DataFrame, key: list[str], frame: str, rate: Column, out: str =
     return df.withColumn(out, F.try_divide((F.col(frame) - F.min(frame).over(Window.partitionBy(*key))).cast("double"), rate.cast("double")))
 
 
-def factorize(df: DataFrame, value: str, out: str) -> DataFrame:
-    """0-based numbers of the sorted distinct values; rows without a value go.
+def numbered(df: DataFrame, key: list[str], order: list[str], out: str) -> DataFrame:
+    """df with each row's 0-based number in its key's rows, in ascending order. Rows are dealt into sorted ranges over keys and order,
+    and written; a range numbers its own rows after those of the same key in the ranges before it. No key is sorted in one task."""
+    rows = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*key, *order, "_tie").withColumn("_range", F.spark_partition_id())
+    rows = written(rows, "ranges").withColumn("_key", F.to_json(F.struct(*key)) if key else F.lit(""))
+    sizes = rows.groupBy("_key", "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sizes = sizes.select("_key", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_key", "_range").orderBy(*order, "_tie")) - 1
+    return rows.withColumn("_nth", nth).join(sizes, ["_key", "_range"]).withColumn(out, F.col("_before") + F.col("_nth")).drop("_key", "_range", "_nth", "_before", "_tie")
 
-    The distinct values are dealt into sorted ranges and written; each range is numbered on its own, after the values of the ranges
-    before it. Where the ranges lie does not change the result.
-    """
-    names = df.select(value).distinct().where(F.col(value).isNotNull()).repartitionByRange(value).withColumn("_range", F.spark_partition_id())
-    names = written(names, "names")
-    sizes = names.groupBy("_range").agg(F.count("*").alias("_n"))
-    sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a range
-    nth = F.row_number().over(Window.partitionBy("_range").orderBy(value)) - 1
-    names = names.withColumn("_nth", nth).join(sizes, "_range").select(value, (F.col("_before") + F.col("_nth")).cast("int").alias(out))
-    return df.join(names, value)
+
+def factorize(df: DataFrame, value: str, out: str) -> DataFrame:
+    """0-based numbers of the sorted distinct values; rows without a value go."""
+    names = numbered(df.select(value).distinct().where(F.col(value).isNotNull()), [], [value], out)
+    return df.join(names.withColumn(out, F.col(out).cast("int")), value)
 
 
 def average_rank(df: DataFrame, value: str, out: str = "avg_rank", ranges: int = 200) -> DataFrame:
@@ -79,7 +83,7 @@ def local_slope(df: DataFrame, key: list[str], x: str, y: str, half: int = 5, ou
 
 
 def per_recording(df: DataFrame, key: list[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], columns: str) -> DataFrame:
-    """kernel for each recording. A recording is bounded by the length of one video, so a group fits in a task."""
+    """kernel for each recording. A group is one task's, so this is for groups of bounded size."""
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in key), columns])
 
@@ -92,34 +96,80 @@ def per_recording(df: DataFrame, key: list[str], kernel: Callable[[pd.DataFrame]
     return df.groupBy(*key).applyInPandas(run, schema)
 
 
-def smoothed(df: DataFrame, key: list[str], x: str, y: str, fraction: float = 0.5, degree: int = 1) -> DataFrame:
-    """Key, x, y and `smooth`: the local regression of y on x for each recording."""
-    from ..functions.kernels import loess
+#: A recording of more points is smoothed in blocks of so many.
+WHOLE = 8192
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=[x, y]).sort_values(x, kind="stable")
-        return pd.DataFrame({x: rows[x].astype(float), y: rows[y].astype(float), "smooth": loess(rows[x].to_numpy(float), rows[y].to_numpy(float), fraction, degree)})
 
-    return per_recording(df.select(*key, x, y), key, run, f"`{x}` double, `{y}` double, smooth double")
+def _same(key: list[str], other: DataFrame, prefix: str = "_k_") -> tuple[DataFrame, Column]:
+    """other with its key columns renamed, and the condition that they equal the key's, nulls included."""
+    condition = F.lit(True)
+    for k in key:
+        condition = condition & F.col(k).eqNullSafe(F.col(prefix + k))
+    return other.withColumnsRenamed({k: prefix + k for k in key}), condition
 
 
-def inliers(df: DataFrame, key: list[str], features: list[str], id: str, method: str = "forest", components: int | None = None, seed: int = 0) -> DataFrame:
-    """Key, id and `anomaly` (larger: odder) and `inlier` for each recording, on at most `components` principal components."""
-    from ..functions import kernels
+def smoothed(df: DataFrame, key: list[str], x: str, y: str, fraction: float = 0.5, degree: int = 1, robust: int = 2, whole: int = WHOLE) -> DataFrame:
+    """Key, x, y and `smooth`: the local regression of y on x for each recording, rows without x or y left out.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=features).sort_values(id, kind="stable")
-        x = rows[features].to_numpy(float)
-        if components:
-            x = kernels.principal(x, components)
-        score, keep = kernels.isolation_forest(x, seed=seed) if method == "forest" else kernels.local_outlier_factor(x)
-        return pd.DataFrame({id: rows[id].to_numpy(), "anomaly": score, "inlier": keep})
+    A recording of up to `whole` points is one group. A longer one is cut into blocks of so many points in order of x, each with the
+    neighbours that its points can have on both sides; the fits are the same, and so is the reweighting, whose medians come from
+    numbered residuals.
+    """
+    from ..functions.kernels import loess
 
-    return per_recording(df.select(*dict.fromkeys([*key, id, *features])), key, run, f"`{id}` {dict(df.dtypes)[id]}, anomaly double, inlier boolean")
+    rows = df.select(*key, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).where(~(F.col(x).isNull() | F.isnan(x) | F.col(y).isNull() | F.isnan(y)))
+    sizes = written(rows.groupBy(*key).agg(F.count("*").alias("_n")), "sizes")
+    long, same = _same(key, sizes.where(F.col("_n") > whole))
+    schema = f"`{x}` double, `{y}` double, smooth double"
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values([x, y], kind="stable")
+        return pd.DataFrame({x: part[x], y: part[y], "smooth": loess(part[x].to_numpy(float), part[y].to_numpy(float), fraction, degree, robust)})
+
+    if long.isEmpty():
+        return per_recording(rows, key, run, schema)
+    short = per_recording(rows.join(long.drop("_n"), same, "left_anti"), key, run, schema)
+    return short.unionByName(_smoothed_in_blocks(rows.join(long, same).select(*key, x, y, "_n"), key, x, y, fraction, degree, robust, whole))
+
+
+def _smoothed_in_blocks(rows: DataFrame, key: list[str], x: str, y: str, fraction: float, degree: int, robust: int, block: int) -> DataFrame:
+    from ..functions.kernels import local_fits, neighbours_of
+
+    kinds = dict(rows.dtypes)
+    now = written(numbered(rows, key, [x, y], "_at").withColumns({"_fit": F.col(y), "_trust": F.lit(1.0)}), "numbered")
+    k = F.least(F.col("_n"), F.greatest(F.lit(degree + 1).cast("long"), F.ceil(F.lit(fraction) * F.col("_n"))))
+    first, last = F.floor(F.greatest(F.lit(0), F.col("_at") - k) / F.lit(block)), F.floor(F.least(F.col("_n") - 1, F.col("_at") + k) / F.lit(block))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_at", kind="stable")
+        at = part["_at"].to_numpy()
+        own = np.flatnonzero(at // block == part["_block"].iloc[0])
+        fit = local_fits(part[x].to_numpy(), part[y].to_numpy(), part["_trust"].to_numpy(), own, neighbours_of(int(part["_n"].iloc[0]), fraction, degree), degree)
+        out = part.iloc[own]
+        return pd.DataFrame({x: out[x], y: out[y], "_n": out["_n"], "_at": out["_at"], "_fit": np.where(np.isnan(fit), out["_fit"], fit)})
+
+    for turn in range(robust + 1):
+        dealt = now.withColumn("_block", F.explode(F.sequence(first, last)))
+        made = per_recording(dealt, [*key, "_block"], run, f"`{x}` double, `{y}` double, _n long, _at long, _fit double").drop("_block")
+        made = written(made.select(*[F.col(c).cast(kinds[c]).alias(c) for c in key], x, y, "_n", "_at", "_fit"), "fits")
+        if turn == robust:
+            break
+        residual = made.withColumn("_r", F.abs(F.col(y) - F.col("_fit")))
+        ranked = numbered(residual.select(*key, "_n", "_r"), key, ["_r"], "_place")
+        middle = (F.col("_place") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_place") == F.floor(F.col("_n") / 2))
+        scale = ranked.where(middle).groupBy(*key).agg((6 * F.avg("_r")).alias("_scale"))
+        tops = residual.groupBy(*key).agg(F.max(F.abs(F.col(y))).alias("_top"))
+        tops, same = _same(key, tops, "_t_")
+        scale = scale.join(tops, same).select(*key, "_scale", "_top")
+        scale, same = _same(key, scale)
+        kept = F.when(F.col("_scale") <= 1e-12 * (F.col("_top") + 1e-300), 1.0).otherwise(F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.pow(F.try_divide(F.col("_r"), F.col("_scale")), 2))), 2))
+        now = written(residual.join(scale, same).select(*key, x, y, "_n", "_at", "_fit", F.coalesce(kept, F.lit(1.0)).alias("_trust")), "trusted")
+    return made.select(*key, x, y, F.col("_fit").alias("smooth"))
 
 
 def support_fit(df: DataFrame, key: list[str], x: str, y: str, c: float = 0.9) -> DataFrame:
-    """Key, x, y and `smooth` from a support vector regression with a radial kernel for each recording."""
+    """Key, x, y and `smooth` from a support vector regression with a radial kernel for each recording. The fit goes through a
+    recording's points again and again and can't be split; a recording is bounded by the length of one video."""
     from ..functions.kernels import support_vector
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

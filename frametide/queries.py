@@ -175,7 +175,7 @@ def days_past(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.datediff(day, F.min(day).over(Window.partitionBy("o_custkey"))).alias("days"))
 
 
-# Smoothing and outliers have no SQL form; their kernels are tested on known curves and planted outliers.
+# Smoothing and forests have no SQL form; they are tested on known curves and planted outliers.
 
 
 @query()
@@ -185,12 +185,28 @@ def loess(spark, sf):
 
 @query()
 def isolation_forest(spark, sf):
-    return tracks.inliers(table(spark, sf, "lineitem").select("l_suppkey", F.monotonically_increasing_id().alias("row"), "l_quantity", "l_extendedprice", "l_discount"), ["l_suppkey"], ["l_quantity", "l_extendedprice", "l_discount"], "row", components=2)
+    from .operators import outliers
 
+    rows = table(spark, sf, "lineitem").select("l_suppkey", F.monotonically_increasing_id().alias("row"), "l_quantity", "l_extendedprice", "l_discount")
+    return outliers.isolated(rows, ["l_suppkey"], ["l_quantity", "l_extendedprice", "l_discount"], "row", components=2)
 
-@query()
+
+@query("""
+WITH p AS (
+  SELECT a.user_id, a.event_id AS a, b.event_id AS b, SQRT(POW((a.event_id - b.event_id)::DOUBLE, 2) + POW(a.value - b.value, 2)) AS d
+  FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id),
+near AS (SELECT * FROM p QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id, a ORDER BY d, b) <= 30),
+radius AS (SELECT user_id, a AS b, MAX(d) AS r FROM near GROUP BY 1, 2),
+density AS (SELECT user_id, a, 1 / (AVG(GREATEST(d, r)) + 1e-10::DOUBLE) AS density FROM near JOIN radius USING (user_id, b) GROUP BY 1, 2),
+factor AS (SELECT n.user_id, n.a AS event_id, AVG(o.density) / ANY_VALUE(d.density) AS f FROM near n JOIN density o ON o.user_id = n.user_id AND o.a = n.b JOIN density d ON d.user_id = n.user_id AND d.a = n.a GROUP BY 1, 2),
+scored AS (SELECT user_id, event_id, COALESCE(f, 1.0::DOUBLE) AS f FROM events LEFT JOIN factor USING (user_id, event_id)),
+bound AS (SELECT user_id, QUANTILE_CONT(f, 0.9) AS bound FROM scored GROUP BY 1)
+SELECT user_id, event_id, ROUND(f, 6) AS anomaly, f <= bound * (1 + 1e-9::DOUBLE) AS inlier FROM scored JOIN bound USING (user_id)""")
 def local_outlier_factor(spark, sf):
-    return tracks.inliers(table(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], ["event_id", "value"], "event_id", method="lof")
+    from .operators import outliers
+
+    out = outliers.local_outliers(table(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], ["event_id", "value"], "event_id")
+    return out.withColumn("anomaly", F.round("anomaly", 6))
 
 
 @query()

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import plain
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,13 +46,13 @@ def test_forest_finds_planted_outliers_and_repeats():
 
 def test_local_outliers():
     x = np.concatenate([np.random.default_rng(2).normal(size=(200, 2)), [[9.0, 9.0]]])
-    factor, keep = kernels.local_outlier_factor(x)
+    factor, keep = plain.local_outlier_factor(x)
     assert factor.argmax() == 200 and not keep[200]
 
 
 def test_principal_components():
     x = np.random.default_rng(0).normal(size=(50, 1)) @ np.array([[1.0, 2.0, 3.0]])
-    p = kernels.principal(x, 2)
+    p = plain.principal(x, 2)
     assert np.allclose(p[:, 1], 0) and np.isclose(p[:, 0].var(), x.var(0).sum())
 
 

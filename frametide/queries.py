@@ -113,9 +113,56 @@ def whole_batches(spark, sf):
     return selection.whole_batches(rows, ["user_id"], "k", 16)
 
 
+@query("""
+SELECT event_id, value <= 100 AS at_most, value > 50 AS above, value BETWEEN 60 AND 70 AS between_, event_type <> 'error' AND event_type <> 'purchase' AS kept_kind
+FROM events WHERE value > 0 AND (value <= 100 OR value > 150 OR value BETWEEN 120 AND 130) AND NOT (value > 190 AND event_type = 'error')""")
+def bounded_values(spark, sf):
+    """Fixed bounds, ranges with both ends, and conditions together; a null value is in none."""
+    v, kind = F.col("value"), F.col("event_type")
+    rows = table(spark, sf, "events").where(v > 0).where((v <= 100) | (v > 150) | v.between(120, 130)).where(~((v > 190) & (kind == "error")))
+    return rows.select("event_id", (v <= 100).alias("at_most"), (v > 50).alias("above"), v.between(60, 70).alias("between_"), ((kind != "error") & (kind != "purchase")).alias("kept_kind"))
+
+
+@query("""
+WITH RECURSIVE span AS (SELECT MIN(value) AS lo, MAX(value) AS hi FROM events),
+counts AS (SELECT LEAST(FLOOR((value - lo) / ((hi - lo) / 256)), 255)::INT AS b, COUNT(*) AS n FROM events, span WHERE value IS NOT NULL GROUP BY 1),
+bins AS (SELECT k::INT AS b, COALESCE(n, 0) AS n, lo + (k + 0.5::DOUBLE) * (hi - lo) / 256 AS m FROM range(256) t(k) LEFT JOIN counts ON b = k, span),
+sums AS (
+  SELECT b, m, LEAD(m) OVER o AS next, SUM(n) OVER o AS low, SUM(n) OVER () - SUM(n) OVER o AS high, SUM(n * m) OVER o AS lows, SUM(n * m) OVER () - SUM(n * m) OVER o AS highs FROM bins WINDOW o AS (ORDER BY b)),
+cut AS (SELECT MIN(m) FILTER (low > 0 AND high > 0 AND m <= (lows / low + highs / high) / 2 AND (lows / low + highs / high) / 2 < next) AS t FROM sums)
+SELECT event_id, value FROM events, cut WHERE value >= t""")
+def above_isodata(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", "value")
+    return rows.where(F.col("value") >= selection.isodata_threshold(rows, "value"))
+
+
+@query(r"""
+SELECT o_orderkey, path FROM (
+  SELECT o_orderkey, 'moth' || (o_custkey % 7) || CASE o_orderkey % 5 WHEN 0 THEN '_delta' WHEN 1 THEN '_Delta' WHEN 2 THEN '_unsuitable' WHEN 3 THEN '_dead' ELSE '' END || '.cine' AS path FROM orders)
+WHERE NOT contains(path, 'delta') AND NOT contains(path, 'Delta') AND NOT contains(path, 'unsuitable')""")
+def usable_recordings(spark, sf):
+    from .plans import feeding
+
+    k = F.col("o_orderkey") % 5
+    mark = F.when(k == 0, "_delta").when(k == 1, "_Delta").when(k == 2, "_unsuitable").when(k == 3, "_dead").otherwise("")
+    rows = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("moth"), (F.col("o_custkey") % 7).cast("string"), mark, F.lit(".cine")).alias("filename"))
+    return feeding.usable(rows).withColumnRenamed("filename", "path")
+
+
 # ---------------------------------------------------------------- ordered by frame
 
 
+@query("SELECT o_orderkey, o_totalprice, (ROW_NUMBER() OVER (ORDER BY o_totalprice, o_orderkey) - 1)::BIGINT AS place FROM orders")
+def sorted_rows(spark, sf):
+    """Rows with their place in a global order, which no task sorts alone."""
+    return tracks.numbered(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [], ["o_totalprice", "o_orderkey"], "place")
+
+
+@query("SELECT user_id, event_id, value, (ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1)::BIGINT AS place FROM events")
+def sorted_in_groups(spark, sf):
+    return tracks.numbered(table(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], ["value", "event_id"], "place")
+
+
 @query("""
 SELECT user_id, event_id, (nv - value) / (ne - event_id) AS derivative FROM (
   SELECT *, LEAD(value) OVER w AS nv, LEAD(event_id) OVER w AS ne FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE nv IS NOT NULL""")
@@ -520,9 +567,34 @@ def scale_blobs(spark, sf):
     return blobs(px, ["vec_id"], [1.0, 1.5, 2.0], threshold=0.1, overlap=None).select("vec_id", "scale", "row", "col", F.round("response", 6).alias("response"))
 
 
+@query("""
+SELECT o.o_orderkey::VARCHAR AS order_key, c_name AS customer, o_totalprice AS price, 5.5::DOUBLE AS tube_mm, LPAD(c_custkey::VARCHAR, 6, '0') AS id FROM orders o JOIN customer ON o_custkey::VARCHAR = c_custkey::VARCHAR""")
+def renamed_and_cast(spark, sf):
+    """Columns renamed, dropped, bound as constants; keys of different types joined as text."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice").toDF("order_key", "key", "price")
+    customers = table(spark, sf, "customer").withColumnRenamed("c_name", "customer").drop("c_address", "c_phone", "c_acctbal", "c_mktsegment", "c_nationkey").withColumn("key", F.col("c_custkey").cast("string"))
+    both = orders.withColumn("key", F.col("key").cast("int").cast("string")).join(customers, "key")
+    return both.select(F.col("order_key").cast("string").alias("order_key"), "customer", "price", F.lit(scalars.TUBE_MM).alias("tube_mm"), F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("id"))
+
+
 # ---------------------------------------------------------------- evaluation
 
 
+@query("""
+SELECT l_suppkey, l_partkey, MAX(l_quantity) AS l_quantity FROM (
+  SELECT l_suppkey, l_partkey, l_quantity, l_discount, l_tax, ROW_NUMBER() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS k FROM lineitem)
+WHERE l_discount * 10 > 0.2 AND l_tax - 0.05 < 0 GROUP BY 1, 2""")
+def best_by_frame(spark, sf):
+    """Regions paired by place with those of a second track; of each frame's sure and darker ones the largest."""
+    from pyspark.sql import Window
+
+    nth = F.row_number().over(Window.partitionBy("l_suppkey", "l_partkey").orderBy("l_orderkey", "l_linenumber", "l_extendedprice"))
+    rows = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_quantity", "l_discount", "l_tax", nth.alias("k"))
+    net = rows.select("l_suppkey", "l_partkey", "k", "l_quantity", (F.col("l_discount") * 10).alias("intensity_mean"))
+    cls = rows.select("l_suppkey", "l_partkey", "k", (F.col("l_tax") - 0.05).alias("intensity_mean"))
+    return evaluation.best_by_frame(net.withColumn("frame", F.col("l_partkey")), cls, ["l_suppkey", "l_partkey"], "k", "frame", "l_quantity", 0.2).drop("frame")
+
+
 @query("""
 SELECT l_suppkey, COUNT(*) FILTER (t AND f) AS common, COUNT(*) AS either, COUNT(*) FILTER (t AND f) / COUNT(*) AS iou FROM (
   SELECT l_suppkey, l_partkey, BOOL_OR(l_returnflag = 'A') AS t, BOOL_OR(l_returnflag = 'R') AS f FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2) GROUP BY 1""")
@@ -709,6 +781,70 @@ def normalised_pixels(spark, sf):
     return _images(spark, sf).select("frame_num", F.posexplode(scalars.pixel_shares(F.col("pixels"))).alias("pixel", "share")).withColumn("share", F.round("share", 9))
 
 
+@query(_PIXELS + """, sums AS (SELECT filename, frame_num, SUM(v) AS total, COUNT(*) FILTER (v > 127.5) AS marked FROM px GROUP BY 1, 2)
+SELECT filename, frame_num, total::BIGINT AS total, marked FROM sums WHERE marked > 0""")
+def marked_frames(spark, sf):
+    """Frames thresholded at one half, those with any marked pixel."""
+    from .operators import frames
+
+    images = _images(spark, sf)
+    shares = scalars.pixel_shares(F.col("pixels"))
+    mask = F.unhex(F.array_join(F.transform(shares, lambda p: F.when(p > 0.5, "01").otherwise("00")), ""))
+    kept = frames.labelled_only(images.withColumn("raw", F.col("pixels")).withColumn("pixels", mask))
+    total = F.aggregate(scalars.pixel_shares(F.col("raw")), F.lit(0.0), lambda acc, p: acc + p)
+    marked = F.size(F.filter(scalars.pixel_shares(F.col("pixels")), lambda p: p > 0))
+    return kept.select("filename", "frame_num", F.round(total * 255).cast("long").alias("total"), marked.cast("long").alias("marked"))
+
+
+_REGIONS = _PIXELS.replace("WITH px", "WITH RECURSIVE px") + """,
+inside AS (SELECT filename, frame_num, pixel, pixel // 8 AS r, pixel % 8 AS c, v FROM px WHERE v / 255.0::DOUBLE > 0.5),
+touch AS (SELECT a.frame_num, a.pixel AS a, b.pixel AS b FROM inside a JOIN inside b ON a.frame_num = b.frame_num AND ABS(a.r - b.r) <= 1 AND ABS(a.c - b.c) <= 1),
+reach AS (SELECT frame_num, pixel AS a, pixel AS b FROM inside UNION SELECT reach.frame_num, reach.a, touch.b FROM reach JOIN touch ON touch.frame_num = reach.frame_num AND touch.a = reach.b),
+home AS (SELECT frame_num, a AS pixel, MIN(b) AS root FROM reach GROUP BY 1, 2),
+named AS (SELECT *, DENSE_RANK() OVER (PARTITION BY frame_num ORDER BY root)::INTEGER AS label FROM home)
+"""
+
+
+@query(_REGIONS + """
+SELECT filename, frame_num, label, ROUND(AVG(r), 9) AS centroid_row, ROUND(AVG(c), 9) AS centroid_col, MIN(r)::INTEGER AS minrow, MIN(c)::INTEGER AS mincol, MAX(r)::INTEGER + 1 AS maxrow, MAX(c)::INTEGER + 1 AS maxcol,
+  COUNT(*)::DOUBLE AS area, ROUND(AVG(v / 255.0::DOUBLE), 9) AS intensity_mean, ROUND(MAX(v / 255.0::DOUBLE), 9) AS intensity_max, ROUND(MIN(v / 255.0::DOUBLE), 9) AS intensity_min,
+  ROUND(2 * SQRT(COUNT(*) / PI()), 9) AS equivalent_diameter, ROUND(COUNT(*)::DOUBLE / ((MAX(r) + 1 - MIN(r)) * (MAX(c) + 1 - MIN(c))), 9) AS extent,
+  ROUND(4 * SQRT((VAR_POP(r) + VAR_POP(c) + 1 / 6.0::DOUBLE) / 2 + SQRT(POW((VAR_POP(r) - VAR_POP(c)) / 2, 2) + POW(COVAR_POP(r, c), 2))), 6) AS major_axis
+FROM inside JOIN named USING (frame_num, pixel) GROUP BY 1, 2, 3""")
+def region_rows(spark, sf):
+    """Each embedding as an image: place, size and intensity of each connected region above one half."""
+    from .operators import frames
+
+    found = frames.regions(_images(spark, sf), lambda stack: stack / 255.0)
+    rounded = {"centroid_row": 9, "centroid_col": 9, "intensity_mean": 9, "intensity_max": 9, "intensity_min": 9, "equivalent_diameter": 9, "extent": 9, "major_axis": 6}
+    columns = ["filename", "frame_num", "label", "minrow", "mincol", "maxrow", "maxcol", "area"]
+    return found.select(*columns, *[F.round(c, d).alias(c) for c, d in rounded.items()])
+
+
+@query(_REGIONS + """
+SELECT filename, frame_num, label, area FROM (
+  SELECT filename, frame_num, label, COUNT(*)::DOUBLE AS area, ROW_NUMBER() OVER (PARTITION BY frame_num ORDER BY COUNT(*) DESC, label) AS n FROM inside JOIN named USING (frame_num, pixel) GROUP BY 1, 2, 3) WHERE n = 1""")
+def largest_region(spark, sf):
+    from .operators import frames
+
+    return frames.largest(frames.regions(_images(spark, sf), lambda stack: stack / 255.0)).select("filename", "frame_num", "label", "area")
+
+
+@query("""
+WITH e AS (SELECT vec_id, embedding[1]::DOUBLE * 40 + 20 AS x, embedding[2]::DOUBLE * 40 + 15 AS y, embedding[3]::DOUBLE * 40 + 20 AS x2, embedding[4]::DOUBLE * 40 + 15 AS y2 FROM embeddings),
+ends AS (SELECT vec_id, GREATEST(0, LEAST(x, 39.0::DOUBLE)) AS x0, GREATEST(0, LEAST(y, 29.0::DOUBLE)) AS y0, GREATEST(0, LEAST(x2, 39.0::DOUBLE)) AS x1, GREATEST(0, LEAST(y2, 29.0::DOUBLE)) AS y1 FROM e),
+steps AS (SELECT *, GREATEST(CEIL(GREATEST(ABS(x1 - x0), ABS(y1 - y0))), 1)::BIGINT AS n FROM ends),
+spots AS (SELECT vec_id, round_even(y0 + (k / n) * (y1 - y0), 0)::INT AS r, round_even(x0 + (k / n) * (x1 - x0), 0)::INT AS c FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM steps))
+SELECT DISTINCT vec_id::VARCHAR AS image, r + dr AS "row", c + dc AS col FROM spots, (VALUES (-1), (0), (1)) a(dr), (VALUES (-1), (0), (1)) b(dc) WHERE r + dr BETWEEN 0 AND 29 AND c + dc BETWEEN 0 AND 39""")
+def line_pixels(spark, sf):
+    """A line for each embedding, drawn three pixels wide into an image of 30 x 40."""
+    from .sources import annotations
+
+    at = lambda k, mid: F.get("embedding", F.lit(k)).cast("double") * 40 + mid
+    lines = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("image"), F.array(F.struct(at(0, 20).alias("x"), at(1, 15).alias("y")), F.struct(at(2, 20).alias("x"), at(3, 15).alias("y"))).alias("points"))
+    return annotations.line_pixels(lines, 30, 40, 1)
+
+
 @query()
 def frame_regions(spark, sf):
     """Each embedding as an image: connected regions of its positive pixels."""

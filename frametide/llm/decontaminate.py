@@ -25,7 +25,6 @@ WIDTH, QUESTION, ANSWER = 5, 0.8, 0.5
 PASSAGE = 256
 #: Bytes of items in one index; a larger benchmark is searched with several indexes, one after another.
 INDEX_BYTES = 1 << 25
-HITS = "_row long, item_id long, bm25 double, question_overlap double, answer_overlap double"
 
 
 class Counts:
@@ -215,13 +214,15 @@ def find(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str = "
 
 
 def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", question: str = "text", answer: str | None = None) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns, in one pass over docs for each index."""
+    """The rows of docs that hold no item, with all their columns, in one pass over docs for each index. The text's column is found in
+    whatever case it is written, as Spark finds columns; a name that no column has raises ValueError."""
+    place = [c.lower() for c in docs.columns].index(text.lower())
     for index in indexes(items, id=item_id, question=question, answer=answer):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for slab in slabs(batch.column(batch.schema.get_field_index(text))):
+                for slab in slabs(batch.column(place)):
                     for d, *_ in index.search(slab):
                         keep[slab.lo + d] = False
                 yield batch.filter(pa.array(keep))

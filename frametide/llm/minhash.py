@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BASE, Slab, components, groups, mix, partitions, shingles, slabs, written
+from .common import _BASE, Slab, components, free_name, groups, mix, partitions, shingles, slabs, written
 
 SIMILARITY, WIDTH = 0.8, 5
 REGISTERS, BANDS = 64, 16
@@ -219,6 +219,11 @@ def classes(docs: DataFrame, *, id: str = "doc_id", text: str = "text", similari
 
 
 def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs with one document of each class left, and of rows with its id one. Rows without an id stay."""
+    """The rows of docs with one document of each class left, and of rows with its id one: the first by text (null first) and then by
+    the other columns that have an order. Rows without an id stay."""
     kept = classes(docs, id=id, text=text, similarity=similarity).where("kept and doc_id is not null").select(F.col("doc_id").alias(id)).distinct()
-    return docs.where(F.col(id).isNotNull()).join(kept, id, "left_semi").dropDuplicates([id]).select(*docs.columns).unionByName(docs.where(F.col(id).isNull()))
+    plain = [c for c, t in docs.dtypes if c.lower() not in (id.lower(), text.lower()) and "map<" not in t and t not in ("variant", "interval")]
+    first = F.row_number().over(Window.partitionBy(id).orderBy(text, *[F.col(f"`{c}`") for c in plain]))
+    nth = free_name("_nth", docs.columns)
+    chosen = docs.where(F.col(id).isNotNull()).join(kept, id, "left_semi").withColumn(nth, first).where(F.col(nth) == 1)
+    return chosen.select(*docs.columns).unionByName(docs.where(F.col(id).isNull()))

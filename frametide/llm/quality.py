@@ -133,9 +133,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "
 def score(docs: DataFrame, model: Model, *, text: str = "text", as_: str = "score") -> DataFrame:
     """docs with a column `score`: each whole text's probability of label 1. Null and empty texts get the curve's value at 0.
 
-    A column of docs that is called as_ is replaced; the other columns stay whatever they are called.
+    A column of docs that is called as_, in whatever case, is replaced; the other columns stay whatever they are called.
     """
-    columns = [c for c in docs.columns if c != as_]
+    columns = [c for c in docs.columns if c.lower() != as_.lower()]
     out = docs.select(*columns, F.lit(0.0).alias(as_)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,11 +29,13 @@ QUERIES = 2048
 
 @dataclass
 class Index:
-    """cells: (frame, dim, cell, part, id, v). levels: of each level the cuts of the cells above it and the boxes of its cells."""
+    """cells: (frame, dim, cell, part, id, v). cuts: of each level the cuts of the cells above it; boxes: of each level its cells'. parts: the
+    number of parts of each cell, None where all have one."""
 
     cells: DataFrame
     cuts: list[DataFrame]
     boxes: list[DataFrame]
+    parts: DataFrame | None
 
 
 def _usable(rows: DataFrame, frame: str) -> DataFrame:
@@ -69,21 +71,24 @@ def _below(rows: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def index(points: DataFrame, frame: str, *, cell: int = CELL) -> Index:
-    """Cells of points (frame, id, v). Each level costs an aggregation and a join; there are log(rows / cell) / log(8) of them."""
+    """Cells of points (frame, id, v). Each level costs an aggregation and a join; there are log(rows / cell) / log(8) of them, none
+    where no frame has more points than a cell."""
     rows = written(_usable(points, frame).withColumn("cell", F.lit(0).cast("long")), "points")
-    cuts, boxes = [], []
-    while True:
+    most = lambda: rows.groupBy("frame", "dim", "cell").count().agg(F.max("count")).first()[0] or 0
+    cuts, boxes, largest = [], [], most()
+    while largest > cell and len(cuts) * CUTS < 60:
         made = written(_cuts(rows, cell), "cuts")
-        if made.isEmpty() or len(cuts) * CUTS >= 60:
+        if made.isEmpty():  # cells of points that are alike
             break
         cuts.append(made)
         rows = written(_below(rows, made), "cells")
         boxes.append(written(_boxes(rows), "boxes"))
-    if not boxes:
-        boxes.append(written(_boxes(rows), "boxes"))
-    parts = boxes[-1].select("frame", "dim", "cell", F.ceil(F.col("n") / F.lit(4 * cell)).alias("parts"))
-    rows = rows.join(parts, ["frame", "dim", "cell"]).select("frame", "dim", "cell", F.pmod(F.xxhash64("id"), "parts").alias("part"), "id", "v")
-    return Index(written(rows, "cells"), cuts, boxes)
+        largest = most()
+    part, parts = F.lit(0).cast("long"), None
+    if largest > 4 * cell:
+        parts = rows.groupBy("frame", "dim", "cell").agg(F.ceil(F.count("*") / F.lit(4 * cell)).alias("parts"))
+        rows, part = rows.join(parts, ["frame", "dim", "cell"]), F.pmod(F.xxhash64("id"), F.col("parts"))
+    return Index(rows.select("frame", "dim", "cell", part.alias("part"), "id", "v"), cuts, boxes, parts)
 
 
 def _gap(v: str, lo: str, hi: str) -> Column:
@@ -92,18 +97,22 @@ def _gap(v: str, lo: str, hi: str) -> Column:
     return F.aggregate(beyond, F.lit(0.0), lambda acc, x: acc + x * x)
 
 
-def _compare(visits: DataFrame, cells: DataFrame, k: int, apart: bool) -> DataFrame:
+def _compare(visits: DataFrame, found: Index, k: int, apart: bool) -> DataFrame:
     """(frame, dim, a, b, d, compared): of each visit (frame, dim, cell, a, v) the k nearest points of each part of the cell."""
-    parts = cells.select("frame", "dim", "cell", "part").distinct()
+    cells = found.cells
+    if found.parts is None:
+        asked = visits.withColumn("part", F.lit(0).cast("long"))
+    else:
+        asked = visits.join(found.parts, ["frame", "dim", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
     load = visits.groupBy("frame", "dim", "cell").agg(F.ceil(F.count("*") / F.lit(QUERIES)).alias("blocks"))
-    asked = visits.join(load, ["frame", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("a"), "blocks")).drop("blocks").join(parts, ["frame", "dim", "cell"])
+    asked = asked.join(load, ["frame", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("a"), "blocks")).drop("blocks")
     held = cells.join(load, ["frame", "dim", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
     kinds = dict(cells.dtypes) | {"a": dict(visits.dtypes)["a"]}
     key = ["frame", "dim", "cell", "part", "block"]
 
     def run(name: tuple, queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(points):
-            return pd.DataFrame({"frame": [], "dim": [], "a": [], "b": [], "d": [], "compared": []})
+            return pd.DataFrame({c: np.empty(0, object) for c in ("frame", "dim", "a", "b", "d", "compared")})
         p, q = np.stack(points.v.to_list()), np.stack(queries.v.to_list())
         ids, asking = points.id.to_numpy(), queries.a.to_numpy()
         order = np.argsort(ids, kind="stable")  # of equal distances the smallest id comes first
@@ -119,7 +128,7 @@ def _compare(visits: DataFrame, cells: DataFrame, k: int, apart: bool) -> DataFr
             out.append((a, near.ravel(), np.take_along_axis(d, near, 1).ravel()))
         a, b, d = (np.concatenate(x) for x in zip(*out, strict=True))
         found = np.isfinite(d)
-        return pd.DataFrame({"frame": name[0], "dim": name[1], "a": asking[a[found]], "b": ids[b[found]], "d": d[found], "compared": np.where(np.arange(len(a)) % most == 0, len(ids), 0)[found]})
+        return pd.DataFrame({"frame": np.array([name[0]] * found.sum(), object), "dim": name[1], "a": asking[a[found]], "b": ids[b[found]], "d": d[found], "compared": np.where(np.arange(len(a)) % most == 0, len(ids), 0)[found]})
 
     schema = f"frame {kinds['frame']}, dim int, a {kinds['a']}, b {kinds['id']}, d double, compared long"
     asked = asked.select(*[F.col(c).alias(f"asked_{c}") for c in key], "a", "v")  # both sides come from the cells
@@ -153,13 +162,17 @@ def search(queries: DataFrame, points: DataFrame | Index, frame: str, k: int = 2
     asked = _usable(queries, frame).withColumnRenamed("id", "a").withColumn("cell", F.lit(0).cast("long"))
     for cuts in found.cuts:
         asked = _below(asked, cuts)
-    asked = written(asked.dropDuplicates(["frame", "a"]), "queries")
-    home = written(_compare(asked.select("frame", "dim", "cell", "a", "v"), found.cells, k, apart), "home")
-    bound = _nearest(home, k).where(F.col("nth") == k).select("frame", "a", F.col("d").alias("bound"))
+    asked = asked.dropDuplicates(["frame", "a"])
+    if found.cuts or counted:
+        asked = written(asked, "queries")
+    home = _compare(asked.select("frame", "dim", "cell", "a", "v"), found, k, apart)
+    if found.cuts or counted:
+        home = written(home, "home")
     if found.cuts:
+        bound = _nearest(home, k).where(F.col("nth") == k).select("frame", "a", F.col("d").alias("bound"))
         rest = asked.withColumnRenamed("cell", "home").join(bound, ["frame", "a"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
         visits = _visits(rest, found.boxes).where("cell <> home").select("frame", "dim", "cell", "a", "v")
-        home = written(home.unionByName(_compare(visits, found.cells, k, apart)), "found")
+        home = written(home.unionByName(_compare(visits, found, k, apart)), "found")
     out = _nearest(home, k).select(F.col("frame").alias(frame), "a", F.col("nth").cast("int").alias("nth"), "b", "d")
     if counted:
         out = out.join(home.groupBy(F.col("frame").alias(frame), "a").agg(F.sum("compared").alias("compared")), [frame, "a"])

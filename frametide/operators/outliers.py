@@ -106,7 +106,7 @@ def isolated(df: DataFrame, key: list[str], features: list[str], id: str, *, com
 
     def run(name: tuple, part: pd.DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
         if not len(part):
-            return pd.DataFrame({c: [] for c in [*key, id, "anomaly", "inlier"]})
+            return pd.DataFrame({c: np.empty(0, object) for c in [*key, id, "anomaly", "inlier"]})
         sample = sample.sort_values(["_p_hash", "_p_id"], kind="stable")
         score, keep = isolation_forest(np.stack([*sample["_p_v"], *part["_v"]]), seed=seed, among=len(sample))
         out = pd.DataFrame({k: part[k] for k in key} | {id: part["_id"]})

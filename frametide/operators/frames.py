@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import FRAME, MENISCUS, REGION
-from ..storage import stored
+from ..storage import store_of, stored
 
 
 def image(row) -> np.ndarray:
@@ -262,9 +262,9 @@ def differences(frames: DataFrame, background: DataFrame) -> DataFrame:
     names = ["filename", "frame_num", "height", "width"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import dataset, fs
+        from pyarrow import dataset
 
-        store, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+        store, path = store_of(uri)
         table, now, median = dataset.dataset(path, filesystem=store), None, None
         for batch in batches:
             new = []

@@ -724,6 +724,84 @@ def json_extract(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.page").alias("page"))
 
 
+_PIXELS_OF = """
+WITH px AS (
+  SELECT label::VARCHAR AS filename, vec_id::INTEGER AS frame_num, (i - 1)::INTEGER AS pixel, LEAST(GREATEST(FLOOR(embedding[i]::DOUBLE * 64) + 128, 0), 255)::INTEGER AS v FROM embeddings, range(1, 65) t(i))
+"""
+
+
+# ---------------------------------------------------------------- stores: written by Spark from the tables, and read again
+
+
+def _place(spark, name):
+    from .storage import new_place
+
+    return new_place(spark, name)
+
+
+@query("SELECT user_id::VARCHAR AS filename, COUNT(*) AS frames, SUM(event_id)::BIGINT AS places, ROUND(SUM(value), 6) AS total FROM events GROUP BY 1")
+def text_tracks(spark, sf):
+    """A text file for each user, in two writes of which the second appends, read again."""
+    from .sources import measurements, sinks
+
+    place = _place(spark, "tracks")
+    rows = table(spark, sf, "events").select(F.concat(F.lit("data2/"), F.col("user_id").cast("string"), F.lit(".cine")).alias("filename"), F.col("event_id").alias("frame_num"), "value", "event_type")
+    sinks.write_tracks(rows.where("event_type = 'click'"), place)
+    sinks.write_tracks(rows.where("event_type <> 'click'"), place)
+    back = measurements.read_tracks(spark, place, "frame_num long, value double, event_type string", sep="\t")
+    name = F.regexp_extract("filename", r"([^/]+)\.tsv$", 1).alias("filename")
+    return back.groupBy(name).agg(F.count("*").alias("frames"), F.sum("frame_num").alias("places"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query("SELECT l_suppkey::VARCHAR AS filename, l_orderkey AS frame_num, l_quantity AS a, l_extendedprice AS b FROM lineitem")
+def stored_maps(spark, sf):
+    """Maps from a supplier to its rows, positional, written a line each and read again."""
+    from .sources import measurements
+
+    place, names = _place(spark, "maps"), ("frame_num", "a", "b")
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("filename"), F.col("l_orderkey").alias("frame_num"), F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"))
+    measurements.write_map(rows, place, names)
+    return measurements.read_lines(spark, place, names)
+
+
+@query("SELECT c_name AS filename, c_acctbal::DOUBLE AS px, 5.5::DOUBLE / NULLIF(c_acctbal::DOUBLE, 0) AS lin FROM customer")
+def delimited_table(spark, sf):
+    """A headered table with units, written as text and read by its schema."""
+    from .schemas import UNITS
+    from .sources import measurements
+
+    place = _place(spark, "units")
+    table(spark, sf, "customer").select(F.col("c_name").alias("filename"), F.col("c_acctbal").cast("double").alias("distance(pixels)"), F.lit(5.5).alias("distance(mm)"), F.lit(0.02).alias("error"), F.lit(None).cast("double").alias("ratio")).write.csv(place, header=True)
+    return measurements.read_table(spark, place, UNITS).select("filename", "px", scalars.lin_scale(F.col("px")).alias("lin"))
+
+
+@query(_PIXELS_OF + "SELECT frame_num, 8 AS height, 8 AS width, SUM(v)::BIGINT AS total, SUM(v * (pixel + 1))::BIGINT AS weighted FROM px GROUP BY 1")
+def png_frames(spark, sf):
+    """Each embedding as a PNG file, read again from the folder."""
+    from .sources import images
+
+    place = _place(spark, "images")
+    images.register(spark)
+    _images(spark, sf).write.format("png").mode("append").save(place)
+    back = images.as_frames(spark.read.format("png").load(place))
+    total = back.select("frame_num", "height", "width", F.posexplode(scalars.pixel_shares(F.col("pixels"))).alias("at", "p")).withColumn("v", F.round(F.col("p") * 255).cast("long"))
+    return total.groupBy("frame_num", "height", "width").agg(F.sum("v").alias("total"), F.sum(F.col("v") * (F.col("at") + 1)).alias("weighted"))
+
+
+@query("""
+SELECT o_custkey::VARCHAR AS filename, COUNT(*) AS frames, MEDIAN(derivative) AS derivative, MEDIAN(rate) AS rate FROM (
+  SELECT o_custkey, (LEAD(o_totalprice) OVER w - o_totalprice) / (LEAD(o_orderkey) OVER w - o_orderkey) AS derivative, o_totalprice * 2 AS rate FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+WHERE derivative IS NOT NULL GROUP BY 1""")
+def bucketed_recordings(spark, sf):
+    """Two tracks in tables that share one layout: joined, differentiated and grouped without moving a row."""
+    from .sources import buckets
+
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("filename"), F.col("o_orderkey").alias("frame_num"), "o_totalprice")
+    both = buckets.paired(orders.withColumnRenamed("o_totalprice", "value"), orders.select("filename", "frame_num", (F.col("o_totalprice") * 2).alias("rate")))
+    moving = tracks.forward_derivative(both, ["filename"], "frame_num", "value")
+    return moving.groupBy("filename").agg(F.count("*").alias("frames"), F.median("derivative").alias("derivative"), F.median("rate").alias("rate"))
+
+
 # ---------------------------------------------------------------- composed
 
 
@@ -752,9 +830,7 @@ def _images(spark, sf):
     return table(spark, sf, "embeddings").where(F.size("embedding") > 0).select(F.col("label").cast("string").alias("filename"), F.col("vec_id").cast("int").alias("frame_num"), F.lit(8).alias("height"), wide.alias("width"), F.unhex(filled).alias("pixels"))
 
 
-_PIXELS = """
-WITH px AS (
-  SELECT label::VARCHAR AS filename, vec_id::INTEGER AS frame_num, (i - 1)::INTEGER AS pixel, LEAST(GREATEST(FLOOR(embedding[i]::DOUBLE * 64) + 128, 0), 255)::INTEGER AS v FROM embeddings, range(1, 65) t(i)),
+_PIXELS = _PIXELS_OF.rstrip() + """,
 medians AS (
   SELECT filename, pixel, CASE WHEN ANY_VALUE(n) > 1 THEN COALESCE(MAX(CASE WHEN k = (n + 1) // 2 + 1 THEN v END), 255) ELSE 255 END::INTEGER AS median FROM (
     SELECT filename, pixel, v, ROW_NUMBER() OVER (PARTITION BY filename, pixel ORDER BY v) AS k, COUNT(*) OVER (PARTITION BY filename, pixel) AS n FROM px) GROUP BY 1, 2)

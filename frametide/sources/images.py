@@ -11,7 +11,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition
+
+from ..storage import store_of
+from .sinks import StagedWriter, Written, file_name
 
 IMAGE = "filename string, height int, width int, channels int, bits int, pixels binary, error string"
 
@@ -149,7 +152,7 @@ class PngReader(DataSourceReader):
         """The files in order of name, cut where a task has its bytes; an image counts at least 64 KB."""
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        store, root = store_of(self.path)
         if store.get_file_info(root).type == fs.FileType.File:
             found = [store.get_file_info(root)]
         else:
@@ -165,9 +168,7 @@ class PngReader(DataSourceReader):
 
     def read(self, partition: Files | None) -> Iterator[tuple]:
         """A file that can't be decoded gives a row without pixels and with the reason."""
-        from pyarrow import fs
-
-        store = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
+        store, _ = store_of(self.path)
         for path in partition.paths if partition else []:
             with store.open_input_stream(path) as f:
                 raw = f.read()
@@ -179,6 +180,27 @@ class PngReader(DataSourceReader):
             yield path, image.shape[0], image.shape[1], image.shape[2], image.dtype.itemsize * 8, image.tobytes(), None
 
 
+class PngWriter(StagedWriter):
+    """Frames (filename, frame_num, height, width, pixels) as grey images, `<recording>_<frame>.png`."""
+
+    suffix = ".png"
+
+    def __init__(self, options: dict, schema, overwrite: bool):
+        super().__init__(options["path"], overwrite)
+        self.at = [schema.names.index(n) for n in ("filename", "frame_num", "height", "width", "pixels")]
+
+    def write(self, rows: Iterator) -> Written:
+        store, root, folder = self.attempt()
+        done = []
+        for row in rows:
+            filename, number, height, width, pixels = (row[k] for k in self.at)
+            name = f"{file_name(filename, '')}_{number}{self.suffix}"
+            with store.open_output_stream(f"{folder}/{name}") as f:
+                f.write(encode(np.frombuffer(pixels, np.uint8).reshape(height, width), 2))
+            done.append((f"{folder}/{name}", f"{root}/{name}"))
+        return Written(done)
+
+
 class PngSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -190,6 +212,9 @@ class PngSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return PngReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return PngWriter(self.options, schema, overwrite)
+
 
 def register(spark) -> None:
     spark.dataSource.register(PngSource)

@@ -15,11 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-
-def _store(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+from ..storage import store_of
 
 
 def file_name(recording: str, suffix: str) -> str:
@@ -34,15 +30,57 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]  # (new file, its place)
 
 
-class TracksWriter(DataSourceWriter):
+class StagedWriter(DataSourceWriter):
+    """Writes whole files into a folder of the job's own; commit moves those of the tasks that count into place, abort removes all."""
+
+    suffix = ""
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
+
+    def attempt(self):
+        """The file system, the folder of results, and a new folder for one attempt of one task."""
+        store, root = store_of(self.path)
+        folder = f"{root}/_job_{self.job}/{uuid.uuid4().hex}"
+        store.create_dir(folder, recursive=True)
+        return store, root, folder
+
+    def _clear(self, store, root: str) -> None:
+        from pyarrow import fs
+
+        if store.get_file_info(f"{root}/_job_{self.job}").type == fs.FileType.Directory:
+            store.delete_dir(f"{root}/_job_{self.job}")
+
+    def commit(self, messages: list[Written | None]) -> None:
+        from pyarrow import fs
+
+        store, root = store_of(self.path)
+        files = [f for m in messages if m for f in m.files]
+        places = [place for _, place in files]
+        if len(set(places)) < len(places):
+            self._clear(store, root)
+            raise ValueError("two recordings, or two tasks, have one file: deal rows by recording and give recordings names of their own")
+        for new, place in files:
+            store.move(new, place)
+        if self.overwrite:
+            kept = set(places)
+            for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+                if info.type == fs.FileType.File and info.path.endswith(self.suffix) and info.path not in kept:
+                    store.delete_file(info.path)
+        self._clear(store, root)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self._clear(*store_of(self.path))
+
+
+class TracksWriter(StagedWriter):
     def __init__(self, options: dict, schema, overwrite: bool):
-        self.path, self.overwrite = options["path"], overwrite
+        super().__init__(options["path"], overwrite)
         self.sep, self.suffix = options.get("sep", "\t"), options.get("suffix", ".tsv")
         self.null = options.get("null", "")
         self.header = options.get("header", "false").lower() == "true"
         self.names = list(schema.names)
         self.by = self.names.index(options.get("by", "filename"))
-        self.job = uuid.uuid4().hex
 
     def _cell(self, x) -> str:
         text = self.null if x is None else repr(x) if isinstance(x, float) else str(x)
@@ -51,9 +89,7 @@ class TracksWriter(DataSourceWriter):
         return text
 
     def write(self, rows: Iterator) -> Written:
-        store, root = _store(self.path)
-        folder = f"{root}/_job_{self.job}/{uuid.uuid4().hex}"  # an attempt's own
-        store.create_dir(folder, recursive=True)
+        store, root, folder = self.attempt()
         done, out, now = [], None, None
         others = [k for k in range(len(self.names)) if k != self.by]
         seen = set()
@@ -83,34 +119,6 @@ class TracksWriter(DataSourceWriter):
                 out.close()
         return Written(done)
 
-    def _clear(self, store, root: str) -> None:
-        from pyarrow import fs
-
-        if store.get_file_info(f"{root}/_job_{self.job}").type == fs.FileType.Directory:
-            store.delete_dir(f"{root}/_job_{self.job}")
-
-    def commit(self, messages: list[Written | None]) -> None:
-        from pyarrow import fs
-
-        store, root = _store(self.path)
-        files = [f for m in messages if m for f in m.files]
-        places = [place for _, place in files]
-        if len(set(places)) < len(places):
-            self._clear(store, root)
-            raise ValueError("two recordings, or two tasks, have one file: deal rows by recording and give recordings names of their own")
-        for new, place in files:
-            store.move(new, place)
-        if self.overwrite:
-            kept = set(places)
-            for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-                if info.type == fs.FileType.File and info.path.endswith(self.suffix) and info.path not in kept:
-                    store.delete_file(info.path)
-        self._clear(store, root)
-
-    def abort(self, messages: list[Written | None]) -> None:
-        store, root = _store(self.path)
-        self._clear(store, root)
-
 
 class TracksSink(DataSource):
     @classmethod

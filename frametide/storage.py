@@ -9,6 +9,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def store_of(place: str):
+    """The file system of a path or URI, and the path in it, for tasks that read or write files themselves."""
+    from pyarrow import fs
+
+    if re.match(r"file:/(?!/)", place):
+        place = place.replace("file:/", "file:///", 1)
+    return fs.FileSystem.from_uri(place) if "://" in place else (fs.LocalFileSystem(), place)
+
+
+def new_place(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/frametide-{uuid.uuid4().hex}/{name}"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. One is made only where none is set and all runs on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -22,7 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> str:
     """Writes df as a Parquet table in the shared folder and gives its place."""
-    path = f"{shared_folder(df.sparkSession)}/frametide-{uuid.uuid4().hex}/{name}"
+    path = new_place(df.sparkSession, name)
     df.write.parquet(path)
     return path
 

@@ -95,10 +95,14 @@ def bootstrap_band(df: DataFrame, key: list[str], value: str, id: str, *, replic
     rows = df.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("_x"), F.col(id).cast("string").alias("_id"))
     digest = lambda block: F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce("_id", F.lit("")), block.cast("string")))
     hashed = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // per)))).withColumn("_h", digest(F.col("_block")))
-    weight = lambda k: F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= F.conv(F.substring("_h", 4 * k + 1, 4), 16, 10).cast("int")))
-    drawn = hashed.select(*key, "_x", "_block", F.posexplode(F.array(*[weight(k) for k in range(per)])).alias("_k", "_w"))
-    drawn = drawn.withColumn("_r", F.col("_block") * per + F.col("_k")).where((F.col("_w") > 0) & (F.col("_r") < replicates))
-    means = drawn.groupBy(*key, "_r").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_m"))
+    halves = [F.conv(F.substring("_h", 8 * k + 1, 8), 16, 10).cast("long").alias(f"_u{k}") for k in range(per // 2)]
+    number = lambda k: F.shiftright(f"_u{k // 2}", 16) if k % 2 == 0 else F.col(f"_u{k // 2}").bitwiseAND(65535)
+    weight = lambda k: sum(((number(k) >= s).cast("int") for s in steps[1:]), (number(k) >= steps[0]).cast("int"))
+    # a block's replicates are summed side by side, so a row meets the aggregation once for all of them
+    drawn = hashed.select(*key, "_x", "_block", *halves).select(*key, "_x", "_block", *[weight(k).alias(f"_w{k}") for k in range(per)])
+    sums = drawn.groupBy(*key, "_block").agg(*[F.sum(f"_w{k}").alias(f"_n{k}") for k in range(per)], *[F.sum(F.col(f"_w{k}") * F.col("_x")).alias(f"_s{k}") for k in range(per)])
+    each = F.array(*[F.struct((F.col("_block") * per + k).alias("_r"), F.try_divide(f"_s{k}", f"_n{k}").alias("_m")) for k in range(per)])
+    means = sums.select(*key, F.inline(each)).where((F.col("_r") < replicates) & F.col("_m").isNotNull())
     tail = (1 - level) / 2
     band = means.groupBy(*key).agg(F.percentile("_m", F.array(F.lit(tail), F.lit(1 - tail))).alias("_q")).select(*[F.col(k).alias(f"_{k}") for k in key], "_q")
     whole = rows.groupBy(*key).agg(F.avg("_x").alias("mean"))

@@ -74,8 +74,7 @@ def index(points: DataFrame, frame: str, *, cell: int = CELL) -> Index:
     """Cells of points (frame, id, v). Each level costs an aggregation and a join; there are log(rows / cell) / log(8) of them, none
     where no frame has more points than a cell."""
     rows = written(_usable(points, frame).withColumn("cell", F.lit(0).cast("long")), "points")
-    most = lambda: rows.groupBy("frame", "dim", "cell").count().agg(F.max("count")).first()[0] or 0
-    cuts, boxes, largest = [], [], most()
+    cuts, boxes, largest = [], [], rows.groupBy("frame", "dim").count().agg(F.max("count")).first()[0] or 0
     while largest > cell and len(cuts) * CUTS < 60:
         made = written(_cuts(rows, cell), "cuts")
         if made.isEmpty():  # cells of points that are alike
@@ -83,7 +82,7 @@ def index(points: DataFrame, frame: str, *, cell: int = CELL) -> Index:
         cuts.append(made)
         rows = written(_below(rows, made), "cells")
         boxes.append(written(_boxes(rows), "boxes"))
-        largest = most()
+        largest = boxes[-1].agg(F.max("n")).first()[0]
     part, parts = F.lit(0).cast("long"), None
     if largest > 4 * cell:
         parts = rows.groupBy("frame", "dim", "cell").agg(F.ceil(F.count("*") / F.lit(4 * cell)).alias("parts"))

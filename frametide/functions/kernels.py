@@ -92,34 +92,68 @@ def isolation_forest(x: np.ndarray, trees: int = 100, subsample: int = 256, seed
     rng = np.random.default_rng(seed)
     size = min(subsample, among)
     limit = math.ceil(math.log2(max(2, size)))
-    # All trees grow at once, a level at a time. A node is a number; `where` says in which node of each tree a point is.
-    drawn = np.argsort(rng.random((trees, among)), axis=1)[:, :size]
-    where, depth, done = np.tile(np.arange(trees)[:, None], (1, n)), np.zeros((trees, n)), np.zeros((trees, n), bool)
+    # All trees grow at once, a level at a time, from the first `among` points alone. A node is a number; `where` says in which node of
+    # each tree a point is. What is known of a node is kept by node, so a level costs a point three lookups.
+    drawn = rng.random((trees, among))
+    drawn = (np.argpartition(drawn, size - 1, axis=1) if size < among else np.tile(np.arange(among), (trees, 1)))[:, :size]
+    own_row = (np.arange(trees)[:, None] * among + drawn).ravel()
+    columns = [np.ascontiguousarray(x[:among, c]) for c in range(width)]
+    values, flat = [c.take(drawn.ravel()) for c in columns], np.concatenate(columns)
+    point, usual_depths = np.tile(np.arange(among), trees), np.array([_usual_depth(c) for c in range(size + 1)])
+    where, ended, levels = np.repeat(np.arange(trees), among), np.full(trees, np.nan), []
+    most = trees
     for level in range(limit + 1):
-        nodes, at = np.unique(where, return_inverse=True)
-        at = at.reshape(where.shape)
-        own = np.take_along_axis(at, drawn, 1).ravel()
+        there = np.zeros(most, bool)
+        there[where] = True
+        nodes = np.flatnonzero(there)
+        rank = np.cumsum(there) - 1
+        at = rank.take(where)
+        own = at.take(own_row)
         count = np.bincount(own, minlength=len(nodes))
-        low, high = np.full((len(nodes), width), np.inf), np.full((len(nodes), width), -np.inf)
-        np.minimum.at(low, own, x[drawn.ravel()])
-        np.maximum.at(high, own, x[drawn.ravel()])
+        low, high = np.full((width, len(nodes)), np.inf), np.full((width, len(nodes)), -np.inf)
+        for c in range(width):
+            np.minimum.at(low[c], own, values[c])
+            np.maximum.at(high[c], own, values[c])
+        low, high = low.T, high.T
         split = (count > 1) & (high > low).any(1) & (level < limit)
-        leaf = ~split[at] & ~done
-        usual = np.array([_usual_depth(c) for c in count])
-        depth[leaf] = level + usual[at[leaf]]
-        done |= leaf
-        if done.all():
+        # a node below a leaf keeps the leaf's depth
+        ended = ended[nodes // 2 if level else nodes]
+        ended = np.where(np.isnan(ended) & ~split, level + usual_depths[count], ended)
+        if not np.isnan(ended).any():
+            levels.append((there, rank, None, None, ended))
             break
         feature = np.where(high > low, rng.random(low.shape), -1.0).argmax(1)
         k = np.arange(len(nodes))
         with np.errstate(invalid="ignore"):
             cut = low[k, feature] + rng.random(len(nodes)) * (high[k, feature] - low[k, feature])
-        right = x[np.arange(n)[None, :], feature[at]] >= cut[at]
-        where = at * 2 + right
-    score = 2.0 ** (-depth.mean(0) / _usual_depth(size))
+        levels.append((there, rank, feature, cut, ended))
+        right = flat.take((feature * among).take(at) + point) >= cut.take(at)
+        where, most = at * 2 + right, 2 * len(nodes)
+    depth = ended[at].reshape(trees, among).mean(0)
+    if n > among:
+        depth = np.concatenate([depth, _depths(x[among:], trees, levels)])
+    score = 2.0 ** (-depth / _usual_depth(size))
     return score, score <= 0.5
 
 
+def _depths(x: np.ndarray, trees: int, levels: list[tuple]) -> np.ndarray:
+    """The mean depth of points that no tree grew on: each goes down to a leaf and stays there."""
+    depth = np.full((trees, len(x)), np.nan)
+    tree, point = (v.ravel() for v in np.indices(depth.shape))
+    where = tree
+    for level, (there, rank, feature, cut, ended) in enumerate(levels):
+        known = there[where]  # a side that no point of the sample took is an empty leaf
+        depth[tree[~known], point[~known]] = level
+        tree, point, at = tree[known], point[known], rank[where[known]]
+        stays = ~np.isnan(ended[at])
+        depth[tree[stays], point[stays]] = ended[at[stays]]
+        tree, point, at = tree[~stays], point[~stays], at[~stays]
+        if not len(at):
+            break
+        where = at * 2 + (x[point, feature[at]] >= cut[at])
+    return depth.mean(0)
+
+
 def support_vector(x: np.ndarray, y: np.ndarray, c: float = 0.9, epsilon: float = 0.1, steps: int = 300) -> np.ndarray:
     """Fitted values of an epsilon-insensitive regression with a radial kernel of width 1 / variance, by coordinate descent."""
     n = len(x)

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import isolation_forest
 from ..storage import written
 from .neighbours import search
-from .tracks import _same
+from .tracks import _same, row_by_row
 
 #: Rows of a recording from which its trees draw their samples, those with the least hashes; and rows scored at once.
 POOL, BLOCK = 4096, 8192
@@ -91,17 +92,29 @@ def isolated(df: DataFrame, key: list[str], features: list[str], id: str, *, com
     principal components.
 
     Trees draw their samples of 256 from the recording's `pool` rows with the least hashes of seed and id, all rows of a shorter one;
-    every row is scored, in blocks that are dealt by hash, and each block's task grows the same seeded trees. A single row has the score 0.
+    every row is scored. Short recordings, of as many rows at most as are drawn, are scored many at a time. A longer one's rows are scored
+    in blocks that are dealt by hash, and each block's task grows the same seeded trees. A single row has the score 0.
     Rows with a feature that is no finite number go.
     """
     rows, names = (principal(df, key, features, components) if components else (_whole(df, features), features))
     rows = rows.select(*key, F.col(id).alias("_id"), F.array(*[F.col(n).cast("double") for n in names]).alias("_v"))
     rows = written(rows.withColumn("_hash", F.xxhash64(F.lit(seed), F.col("_id").cast("string"))), "points")
+    sizes = written(rows.groupBy(*key).agg(F.count("*").alias("_n")), "sizes")
+    long, same = _same(key, sizes.where(F.col("_n") > min(pool, block)).select(*key, F.ceil(F.col("_n") / F.lit(block)).alias("_blocks")))
+
+    def short(part: pa.Table, bounds: np.ndarray) -> list:
+        v = part.column("_v").combine_chunks().flatten().to_numpy().reshape(len(part), len(names))
+        found = [isolation_forest(v[lo:hi], seed=seed) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+        return [np.concatenate([f[k] for f in found]) if found else np.empty(0, kind) for k, kind in enumerate((float, bool))]
+
+    score = lambda rows: row_by_row(rows, key, ["_hash", "_id"], short, "anomaly double, inlier boolean").select(*key, F.col("_id").alias(id), "anomaly", "inlier")
+    if long.isEmpty():
+        return score(rows)
+    apart, rows = score(rows.join(long, same, "left_anti")), rows.join(long, same).select(*rows.columns, "_blocks")
     nth = F.row_number().over(Window.partitionBy(*key).orderBy("_hash", "_id"))
-    drawn = rows.withColumn("_nth", nth).where(F.col("_nth") <= pool).drop("_nth")
-    sizes, same = _same(key, rows.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(block)).alias("_blocks")))
-    dealt = rows.join(sizes, same).select(*key, F.pmod("_hash", "_blocks").alias("_block"), "_id", "_v")
-    drawn = drawn.join(sizes, same).select(*[F.col(k).alias(f"_p_{k}") for k in key], F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_p_block"), F.col("_hash").alias("_p_hash"), F.col("_id").alias("_p_id"), F.col("_v").alias("_p_v"))
+    drawn = rows.withColumn("_nth", nth).where(F.col("_nth") <= pool)
+    dealt = rows.select(*key, F.pmod("_hash", "_blocks").alias("_block"), "_id", "_v")
+    drawn = drawn.select(*[F.col(k).alias(f"_p_{k}") for k in key], F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_p_block"), F.col("_hash").alias("_p_hash"), F.col("_id").alias("_p_id"), F.col("_v").alias("_p_v"))
     kinds = dict(df.dtypes)
 
     def run(name: tuple, part: pd.DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
@@ -113,4 +126,4 @@ def isolated(df: DataFrame, key: list[str], features: list[str], id: str, *, com
         return out.assign(anomaly=score[len(sample) :], inlier=keep[len(sample) :])
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in key), f"`{id}` {kinds[id]}, anomaly double, inlier boolean"])
-    return dealt.groupBy(*key, "_block").cogroup(drawn.groupBy(*[f"_p_{k}" for k in key], "_p_block")).applyInPandas(run, schema)
+    return apart.unionByName(dealt.groupBy(*key, "_block").cogroup(drawn.groupBy(*[f"_p_{k}" for k in key], "_p_block")).applyInPandas(run, schema))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +97,33 @@ def per_recording(df: DataFrame, key: list[str], kernel: Callable[[pd.DataFrame]
     return df.groupBy(*key).applyInPandas(run, schema)
 
 
+def row_by_row(df: DataFrame, key: list[str], order: list[str], kernel: Callable[[pa.Table, np.ndarray], list], columns: str) -> DataFrame:
+    """df with the columns that kernel makes, a value for each row. It gets rows of whole recordings, each in ascending order, and the
+    bounds of the recordings among them. Many short recordings are one call; a recording is in memory whole, so theirs must be bounded."""
+    rows = df.select((F.row_number().over(Window.partitionBy(*key).orderBy(*order)) == 1).alias("_first"), "*")
+    names = [*df.columns, *(c.split()[0].strip("`") for c in columns.split(", "))]
+
+    def made(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.Table.from_batches(held).combine_chunks()
+        bounds = np.append(np.flatnonzero(part.column(0).to_numpy()), len(part))
+        own = part.drop_columns(["_first"])
+        yield from pa.Table.from_arrays([*own.columns, *(pa.array(c) for c in kernel(own, bounds))], names).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(0).to_numpy(zero_copy_only=False))
+            last = starts[-1] if len(starts) else 0
+            if len(starts) and (held or last):
+                yield from made([*held, batch.slice(0, last)])
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from made(held)
+
+    return rows.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), columns]))
+
+
 #: A recording of more points is smoothed in blocks of so many.
 WHOLE = 8192
 

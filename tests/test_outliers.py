@@ -55,6 +55,20 @@ def test_forest_in_blocks(spark):
     assert len(few) == len(whole) and not any(few["a", i].inlier for i in (3000, 3001, 3002))
 
 
+def test_forest_beyond_its_pool(spark):
+    """Rows that no tree may draw change neither the trees nor each other's scores; short recordings take no part in pools."""
+    rng = np.random.default_rng(4)
+    df, names = frame(spark, {"a": rng.normal(size=(2500, 2)), "b": rng.normal(size=(90, 2)), None: rng.normal(size=(7, 2))})
+    one, cut = ({(r.k, r.id): r.anomaly for r in outliers.isolated(df, ["k"], names, "id", seed=3, pool=300, block=block).collect()} for block in (5000, 310))
+    assert set(one) == set(cut) and len(one) == 2597 and all(cut[at] == pytest.approx(v, abs=1e-12) for at, v in one.items())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        few = {(r.k, r.id): r.anomaly for r in outliers.isolated(df, ["k"], names, "id", seed=3, pool=300, block=5000).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert few == one
+
+
 @pytest.mark.parametrize(("fraction", "degree"), [(0.5, 1), (0.2, 2)])
 def test_smoothing_in_blocks(spark, fraction, degree):
     rng = np.random.default_rng(5)

@@ -174,3 +174,58 @@ def support_vector(x: np.ndarray, y: np.ndarray, c: float = 0.9, epsilon: float
         if moved < 1e-6 * c:
             break
     return fit
+
+
+def support_vectors(x: np.ndarray, y: np.ndarray, bounds: np.ndarray, c: float = 0.9, epsilon: float = 0.1, steps: int = 300) -> np.ndarray:
+    """support_vector() of each of the series between the bounds, with the same sums. Series of like length go down their coordinates side
+    by side, with all their kernels at hand; a series whose kernel is larger than a block is fitted by itself."""
+    out, sizes = np.empty(len(y)), np.diff(bounds)
+    order = np.argsort(sizes, kind="stable")[::-1]
+    order, at = order[sizes[order] > 0], 0
+    while at < len(order):
+        n = int(sizes[order[at]])
+        if n * n > _BLOCK:
+            lo, hi = bounds[order[at]], bounds[order[at] + 1]
+            out[lo:hi], at = support_vector(x[lo:hi], y[lo:hi], c, epsilon, steps), at + 1
+            continue
+        alike = int(np.searchsorted(-sizes[order], -0.8 * n, side="right"))  # shorter ones would be mostly padding
+        some = order[at : min(alike, at + max(1, _BLOCK // (n * n)))]
+        at += len(some)
+        m = len(some)
+        xs, ys, gamma, own = np.zeros((m, n)), np.zeros((m, n)), np.ones(m), np.zeros((m, n), bool)
+        for k, s in enumerate(some.tolist()):
+            lo, hi = bounds[s], bounds[s + 1]
+            xs[k, : hi - lo], ys[k, : hi - lo], own[k, : hi - lo] = x[lo:hi], y[lo:hi], True
+            spread = x[lo:hi].var()
+            gamma[k] = 1 / spread if spread > 0 else 1.0
+        # a coordinate's columns for all series lie side by side
+        kernel = np.exp(-((xs.T[:, :, None] - xs[None, :, :]) ** 2) * gamma[None, :, None])
+        kernel += 1.0
+        which, beta, fit, fitted = np.arange(m), np.zeros((n, m)), np.zeros((m, n)), np.zeros((m, n))
+        left, target, ended = np.ascontiguousarray(own.T), np.ascontiguousarray(ys.T), np.zeros(m, bool)
+        for _ in range(steps):
+            moved = np.zeros(len(which))
+            for i in range(n):
+                gap = target[i] - fit[:, i] + 2.0 * beta[i]
+                new = np.minimum(np.maximum(np.sign(gap) * np.maximum(0.0, np.abs(gap) - epsilon) / 2.0, -c), c)
+                step = (new - beta[i]) * left[i]
+                going = np.flatnonzero(step)
+                if len(going) * 2 > len(step):
+                    fit += step[:, None] * kernel[i]
+                elif len(going):
+                    fit[going] += step[going, None] * kernel[i, going]
+                np.maximum(moved, np.abs(step), out=moved)
+                beta[i] = np.where(left[i], new, 0.0)
+            done = (moved < 1e-6 * c) & ~ended
+            if done.any():  # these stay as they are
+                fitted[which[done]] = fit[done]
+                left[:, done], ended = False, ended | done
+                if ended.all():
+                    break
+                if ended.mean() > 0.25:
+                    on = np.flatnonzero(~ended)
+                    which, fit, beta, target, left, kernel, ended = which[on], fit[on], beta[:, on], target[:, on], left[:, on], kernel[:, on], ended[on]
+        fitted[which[~ended]] = fit[~ended]
+        for k, s in enumerate(some.tolist()):
+            out[bounds[s] : bounds[s + 1]] = fitted[k, : sizes[s]]
+    return out

@@ -97,9 +97,10 @@ def per_recording(df: DataFrame, key: list[str], kernel: Callable[[pd.DataFrame]
     return df.groupBy(*key).applyInPandas(run, schema)
 
 
-def row_by_row(df: DataFrame, key: list[str], order: list[str], kernel: Callable[[pa.Table, np.ndarray], list], columns: str) -> DataFrame:
+def row_by_row(df: DataFrame, key: list[str], order: list[str], kernel: Callable[[pa.Table, np.ndarray], list], columns: str, many: int = 1 << 15) -> DataFrame:
     """df with the columns that kernel makes, a value for each row. It gets rows of whole recordings, each in ascending order, and the
-    bounds of the recordings among them. Many short recordings are one call; a recording is in memory whole, so theirs must be bounded."""
+    bounds of the recordings among them. Short recordings are one call, of about `many` rows; a recording is in memory whole, so theirs must
+    be bounded."""
     rows = df.select((F.row_number().over(Window.partitionBy(*key).orderBy(*order)) == 1).alias("_first"), "*")
     names = [*df.columns, *(c.split()[0].strip("`") for c in columns.split(", "))]
 
@@ -114,10 +115,10 @@ def row_by_row(df: DataFrame, key: list[str], order: list[str], kernel: Callable
         for batch in batches:
             starts = np.flatnonzero(batch.column(0).to_numpy(zero_copy_only=False))
             last = starts[-1] if len(starts) else 0
-            if len(starts) and (held or last):
+            if last + sum(b.num_rows for b in held) >= many and len(starts):
                 yield from made([*held, batch.slice(0, last)])
-                held = []
-            held.append(batch.slice(last))
+                held, batch = [], batch.slice(last)
+            held.append(batch)
         if held:
             yield from made(held)
 
@@ -196,12 +197,14 @@ def _smoothed_in_blocks(rows: DataFrame, key: list[str], x: str, y: str, fractio
 
 
 def support_fit(df: DataFrame, key: list[str], x: str, y: str, c: float = 0.9) -> DataFrame:
-    """Key, x, y and `smooth` from a support vector regression with a radial kernel for each recording. The fit goes through a
-    recording's points again and again and can't be split; a recording is bounded by the length of one video."""
-    from ..functions.kernels import support_vector
+    """Key, x, y and `smooth` from a support vector regression with a radial kernel for each recording, rows without x or y left out. The
+    fit goes through a recording's points again and again and can't be split; a recording is bounded by the length of one video. Many
+    recordings are fitted side by side."""
+    from ..functions.kernels import support_vectors
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=[x, y]).sort_values(x, kind="stable")
-        return pd.DataFrame({x: rows[x].astype(float), y: rows[y].astype(float), "smooth": support_vector(rows[x].to_numpy(float), rows[y].to_numpy(float), c)})
+    rows = df.select(*key, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).where(~(F.col(x).isNull() | F.isnan(x) | F.col(y).isNull() | F.isnan(y)))
+
+    def run(part: pa.Table, bounds: np.ndarray) -> list:
+        return [support_vectors(part.column(x).to_numpy(), part.column(y).to_numpy(), bounds, c)]
 
-    return per_recording(df.select(*key, x, y), key, run, f"`{x}` double, `{y}` double, smooth double")
+    return row_by_row(rows, key, [x], run, "smooth double")

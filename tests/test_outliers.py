@@ -3,6 +3,7 @@ import plain
 import pytest
 from pyspark.sql import functions as F
 
+from frametide.functions import kernels
 from frametide.operators import outliers, tracks
 
 
@@ -87,6 +88,28 @@ def test_smoothing_in_blocks(spark, fraction, degree):
     assert all(cut["exact", float(i), 2.0 * i + 1] == pytest.approx(2.0 * i + 1) for i in range(400))
 
 
+def test_support_vectors_side_by_side(spark, monkeypatch):
+    """Many recordings in one call have the fits of each by itself; before, each was a call and every step made its kernel anew."""
+    rng = np.random.default_rng(7)
+    x = {k: np.sort(rng.uniform(0, 30, n)) for k, n in [("a", 60), ("b", 55), ("c", 9), ("one", 1), ("long", 150), (None, 31), ("flat", 40)]}
+    x["flat"][:] = 3.0
+    y = {k: np.sin(v / 4) * 30 + rng.normal(size=len(v)) for k, v in x.items()}
+    y["b"] = np.zeros(55)
+    rows = [(k, float(a), float(b)) for k in x for a, b in zip(x[k], y[k], strict=True)] + [("a", None, 1.0), ("a", 1.0, float("nan"))]
+    df = spark.createDataFrame(rows, "k string, x double, y double").repartition(3)
+    got = {k: [] for k in x}
+    for r in tracks.support_fit(df, ["k"], "x", "y").collect():
+        got[r.k].append((r.x, r.y, r.smooth))
+    for k in x:
+        if k != "flat":
+            assert [r[2] for r in sorted(got[k])] == pytest.approx(kernels.support_vector(x[k], y[k]).tolist(), abs=1e-12)
+    assert len(got["flat"]) == 40
+    bounds = np.cumsum([0, *map(len, x.values()), 0])
+    whole = [np.concatenate(list(d.values())) for d in (x, y)]
+    monkeypatch.setattr(kernels, "_BLOCK", 8000)  # the longest by itself, the others in several turns
+    assert np.allclose(kernels.support_vectors(*whole, bounds), np.concatenate([kernels.support_vector(x[k], y[k]) for k in x]), atol=1e-12)
+
+
 def test_numbered(spark):
     rng = np.random.default_rng(6)
     rows = [(["a", "b", None][i % 3], int(v)) for i, v in enumerate(rng.integers(0, 50, 3000))]

@@ -154,6 +154,29 @@ def _depths(x: np.ndarray, trees: int, levels: list[tuple]) -> np.ndarray:
     return depth.mean(0)
 
 
+def local_outlier_factor(x: np.ndarray, ids: np.ndarray, neighbours: int) -> np.ndarray:
+    """How much sparser each point lies than its neighbours do; of points at one distance those with smaller ids come first. For rows in
+    ascending order of ids; rows of one id are no neighbours of each other and get the factor of the first of them."""
+    first = np.flatnonzero(np.diff(ids, prepend=-1)) if len(ids) else np.empty(0, np.int64)
+    back = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
+    if len(first) < 2:
+        return np.ones(len(ids))
+    k = min(neighbours, len(ids) - 1)
+    near, away = np.empty((len(first), k), np.int64), np.empty((len(first), k))
+    step = max(1, _BLOCK // (len(x) * x.shape[1]))
+    for lo in range(0, len(first), step):
+        own = first[lo : lo + step]
+        far = ((x[own, None] - x[None]) ** 2).sum(2)
+        far[back[own, None] == back[None]] = np.inf
+        near[lo : lo + step] = np.argsort(far, axis=1, kind="stable")[:, :k]
+        away[lo : lo + step] = np.sqrt(np.take_along_axis(far, near[lo : lo + step], 1))
+    found = np.isfinite(away)  # fewer where ids are shared
+    near, count = back[near], found.sum(1)
+    radius = np.where(found, away, 0.0).max(1)
+    density = 1 / (np.where(found, np.maximum(away, radius[near]), 0.0).sum(1) / count + 1e-10)
+    return (np.where(found, density[near], 0.0).sum(1) / count / density)[back]
+
+
 def support_vector(x: np.ndarray, y: np.ndarray, c: float = 0.9, epsilon: float = 0.1, steps: int = 300) -> np.ndarray:
     """Fitted values of an epsilon-insensitive regression with a radial kernel of width 1 / variance, by coordinate descent."""
     n = len(x)

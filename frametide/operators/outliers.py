@@ -1,7 +1,8 @@
 """Outliers in each recording: local outlier factors, isolation forests, and the principal components that they may look at.
 
-A recording's rows are never gathered. Neighbours come from the table of cells, densities and factors from joins and means; forests
-grow on a bounded sample of a recording and score its rows in blocks; components come from covariances that Spark aggregates.
+Recordings of a bounded number of rows are taken whole, many at a time. A longer one's rows are never gathered: neighbours come from the
+table of cells, densities and factors from joins and means; forests grow on a bounded sample of a recording and score its rows in blocks;
+components come from covariances that Spark aggregates.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import isolation_forest
+from ..functions.kernels import isolation_forest, local_outlier_factor
 from ..storage import written
 from .neighbours import search
 from .tracks import _same, row_by_row
 
 #: Rows of a recording from which its trees draw their samples, those with the least hashes; and rows scored at once.
 POOL, BLOCK = 4096, 8192
+#: A recording of more points has its neighbours from cells and its factors from joins.
+WHOLE = 4096
 
 
 def _whole(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -29,15 +32,39 @@ def _whole(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.where(kept)
 
 
-def local_outliers(df: DataFrame, key: list[str], features: list[str], id: str, *, neighbours: int = 30, share: float = 0.1) -> DataFrame:
+def local_outliers(df: DataFrame, key: list[str], features: list[str], id: str, *, neighbours: int = 30, share: float = 0.1, whole: int = WHOLE) -> DataFrame:
     """Key, id, `anomaly` and `inlier`: the local outlier factor of each row among its recording's, and whether it is not beyond the
     quantile that puts `share` of them out.
 
     Neighbours are exact, ties go to the smaller id; a recording of fewer rows uses all others. A single row has the factor 1. Ids
-    are unique in a recording; rows that share one get one factor. Rows with a feature that is no finite number go.
+    are unique in a recording; rows that share one get one factor. Rows with a feature that is no finite number go. A recording of up to
+    `whole` rows is compared in one array, and no list of neighbours leaves its task.
     """
-    rows = _whole(df, features).select(*key, F.col(id).alias("id"), F.to_json(F.struct(*key)).alias("frame"), F.array(*[F.col(f).cast("double") for f in features]).alias("v"))
+    rows = _whole(df, features).select(*key, F.col(id).alias("_id"), F.array(*[F.col(f).cast("double") for f in features]).alias("_v"))
     rows = written(rows, "points")
+    sizes = written(rows.groupBy(*key).agg(F.count("*").alias("_n")), "sizes")
+    long, same = _same(key, sizes.where(F.col("_n") > whole).drop("_n"))
+
+    def run(part: pa.Table, bounds: np.ndarray) -> list:
+        v = part.column("_v").combine_chunks().flatten().to_numpy().reshape(len(part), len(features))
+        known, ids = part.column("_id").is_valid().to_numpy(), part.column("_id").combine_chunks().dictionary_encode().indices
+        ids, factor, inlier = ids.fill_null(-1).to_numpy(zero_copy_only=False), np.ones(len(part)), np.ones(len(part), bool)
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own = np.flatnonzero(known[lo:hi]) + lo  # a row without an id has no neighbours
+            factor[own] = local_outlier_factor(v[own], ids[own], neighbours)
+            # Factors that are equal but for rounding are on one side of the bound.
+            inlier[lo:hi] = factor[lo:hi] <= np.quantile(factor[lo:hi], 1 - share) * (1 + 1e-9)
+        return [factor, inlier]
+
+    made = lambda rows: row_by_row(rows, key, ["_id"], run, "anomaly double, inlier boolean").select(*key, F.col("_id").alias(id), "anomaly", "inlier")
+    if long.isEmpty():
+        return made(rows)
+    return made(rows.join(long, same, "left_anti")).unionByName(_joined_outliers(rows.join(long, same, "left_semi"), key, id, neighbours, share))
+
+
+def _joined_outliers(rows: DataFrame, key: list[str], id: str, neighbours: int, share: float) -> DataFrame:
+    """local_outliers() of rows (key, _id, _v) of recordings of any size."""
+    rows = rows.select(*key, F.col("_id").alias("id"), F.to_json(F.struct(*key)).alias("frame"), F.col("_v").alias("v"))
     near = written(search(rows, rows, "frame", neighbours, apart=True).withColumn("d", F.sqrt("d")), "near")
     radius = near.groupBy("frame", F.col("a").alias("b")).agg(F.max("d").alias("radius"))
     density = near.join(radius, ["frame", "b"]).groupBy("frame", "a").agg((1 / (F.avg(F.greatest("d", "radius")) + 1e-10)).alias("density"))
@@ -46,7 +73,6 @@ def local_outliers(df: DataFrame, key: list[str], features: list[str], id: str,
     factor = around.join(density, ["frame", "a"]).select("frame", F.col("a").alias("id"), (F.col("mean") / F.col("density")).alias("anomaly"))
     scored = rows.drop("v").join(factor, ["frame", "id"], "left").withColumn("anomaly", F.coalesce("anomaly", F.lit(1.0)))
     bound = scored.groupBy("frame").agg(F.percentile("anomaly", 1 - share).alias("_bound"))
-    # Factors that are equal but for rounding are on one side of the bound.
     return scored.join(bound, "frame").select(*key, F.col("id").alias(id), "anomaly", (F.col("anomaly") <= F.col("_bound") * (1 + 1e-9)).alias("inlier"))
 
 

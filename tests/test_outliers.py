@@ -28,6 +28,22 @@ def test_local_outliers_as_in_one_piece(spark):
     assert set(got["a"]) == set(range(151)) and not got["a"][150].inlier
 
 
+def test_local_outliers_short_and_long_alike(spark):
+    """Recordings in one array have the factors that joins give, with shared and missing ids too; their neighbours are never rows."""
+    rng = np.random.default_rng(9)
+    rows = [(k, i, float(a), float(b)) for k, n in [("a", 130), ("b", 20), (None, 33), ("two", 2)] for i, (a, b) in enumerate(rng.normal(size=(n, 2)).round(1))]
+    rows += [("a", None, 0.0, 0.0), ("b", 3, *next(r[2:] for r in rows if r[:2] == ("b", 3))), ("pair", 5, 1.0, 1.0), ("pair", 5, 1.0, 1.0), ("none", None, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, id long, x double, y double").repartition(3)
+    order = lambda r: (str(r.k), -1 if r.id is None else r.id, r.anomaly)
+    one, cut, joined = (sorted(outliers.local_outliers(df, ["k"], ["x", "y"], "id", neighbours=7, whole=whole).collect(), key=order) for whole in (4096, 50, 0))
+    assert len(one) == len(rows)
+    for other in (cut, joined):
+        assert [(r.k, r.id, r.inlier) for r in one] == [(r.k, r.id, r.inlier) for r in other]
+        assert [r.anomaly for r in one] == pytest.approx([r.anomaly for r in other])
+    plan = outliers.local_outliers(df, ["k"], ["x", "y"], "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_components_of_each_recording(spark):
     rng = np.random.default_rng(0)
     groups = {"a": rng.normal(size=(60, 4)) @ rng.normal(size=(4, 4)) + 50, "b": rng.normal(size=(9, 4)), None: rng.normal(size=(5, 4))}

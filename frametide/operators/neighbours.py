@@ -1,6 +1,6 @@
 """Nearest neighbours by a table of cells, exact by bounds.
 
-Points are cut into cells at medians, a few dimensions at a time, until a cell holds a bounded number of points; the cuts are made by
+Points are cut into cells at quantiles, a few dimensions at a time, until a cell holds a bounded number of points; the cuts are made by
 aggregation and each cell has a box around its points. A query first looks into its own cell, which gives it a bound; then it walks
 down the boxes and visits only cells whose box comes within that bound. A cell's points are compared as arrays, and of each visit no
 more than the k nearest leave the task, so no list of pairs exists anywhere. Where boxes don't help, as in many dimensions, all cells are
@@ -21,10 +21,14 @@ from ..storage import written
 
 #: A cell of more points is cut; a cell that cannot be, as its points are alike, is dealt into parts.
 CELL = 512
-#: Dimensions cut at once: a cell has up to 2**CUTS cells below it.
-CUTS = 3
+#: Dimensions cut at once; and a cell has up to 2**BITS cells below it, of two dimensions each in eight, of one in 64.
+CUTS, BITS = 3, 6
+#: Quantiles of a dimension that cuts are chosen from.
+_SHARES = [k / (1 << BITS) for k in range(1, 1 << BITS)]
 #: Queries that are compared with a part of a cell in one task's step.
 QUERIES = 2048
+#: Cells of the usual size that one step compares, one after another.
+TOGETHER = 32
 
 
 @dataclass
@@ -53,29 +57,37 @@ def _boxes(cells: DataFrame) -> DataFrame:
 
 
 def _cuts(cells: DataFrame, cell: int) -> DataFrame:
-    """(frame, dim, cell, cuts): of each cell with more than `cell` points the medians of the dimensions that spread most."""
+    """(frame, dim, cell, cuts): of each cell with more than `cell` points the dimensions that spread most, each with as many of its
+    quantiles as part it into cells of about that size."""
     each = cells.select("frame", "dim", "cell", F.posexplode("v").alias("at", "x")).groupBy("frame", "dim", "cell", "at")
-    spread = each.agg(F.var_pop("x").alias("s"), F.percentile_approx("x", 0.5, 1000).alias("m"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
-    # A median at the low end would leave one side empty; the cut is then just above it.
-    spread = spread.where((F.col("n") > cell) & (F.col("lo") < F.col("hi"))).withColumn("m", F.when(F.col("m") > F.col("lo"), F.col("m")).otherwise((F.col("lo") + F.col("hi")) / 2))
-    nth = F.row_number().over(Window.partitionBy("frame", "dim", "cell").orderBy(F.desc("s"), "at"))
-    chosen = spread.withColumn("nth", nth).where(F.col("nth") <= CUTS)
-    return chosen.groupBy("frame", "dim", "cell").agg(F.sort_array(F.collect_list(F.struct("nth", "at", "m"))).alias("cuts"))  # CUTS at most
+    spread = each.agg(F.var_pop("x").alias("s"), F.percentile_approx("x", _SHARES, 1000).alias("q"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+    own = Window.partitionBy("frame", "dim", "cell")
+    chosen = spread.where((F.col("n") > cell) & (F.col("lo") < F.col("hi"))).withColumn("nth", F.row_number().over(own.orderBy(F.desc("s"), "at"))).where(F.col("nth") <= CUTS)
+    chosen = chosen.withColumn("m", F.count("*").over(own))
+    most = F.shiftleft(F.lit(1), BITS).cast("double")
+    pieces = F.ceil(F.pow(F.least(most, F.col("n") * 1.25 / cell), 1 / F.col("m")) - 1e-9)  # some cells get more than their share
+    pieces = F.greatest(F.lit(2), F.least(pieces, F.floor(F.pow(most, 1 / F.col("m")) + 1e-9))).cast("int")
+    places = F.transform(F.sequence(F.lit(1), F.col("p") - 1), lambda k: F.get("q", F.floor(k * (1 << BITS) / F.col("p")).cast("int") - 1))
+    # A quantile at the low end would leave one side empty; if all are, the cut is just above it.
+    chosen = chosen.withColumn("p", pieces).withColumn("q", F.filter(F.array_distinct(places), lambda x: x > F.col("lo")))
+    q = F.when(F.size("q") > 0, F.col("q")).otherwise(F.array((F.col("lo") + F.col("hi")) / 2))
+    return chosen.groupBy("frame", "dim", "cell").agg(F.sort_array(F.collect_list(F.struct("nth", "at", q.alias("q")))).alias("cuts"))  # CUTS at most
 
 
 def _below(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """The rows, each in the cell below its own. A cell without cuts has one below it, numbered as if all went to the low side."""
-    bits = F.aggregate("cuts", F.lit(0).cast("long"), lambda acc, c: acc * 2 + (F.get("v", c["at"]) >= c["m"]).cast("long"))
+    side = lambda c: F.size(F.filter(c["q"], lambda m: F.get("v", c["at"]) >= m))
+    bits = F.aggregate("cuts", F.lit(0).cast("long"), lambda acc, c: acc * F.floor(F.pow(F.lit(float(1 << BITS)), 1 / F.size("cuts")) + 1e-9) + side(c))
     out = rows.join(cuts, ["frame", "dim", "cell"], "left")
-    return out.withColumn("cell", F.col("cell") * (1 << CUTS) + F.coalesce(bits, F.lit(0).cast("long"))).drop("cuts")
+    return out.withColumn("cell", F.col("cell") * (1 << BITS) + F.coalesce(bits, F.lit(0).cast("long"))).drop("cuts")
 
 
 def index(points: DataFrame, frame: str, *, cell: int = CELL) -> Index:
-    """Cells of points (frame, id, v). Each level costs an aggregation and a join; there are log(rows / cell) / log(8) of them, none
+    """Cells of points (frame, id, v). Each level costs an aggregation and a join; there are log(rows / cell) / log(64) of them, none
     where no frame has more points than a cell."""
     rows = written(_usable(points, frame).withColumn("cell", F.lit(0).cast("long")), "points")
     cuts, boxes, largest = [], [], rows.groupBy("frame", "dim").count().agg(F.max("count")).first()[0] or 0
-    while largest > cell and len(cuts) * CUTS < 60:
+    while largest > cell and len(cuts) * BITS < 60:
         made = written(_cuts(rows, cell), "cuts")
         if made.isEmpty():  # cells of points that are alike
             break
@@ -107,13 +119,11 @@ def _compare(visits: DataFrame, found: Index, k: int, apart: bool) -> DataFrame:
     asked = asked.join(load, ["frame", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("a"), "blocks")).drop("blocks")
     held = cells.join(load, ["frame", "dim", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
     kinds = dict(cells.dtypes) | {"a": dict(visits.dtypes)["a"]}
-    key = ["frame", "dim", "cell", "part", "block"]
+    key = ["frame", "dim", "cell", "part"]
+    buckets = -(-cells.count() // (TOGETHER * CELL)) or 1
+    names = ["frame", "dim", "a", "b", "d", "compared"]
 
-    def run(name: tuple, queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(points):
-            return pd.DataFrame({c: np.empty(0, object) for c in ("frame", "dim", "a", "b", "d", "compared")})
-        p, q = np.stack(points.v.to_list()), np.stack(queries.v.to_list())
-        ids, asking = points.id.to_numpy(), queries.a.to_numpy()
+    def near(name: tuple, asking: np.ndarray, q: np.ndarray, ids: np.ndarray, p: np.ndarray) -> dict[str, np.ndarray]:
         order = np.argsort(ids, kind="stable")  # of equal distances the smallest id comes first
         p, ids = p[order], ids[order]
         most, out = min(k, len(ids)), []
@@ -127,11 +137,23 @@ def _compare(visits: DataFrame, found: Index, k: int, apart: bool) -> DataFrame:
             out.append((a, near.ravel(), np.take_along_axis(d, near, 1).ravel()))
         a, b, d = (np.concatenate(x) for x in zip(*out, strict=True))
         found = np.isfinite(d)
-        return pd.DataFrame({"frame": np.array([name[0]] * found.sum(), object), "dim": name[1], "a": asking[a[found]], "b": ids[b[found]], "d": d[found], "compared": np.where(np.arange(len(a)) % most == 0, len(ids), 0)[found]})
+        columns = (np.array([name[0]] * found.sum(), object), np.full(found.sum(), name[1]), asking[a[found]], ids[b[found]], d[found], np.where(np.arange(len(a)) % most == 0, len(ids), 0)[found])
+        return dict(zip(names, columns, strict=True))
+
+    def run(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(queries) and len(points):
+            held, ids, p = points.groupby(key, sort=False).indices, points.id.to_numpy(), points.v.to_numpy()
+            asking, q = queries.a.to_numpy(), queries.v.to_numpy()
+            for name, at in queries.groupby([f"asked_{c}" for c in key], sort=False).indices.items():
+                if name in held:
+                    out.append(near(name, asking[at], np.stack(q[at]), ids[held[name]], np.stack(p[held[name]])))
+        return pd.DataFrame({c: np.concatenate([x[c] for x in out]) if out else np.empty(0, object) for c in names})
 
     schema = f"frame {kinds['frame']}, dim int, a {kinds['a']}, b {kinds['id']}, d double, compared long"
-    asked = asked.select(*[F.col(c).alias(f"asked_{c}") for c in key], "a", "v")  # both sides come from the cells
-    return asked.groupBy(*[f"asked_{c}" for c in key]).cogroup(held.groupBy(*key)).applyInPandas(run, schema)
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("bucket")
+    asked = asked.select(*[F.col(c).alias(f"asked_{c}") for c in key], bucket.alias("asked_bucket"), F.col("block").alias("asked_block"), "a", "v")  # both sides come from the cells
+    return asked.groupBy("asked_bucket", "asked_block").cogroup(held.select("*", bucket).groupBy("bucket", "block")).applyInPandas(run, schema)
 
 
 def _nearest(found: DataFrame, k: int) -> DataFrame:
@@ -144,7 +166,7 @@ def _visits(queries: DataFrame, boxes: list[DataFrame]) -> DataFrame:
     """(frame, dim, cell, a, v, home) of the cells whose box lies within a query's bound, by descending through the boxes."""
     at = queries.withColumn("_above", F.lit(0).cast("long"))
     for level in boxes:
-        step = level.select("frame", "dim", F.col("cell").alias("_cell"), "lo", "hi").withColumn("_above", F.shiftright("_cell", CUTS))
+        step = level.select("frame", "dim", F.col("cell").alias("_cell"), "lo", "hi").withColumn("_above", F.shiftright("_cell", BITS))
         at = at.join(step, ["frame", "dim", "_above"]).where(_gap("v", "lo", "hi") <= F.col("bound") * (1 + 1e-9)).drop("_above", "lo", "hi").withColumnRenamed("_cell", "_above")
     return at.withColumnRenamed("_above", "cell")
 

@@ -51,6 +51,19 @@ def test_boxes_spare_comparisons(spark):
     assert got.agg(F.avg("compared")).first()[0] < n / 50
 
 
+def test_few_levels(spark):
+    """Each level reads and writes all points: two dimensions in cells of 64 took five levels when a cell was halved in each."""
+    rng = np.random.default_rng(11)
+    skewed = np.stack([rng.gamma(1, 5, 20_000).round(2), rng.integers(0, 40, 20_000).astype(float)], 1)
+    df = spark.createDataFrame([("f", k, v.tolist()) for k, v in enumerate(skewed)], VECTORS)
+    found = neighbours.index(df, "frame", cell=64)
+    sizes = found.cells.groupBy("cell", "part").count().agg(F.max("count"), F.avg("count")).first()
+    assert len(found.cuts) <= 3 and sizes[0] <= 64 and sizes[1] > 16
+    asked = [(("f", k, skewed[k].tolist())) for k in range(0, 20_000, 1000)]
+    got = neighbours.search(spark.createDataFrame(asked, VECTORS), found, "frame", 3, apart=True).collect()
+    assert {(r.frame, r.a, r.nth): (r.b, r.d) for r in got} == plain(asked, [("f", k, v) for k, v in enumerate(skewed)], 3, apart=True)
+
+
 def test_matches(spark):
     rows = points(240, 4, seed=8)
     left, right = rows[:120], rows[120:]

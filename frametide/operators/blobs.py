@@ -1,13 +1,18 @@
-"""Bright blobs over scales: the scale-normalised Laplacian of Gaussians as a separable stencil, in the JVM.
+"""Bright blobs over scales: the scale-normalised Laplacian of Gaussians as a separable stencil.
 
-Pixels are rows (frame key, row, col, value). Two window frames, along rows and then along columns, gather a pixel's neighbourhood and
+Whole frames as arrays stay in their rows: no pixel is a row, and nothing is sorted or shuffled for responses and maxima. Where pixels are
+rows (frame key, row, col, value), as for frames too large for an array, all is in the JVM: two window frames, along rows and then along columns, gather a pixel's neighbourhood and
 weigh it for all scales at once; maxima over (scale, row, column) are windows too. A frame's rows and columns are dealt over tasks.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,8 +78,65 @@ def blobs(pixels: DataFrame, key: list[str], sigmas: list[float], *, threshold:
     found = found.withColumn("_m", F.max("_m").over(near(["row", "col"], "scale")))
     size = F.get(F.array(*[F.lit(float(s)) for s in sigmas]), F.col("scale"))
     peaks = found.where((F.col("response") == F.col("_m")) & (F.col("response") > threshold)).select(*key, "scale", size.alias("sigma"), "row", "col", "response")
-    if overlap is None:
-        return peaks
+    return peaks if overlap is None else _apart(peaks, key, overlap)
+
+
+#: Pixels that are weighed at once in a task.
+PIXELS = 1 << 18
+
+
+def grid_responses(values: np.ndarray, sigmas: list[float]) -> np.ndarray:
+    """(frame, scale, row, col) of values (frame, row, col), as responses() gives them, with sums in the same order."""
+    radius = max(int(4 * s + 0.5) for s in sigmas)
+
+    def weighed(x: np.ndarray, w: list[float], axis: int) -> np.ndarray:
+        size = x.shape[axis]
+        at = np.arange(-radius, size + radius) % (2 * size)
+        wide, out = np.take(x, np.where(at < size, at, 2 * size - 1 - at), axis), np.zeros(x.shape)
+        for k, weight in enumerate(w):
+            out += (wide[:, :, k : k + size] if axis == 2 else wide[:, k : k + size]) * weight
+        return out
+
+    found = []
+    for s in sigmas:
+        g, d = weights(s, radius)
+        found.append((weighed(weighed(values, g, 2), d, 1) + weighed(weighed(values, d, 2), g, 1)) * -(s * s))
+    return np.stack(found, 1)
+
+
+def grid_blobs(frames: DataFrame, key: list[str], values: str, width: int, sigmas: list[float], *, threshold: float = 0.2, overlap: float | None = 0.5) -> DataFrame:
+    """blobs() of frames whose pixels are an array, row by row, `width` in each; a null pixel is 0, a last row that is not full is filled
+    with 0. A frame without pixels has none. Frames are weighed where they are read, a bounded number at once."""
+    kinds = dict(frames.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(key))
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes[sizes > 0]):
+                alike, height = np.flatnonzero(sizes == size), -(-int(size) // width)
+                step = max(1, PIXELS // (height * width))
+                for lo in range(0, len(alike), step):
+                    own = alike[lo : lo + step]
+                    flat = pa.compute.fill_null(lists.take(pa.array(own)).flatten().cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False).reshape(len(own), size)
+                    found = grid_responses(np.pad(flat, ((0, 0), (0, height * width - size))).reshape(len(own), height, width), sigmas)
+                    most = found
+                    for axis in (1, 2, 3):
+                        room = np.pad(most, [(0, 0)] * axis + [(1, 1)] + [(0, 0)] * (3 - axis), constant_values=-np.inf)
+                        n = most.shape[axis]
+                        most = np.max([np.take(room, range(k, k + n), axis) for k in range(3)], 0)
+                    frame, scale, row, col = np.nonzero((found == most) & (found > threshold))
+                    keys = [batch.column(k).take(pa.array(own[frame])) for k in range(len(key))]
+                    made = [scale.astype(np.int32), np.array(sigmas, float)[scale], row.astype(np.int32), col.astype(np.int32), found[frame, scale, row, col]]
+                    yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, made)], [*key, "scale", "sigma", "row", "col", "response"])
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in key), "scale int, sigma double, row int, col int, response double"])
+    peaks = frames.select(*key, F.col(values).cast("array<double>")).mapInArrow(run, schema)
+    return peaks if overlap is None else _apart(peaks, key, overlap)
+
+
+def _apart(peaks: DataFrame, key: list[str], overlap: float) -> DataFrame:
+    """The peaks that share no more than `overlap` of their discs with a larger one of their frame."""
     larger = peaks.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("sigma").alias("_s"), F.col("row").alias("_r"), F.col("col").alias("_c"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
     first = (F.col("_s") > F.col("sigma")) | ((F.col("_s") == F.col("sigma")) & (F.struct("_r", "_c") < F.struct("row", "col")))

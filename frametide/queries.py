@@ -560,11 +560,10 @@ SELECT vec_id, scale::INTEGER AS scale, r::INTEGER AS "row", c::INTEGER AS col,
 WHERE response > 0.1 AND NOT EXISTS (SELECT 1 FROM found o WHERE o.vec_id = f.vec_id AND ABS(o.scale - f.scale) <= 1 AND ABS(o.r - f.r) <= 1 AND ABS(o.c - f.c) <= 1 AND o.response > f.response)""")
 def scale_blobs(spark, sf):
     """Each embedding as an 8 x 8 image: its blobs at three scales."""
-    from .operators.blobs import blobs
+    from .operators.blobs import grid_blobs
 
-    px = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("at", "value"))
-    px = px.select("vec_id", F.floor(F.col("at") / 8).alias("row"), (F.col("at") % 8).alias("col"), "value")
-    return blobs(px, ["vec_id"], [1.0, 1.5, 2.0], threshold=0.1, overlap=None).select("vec_id", "scale", "row", "col", F.round("response", 6).alias("response"))
+    images = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return grid_blobs(images, ["vec_id"], "embedding", 8, [1.0, 1.5, 2.0], threshold=0.1, overlap=None).select("vec_id", "scale", "row", "col", F.round("response", 6).alias("response"))
 
 
 @query("""

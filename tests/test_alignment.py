@@ -111,3 +111,25 @@ def test_bootstrap_covers(spark):
     assert (got["one"].low, got["one"].mean, got["one"].high) == (5.0, 5.0, 5.0) and got[None].mean == 2.0 and "none" not in got
     again = {r.k: r for r in statistics.bootstrap_band(df.repartition(5), ["k"], "x", "id").collect()}
     assert all(again[k].low == pytest.approx(got[k].low) for k in got)
+
+
+@pytest.mark.parametrize("overlap", [None, 0.5])
+def test_blobs_of_whole_frames(spark, monkeypatch, overlap):
+    """Frames as arrays have the blobs that their pixels as rows have, and no row is sorted or shuffled for them."""
+    rng = np.random.default_rng(12)
+    shapes = {"a": (9, 7), "b": (3, 7), "c": (9, 7), None: (1, 7)}
+    images = {k: rng.normal(size=v).round(2) for k, v in shapes.items()}
+    images["plain"] = np.zeros((4, 7))
+    images["plain"][1, 2:4] = 3.0  # a plateau
+    rows = [(k, v.ravel().tolist()) for k, v in images.items()]
+    rows[0][1][5] = rows[2][1][-1] = rows[2][1][-2] = None
+    pixels = [(k, i // 7, i % 7, x) for k, v in rows for i, x in enumerate(v) if k is not None]
+    frames = spark.createDataFrame([("c", rows[2][1][:-2]) if r[0] == "c" else r for r in rows] + [("none", None), ("empty", [])], "k string, v array<double>")
+    monkeypatch.setattr(blobs, "PIXELS", 70)
+    got = blobs.grid_blobs(frames, ["k"], "v", 7, [1.0, 1.5, 2.0], threshold=0.05, overlap=overlap)
+    want = blobs.blobs(spark.createDataFrame(pixels, "k string, row int, col int, value double"), ["k"], [1.0, 1.5, 2.0], threshold=0.05, overlap=overlap)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.where("k is not null").collect())) == sorted(map(tuple, want.collect())) != []
+    if overlap is None:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort" not in plan

@@ -52,7 +52,7 @@ def test_boxes_spare_comparisons(spark):
 
 
 def test_few_levels(spark):
-    """Each level reads and writes all points: two dimensions in cells of 64 took five levels when a cell was halved in each."""
+    """Each level reads and writes all points, so there must be few of them; halving two dimensions a level takes five here at least."""
     rng = np.random.default_rng(11)
     skewed = np.stack([rng.gamma(1, 5, 20_000).round(2), rng.integers(0, 40, 20_000).astype(float)], 1)
     df = spark.createDataFrame([("f", k, v.tolist()) for k, v in enumerate(skewed)], VECTORS)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Slab, groups, mix, partitions, shared_dir, slabs, written
+from .common import Slab, groups, mix, partitions, prefix_hash, shared_dir, slabs, substring_hash, written
 
 ORDER, DIM = 3, 16
 WORDS, GROUPS, CLASSES = 128, 128, 64  # outputs
@@ -48,7 +48,7 @@ def tokens(slab: Slab) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash and ending of each word of lower-cased texts, in order with an end after each text; first of each text; is it an end."""
     slab = slab.lower()
     start, end, first = slab.words()
-    hashes, _ = slab.word_hashes()
+    hashes = substring_hash(prefix_hash(slab.data), start, end)
     n = len(slab)
     at = first[1:] + np.arange(n)
     is_end = np.zeros(len(hashes) + n, bool)
@@ -280,9 +280,15 @@ class Model:
         sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
         def step(k, rows, gradient):
-            squares = seen[k][rows] + gradient * gradient
+            squares = seen[k].take(rows, 0)
+            squares += gradient * gradient
             seen[k][rows] = squares
-            parts[k][rows] -= RATE * gradient / np.sqrt(squares)
+            np.sqrt(squares, out=squares)
+            moved = RATE * gradient
+            moved /= squares
+            now = parts[k].take(rows, 0)
+            now -= moved
+            parts[k][rows] = now
 
         def by_row(rows, gradient):
             order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort
@@ -321,7 +327,7 @@ class Model:
             d_matrices = np.stack([inputs[k].T @ d_hidden for k in range(ORDER)])
             step(2, rows, g[:, :-1])
             step(3, rows, g[:, -1])
-            step(1, slice(None), d_matrices)
+            step(1, np.arange(ORDER), d_matrices)
             step(0, *by_row(contexts.T.ravel(), d_vectors))
 
 

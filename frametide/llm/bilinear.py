@@ -30,6 +30,7 @@ INPUTS, ENDINGS = WORDS + GROUPS * SIZE, 1024  # input vectors: of words, and of
 LEADING = 19  # bits of a word's hash that look it up
 HEAD = 1 << 18  # so many counts at most go to every task; rarer words get theirs in a join
 NOISE, GROUP_NOISE, BATCH, RATE, START = 32, 4, 4096, 0.02, 0.3  # START: Adagrad's sum of squares before a slice's first batch; higher rates lose what earlier slices taught
+STEPS = 1024  # of a group's words, from which a draw looks its word up
 ROWS = 1024  # tokens scored in one product
 SLICES, PASSES, WORKER_TOKENS, MOST_WORKERS = 4, 1, 2_000_000, 1024
 END = np.uint64(0x454E44)  # stands for the end of a text among word hashes
@@ -275,7 +276,11 @@ class Model:
         cumulative = np.cumsum(frequency)
         within = np.cumsum(words.inside.reshape(GROUPS, SIZE), axis=1)
         within = (within / np.maximum(within[:, -1:], 1e-30) + np.arange(GROUPS)[:, None]).ravel()  # group g from g to g + 1
-        parts = self.parts()
+        starts = np.searchsorted(within, np.arange(GROUPS * STEPS + 1) / STEPS, side="right")
+        # vectors of outputs and of words in groups with their biases, and a last column that stays 0, as columns are summed two by two
+        wide = lambda vectors, bias: np.concatenate([vectors, bias[:, None], np.zeros((len(bias), 1), np.float32)], 1)
+        parts = self.vectors, self.matrices.reshape(ORDER * DIM, DIM), wide(self.outputs, self.bias), wide(self.members, self.member_bias)
+        vectors, matrices, outs, members = parts
         seen = [np.full(x.shape, START, np.float32) for x in parts]
         sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -294,41 +299,53 @@ class Model:
             order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort
             rows = rows[order]
             first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            return rows[first], np.add.reduceat(gradient.take(order, 0), first, axis=0)
+            # two columns as one complex number: half as many runs of additions
+            return rows[first], np.add.reduceat(gradient.take(order, 0).view(np.complex64), first, axis=0).view(np.float32)
+
+        def drawn(at):
+            """The first places in `within` that are beyond `at`, from a table of steps on."""
+            out = starts.take((at * STEPS).astype(np.int64))
+            below = np.flatnonzero((within.take(out, mode="clip") <= at) & (out < len(within)))
+            while len(below):
+                out[below] += 1
+                now = out[below]
+                below = below[(within.take(now, mode="clip") <= at[below]) & (now < len(within))]
+            return out
 
         for contexts, tokens_ in batches:
+            n = len(tokens_)
             targets = outputs[tokens_]
             noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), len(frequency) - 1)
-            inputs = [self.vectors.take(contexts[:, k], 0) for k in range(ORDER)]
-            hidden = sum(inputs[k] @ self.matrices[k] for k in range(ORDER))
-            to = self.outputs.take(targets, 0)
-            own = np.einsum("ij,ij->i", hidden, to) + self.bias[targets] - log_noise[targets]
-            other = hidden @ self.outputs[noise].T + self.bias[noise] - log_noise[noise]
+            inputs = vectors.take(contexts, 0).reshape(n, ORDER * DIM)
+            hidden = np.zeros((n, DIM + 2), np.float32)
+            hidden[:, :DIM], hidden[:, DIM] = inputs @ matrices, 1
+            to, others = outs.take(targets, 0), outs.take(noise, 0)
+            own = np.einsum("ij,ij->i", hidden, to) - log_noise[targets]
+            other = hidden @ others.T - log_noise[noise]
             d_own, d_other = (sigmoid(own) - 1).astype(np.float32), sigmoid(other).astype(np.float32)
-            d_hidden = d_own[:, None] * to + d_other @ self.outputs[noise]
-            rows, g = by_row(np.concatenate([targets, noise]), np.concatenate([np.column_stack([d_own[:, None] * hidden, d_own]), np.column_stack([d_other.T @ hidden, d_other.sum(0)])]))
+            to *= d_own[:, None]
+            d_hidden = to + d_other @ others
+            rows, g = by_row(np.concatenate([targets, noise]), np.concatenate([d_own[:, None] * hidden, d_other.T @ hidden]))
             at = np.flatnonzero((tokens_ >= WORDS) & (tokens_ < INPUTS))
             if len(at):
                 member, h = tokens_[at] - WORDS, hidden[at]
                 group = member // SIZE
-                drawn = np.searchsorted(within, group[:, None] + rng.random((len(at), GROUP_NOISE)), side="right")
-                drawn = np.minimum(drawn, (group[:, None] + 1) * SIZE - 1)
-                both = np.concatenate([member[:, None], drawn], 1)
-                known = self.members.take(both, 0)
-                score = np.einsum("ij,ikj->ik", h, known) + self.member_bias[both] - log_inside[both]
-                d = sigmoid(score)
+                both = np.empty((len(at), 1 + GROUP_NOISE), np.int64)
+                both[:, 0] = member
+                both[:, 1:] = np.minimum(drawn((group[:, None] + rng.random((len(at), GROUP_NOISE))).ravel()).reshape(-1, GROUP_NOISE), (group[:, None] + 1) * SIZE - 1)
+                known = members.take(both, 0)
+                d = sigmoid(np.einsum("ij,ikj->ik", h, known) - log_inside[both])
                 d[:, 0] -= 1
                 d = d.astype(np.float32)
                 d_hidden[at] += np.einsum("ik,ikj->ij", d, known)
-                members, m = by_row(both.ravel(), np.concatenate([d[:, :, None] * h[:, None, :], d[:, :, None]], 2).reshape(-1, DIM + 1))
-                step(4, members, m[:, :-1])
-                step(5, members, m[:, -1])
-            d_vectors = np.concatenate([d_hidden @ self.matrices[k].T for k in range(ORDER)])
-            d_matrices = np.stack([inputs[k].T @ d_hidden for k in range(ORDER)])
-            step(2, rows, g[:, :-1])
-            step(3, rows, g[:, -1])
-            step(1, np.arange(ORDER), d_matrices)
-            step(0, *by_row(contexts.T.ravel(), d_vectors))
+                step(3, *by_row(both.ravel(), (d[:, :, None] * h[:, None, :]).reshape(-1, DIM + 2)))
+            d_hidden = np.ascontiguousarray(d_hidden[:, :DIM])
+            d_vectors = d_hidden @ matrices.T
+            d_matrices = inputs.T @ d_hidden
+            step(2, rows, g)
+            step(1, np.arange(ORDER * DIM), d_matrices)
+            step(0, *by_row(contexts.ravel(), d_vectors.reshape(-1, DIM)))
+        self.outputs[:], self.bias[:], self.members[:], self.member_bias[:] = outs[:, :DIM], outs[:, DIM], members[:, :DIM], members[:, DIM]
 
 
 def contexts(inputs: np.ndarray, first: np.ndarray) -> np.ndarray:

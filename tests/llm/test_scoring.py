@@ -222,3 +222,53 @@ def test_several_indexes_score_alike(spark, prose, monkeypatch):
     split = parts()
     assert len(split) > 1 and {i: x for p in split for i, x in p.items()} == impacts
     assert scores() == whole and len(whole) >= 40
+
+
+def test_a_training_step_against_plain_sums():
+    B = bilinear
+    rng = np.random.default_rng(3)
+    n = B.WORDS + B.GROUPS + B.CLASSES
+    outputs = np.concatenate([np.arange(B.WORDS), B.WORDS + np.arange(B.GROUPS * B.SIZE) // B.SIZE, B.WORDS + B.GROUPS + np.arange(B.ENDINGS) % B.CLASSES])
+    frequency, inside = rng.random(n), rng.random((B.GROUPS, B.SIZE)) ** 4
+    inside[3, 5:] = 0  # a group with few words, and one with none
+    inside[4] = 0
+    frequency, inside = frequency / frequency.sum(), (inside / np.maximum(1e-9, inside.sum(1))[:, None]).ravel()
+    words = B.Vocabulary(0, 0, np.empty(0, np.uint64), np.empty(0), np.empty(0), outputs, None, None, frequency, inside)
+    model = B.Model.initial(frequency, inside)
+    model.members[:] = rng.normal(0, 0.1, model.members.shape)
+    tokens = rng.choice(np.concatenate([np.arange(B.WORDS + 3 * B.SIZE), np.arange(B.INPUTS, B.INPUTS + 50)]), 400)
+    before = rng.integers(0, B.INPUTS + B.ENDINGS, (400, B.ORDER))
+    before[:200] %= 5
+
+    old = [x.astype(float) for x in model.parts()]
+    vectors, matrices, out, bias, members, member_bias = old
+    grads = [np.zeros(x.shape) for x in old]
+    draw = np.random.default_rng([1])
+    noise = np.minimum(np.searchsorted(np.cumsum(frequency), draw.random(B.NOISE)), n - 1)
+    own = np.flatnonzero((tokens >= B.WORDS) & (tokens < B.INPUTS))
+    within = np.cumsum(inside.reshape(B.GROUPS, B.SIZE), axis=1)
+    within = (within / np.maximum(within[:, -1:], 1e-30) + np.arange(B.GROUPS)[:, None]).ravel()
+    group = (tokens[own] - B.WORDS) // B.SIZE
+    drawn = np.minimum(np.searchsorted(within, group[:, None] + draw.random((len(own), B.GROUP_NOISE)), side="right"), (group[:, None] + 1) * B.SIZE - 1)
+    among = dict(zip(own.tolist(), drawn.tolist(), strict=True))
+    for k, t in enumerate(tokens.tolist()):
+        h = sum(vectors[before[k, j]] @ matrices[j] for j in range(B.ORDER))
+        d_h = np.zeros(B.DIM)
+
+        def meets(rows, biases, at, log_q, true, g, g_bias, h=h, d_h=d_h):
+            d = 1 / (1 + np.exp(-(h @ rows[at] + biases[at] - log_q))) - true
+            d_h += d * rows[at]
+            g[at] += d * h
+            g_bias[at] += d
+
+        for at, true in [(outputs[t], 1), *((x, 0) for x in noise)]:
+            meets(out, bias, at, math.log(B.NOISE * frequency[at]), true, grads[2], grads[3])
+        if k in among:
+            for at, true in [(t - B.WORDS, 1), *((x, 0) for x in among[k])]:
+                meets(members, member_bias, at, math.log(B.GROUP_NOISE * max(inside[at], 1e-30)), true, grads[4], grads[5])
+        for j in range(B.ORDER):
+            grads[0][before[k, j]] += d_h @ matrices[j].T
+            grads[1][j] += np.outer(vectors[before[k, j]], d_h)
+    model.train(iter([(before, tokens)]), words, [1])
+    for now, was, g in zip(model.parts(), old, grads, strict=True):
+        assert np.allclose(now, was - B.RATE * g / np.sqrt(B.START + g * g), atol=2e-5)

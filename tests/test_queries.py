@@ -47,3 +47,16 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_nearest_two_of_every_event(spark):
+    """Each event of the table asks, not a share of them, and finds what a comparison with all events of its type finds."""
+    events = spark.read.parquet(f"{DATA}/events.parquet").select("event_id", "event_type", "value", "user_id").toPandas()
+    got = queries.nearest_two(spark, DATA).toPandas()
+    assert set(got.a) == set(events.event_id)
+    own = events[events.event_type == "click"].sort_values("event_id")
+    d = (own.value.to_numpy()[:, None] - own.value.to_numpy()) ** 2 + (own.user_id.to_numpy()[:, None] - own.user_id.to_numpy()) ** 2.0
+    want = {a: sorted((x, b) for x, b in zip(row, own.event_id, strict=True) if b != a)[:2] for a, row in zip(own.event_id, d, strict=True)}
+    found = {a: [(x, b) for x, b in zip(g.d, g.b, strict=True)] for a, g in got[got.event_type == "click"].sort_values("nth").groupby("a")}
+    assert {a: [b for _, b in x] for a, x in found.items()} == {a: [b for _, b in x] for a, x in want.items()}
+    assert all(x == pytest.approx(y, abs=1e-6) for a in want for (x, _), (y, _) in zip(found[a], want[a], strict=True))
